@@ -37,8 +37,11 @@ def merge_context(left: Column, right: Column) -> Column:
 
 def merge_maps(*maps: Column) -> Column:
     """Later maps win on equal keys; an empty result is NULL."""
+
+    def without(earlier: Column, later: Column) -> Column:
+        return F.map_filter(earlier, lambda k, _: ~F.map_contains_key(later, k))
+
     merged = maps[0]
     for later in maps[1:]:
-        kept = F.map_filter(merged, lambda k, _, later=later: ~F.map_contains_key(later, k))
-        merged = F.map_concat(kept, later)
+        merged = F.map_concat(without(merged, later), later)
     return F.when(F.size(merged) > 0, merged)

@@ -160,7 +160,8 @@ def template_regex(template: str) -> tuple[str, dict[str, int]]:
         if re.fullmatch(r"\$(?:\$\$)?[A-Z_][A-Z0-9_]*|\$\$\$", token):
             name = token.lstrip("$")
             many = token.startswith("$$$")
-            body = _run(after if after in _CLOSERS else None) if many else r"[A-Za-z_$][\w$]*+"
+            run = _run(after if after in _CLOSERS else None) if after else r"[^\n]*"
+            body = run if many else r"[A-Za-z_$][\w$]*+"
             if name in names:
                 rx += rf"\{names[name]}"
             elif name.strip("_"):

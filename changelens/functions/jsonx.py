@@ -96,7 +96,9 @@ def json_strings(content: Column) -> Column:
 
 def json_all_keys(content: Column) -> Column:
     """All object keys at any depth in document order, quotes kept."""
-    return F.regexp_extract_all(content, F.lit(rf"({STRING_TOKEN})\s*:|{STRING_TOKEN}"), F.lit(1))
+    keys = F.regexp_extract_all(content, F.lit(rf"({STRING_TOKEN})\s*:|{STRING_TOKEN}"), F.lit(1))
+    # A string that is no key matches the second branch and leaves the group empty.
+    return F.filter(keys, lambda k: k != "")
 
 
 # The query shapes a JSON rule may use.

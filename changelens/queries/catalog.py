@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import joins  # noqa: F401
+from . import diffs, extraction, joins, reporting  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
