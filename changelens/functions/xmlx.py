@@ -24,10 +24,12 @@ def well_formed(content: Column) -> Column:
         wrapped, "broken string", {"columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE", "rowTag": "whole"}
     )
     sound = F.when(parsed["broken"].isNull(), wrapped)
-    single = F.expr("true") & F.xpath_boolean(
-        sound, F.lit("count(/whole/*)=1 and not(/whole/text()[normalize-space()])")
-    )
-    return F.when((body != "") & single, body)
+    # Mostly the root's name opens once and its closing tag ends the text; then there is nothing else to look for.
+    root = F.regexp_extract(body, r"^<([\w:.\-]+)", 1)
+    once = (root != "") & (F.regexp_count(body, F.concat(F.lit("</?"), root, F.lit(r"[\s/>]"))) == 2)
+    ended = F.endswith(F.rtrim(body, F.lit(" \t\r\n")), F.concat(F.lit("</"), root, F.lit(">")))
+    single = F.xpath_boolean(sound, F.lit("count(/whole/*)=1 and not(/whole/text()[normalize-space()])"))
+    return F.when(sound.isNotNull() & (body != "") & ((once & ended) | single), body)
 
 
 def map_namespaces(expr: str, namespaces: dict[str, str] | None) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import STRING_TOKEN, json_object
+from .rows import one_row_each
 
 
 def json_entry_diff(df: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:
@@ -20,7 +21,8 @@ def json_entry_diff(df: DataFrame, keys: list[str], old: str, new: str) -> DataF
         lambda _, a, b: F.struct(a.alias("old_value"), b.alias("new_value")),
     )
     changed = F.map_filter(pairs, lambda _, v: ~v["old_value"].eqNullSafe(v["new_value"]))
-    rows = df.where(~F.col(old).eqNullSafe(F.col(new))).select(*keys, F.explode(changed).alias("json_key", "v"))
+    rows = one_row_each(df.where(~F.col(old).eqNullSafe(F.col(new))), keys, F.map_entries(changed), "e")
+    rows = rows.select(*keys, F.col("e.key").alias("json_key"), F.col("e.value").alias("v"))
     change = (
         F.when(F.col("v.old_value").isNull(), "added").when(F.col("v.new_value").isNull(), "removed").otherwise("changed")
     )
@@ -70,7 +72,7 @@ def json_nodes(df: DataFrame, keys: list[str], content: str, max_depth: int | No
         )
         self_closed = F.array(make(n["path"], n["node"], F.lit(False)))
         grown = F.when(n["open"], F.concat(self_closed, F.coalesce(fields, items, nothing))).otherwise(self_closed)
-        rows = rows.select(*keys, F.explode(grown).alias("n"))
+        rows = one_row_each(rows, keys, grown, "n")
     kind = F.regexp_extract(F.schema_of_variant(F.col("n.node")), "^[A-Z]+", 0)
     deeper = F.raise_error(F.lit("a document nests deeper than max_depth")).cast("string")
     return rows.select(

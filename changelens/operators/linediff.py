@@ -6,10 +6,12 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import one_row_each
+
 CONTEXT_LINES = 3
 NO_NEWLINE = "\n\\ No newline at end of file"
 
@@ -39,47 +41,54 @@ def common_edges(left: Column, right: Column) -> Column:
     return F.struct(prefix.alias("prefix"), suffix.alias("suffix"))
 
 
+def _changed_region(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """Rows whose texts differ, with the lines of both sides and the common edges; all within the row."""
+    return (
+        df.where(F.col(left) != F.col(right))
+        .select(*keys, text_lines(F.col(left)).alias("__l"), text_lines(F.col(right)).alias("__r"))
+        .withColumn("__e", common_edges(F.col("__l"), F.col("__r")))
+    )
+
+
+def _middle(side: str) -> Column:
+    p, s = F.col("__e.prefix"), F.col("__e.suffix")
+    return F.slice(side, p + 1, F.size(side) - p - s)
+
+
+def _region_lines(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """``op, line_no, line`` for the lines between the common edges, both sides."""
+
+    def side(name: str, op: str) -> Column:
+        return F.transform(
+            _middle(name),
+            lambda s, i: F.struct(F.lit(op).alias("op"), (i + F.col("__e.prefix") + 1).alias("line_no"), s.alias("line")),
+        )
+
+    region = _changed_region(df, keys, left, right)
+    return one_row_each(region, keys, F.concat(side("__l", "-"), side("__r", "+")), "x").select(*keys, "x.*")
+
+
 def line_diff(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """``-`` and ``+`` lines as a multiset difference with 1-based positions.
 
-    The n-th occurrence of a line on one side cancels the n-th on the other. Both sides travel once, keyed
-    by row and line, so the group of a task is one line text of one row.
+    Between the common first and last lines, the n-th occurrence of a line on one side cancels the n-th on the
+    other. Only that region is shuffled, once, by row and line; a group is one line text of one row.
     """
-    rows = df.where(F.col(left) != F.col(right)).select(
-        *keys,
-        F.explode(
-            F.concat(
-                F.transform(text_lines(F.col(left)), lambda s, i: F.struct(F.lit("-").alias("op"), (i + 1).alias("line_no"), s.alias("line"))),
-                F.transform(text_lines(F.col(right)), lambda s, i: F.struct(F.lit("+").alias("op"), (i + 1).alias("line_no"), s.alias("line"))),
-            )
-        ).alias("l"),
+    rows = _region_lines(df, keys, left, right)
+    line = [*keys, "line"]
+    nth = F.row_number().over(Window.partitionBy(*line, "op").orderBy("line_no"))
+    other = F.when(F.col("op") == "-", F.count_if(F.col("op") == "+").over(Window.partitionBy(*line))).otherwise(
+        F.count_if(F.col("op") == "-").over(Window.partitionBy(*line))
     )
-    sides = rows.groupBy(*keys, F.col("l.line").alias("line")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("l.op") == "-", F.col("l.line_no")))).alias("minus"),
-        F.array_sort(F.collect_list(F.when(F.col("l.op") == "+", F.col("l.line_no")))).alias("plus"),
-    )
-
-    def surplus(a: str, b: str, op: str) -> Column:
-        many = F.greatest(F.size(a) - F.size(b), F.lit(0))
-        rest = F.slice(F.col(a), F.size(b) + 1, many)
-        return F.transform(rest, lambda n: F.struct(F.lit(op).alias("op"), n.alias("line_no")))
-
-    kept = sides.select(*keys, "line", F.explode(F.concat(surplus("minus", "plus", "-"), surplus("plus", "minus", "+"))).alias("d"))
-    return kept.select(*keys, "d.op", "d.line_no", "line")
+    kept = rows.select(*keys, "op", "line_no", "line", nth.alias("__n"), other.alias("__other"))
+    return kept.where(F.col("__n") > F.col("__other")).drop("__n", "__other")
 
 
 def line_counts_diff(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """The multiset difference without positions: ``op, line, n``; summed before the shuffle."""
-    rows = df.where(F.col(left) != F.col(right)).select(
-        *keys,
-        F.explode(
-            F.concat(
-                F.transform(text_lines(F.col(left)), lambda s: F.struct(s.alias("line"), F.lit(-1).alias("n"))),
-                F.transform(text_lines(F.col(right)), lambda s: F.struct(s.alias("line"), F.lit(1).alias("n"))),
-            )
-        ).alias("l"),
-    )
-    summed = rows.groupBy(*keys, F.col("l.line").alias("line")).agg(F.sum("l.n").alias("n")).where("n <> 0")
+    rows = _region_lines(df, keys, left, right)
+    change = F.sum(F.when(F.col("op") == "-", -1).otherwise(1))
+    summed = rows.groupBy(*keys, "line").agg(change.alias("n")).where("n <> 0")
     return summed.select(*keys, F.when(F.col("n") < 0, "-").otherwise("+").alias("op"), "line", F.abs("n").alias("n"))
 
 
@@ -180,55 +189,68 @@ def _longest_increasing(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(indices)
 
 
-def _anchors(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Per row, the lines unique on both sides of the changed region that keep their order on both sides."""
-    middle = df.where((F.size("__ml") > 0) & (F.size("__mr") > 0)).select(
-        *keys,
-        F.explode(
-            F.concat(
-                F.transform("__ml", lambda s, i: F.struct(s.alias("line"), i.alias("l"), F.lit(None).cast("int").alias("r"))),
-                F.transform("__mr", lambda s, i: F.struct(s.alias("line"), F.lit(None).cast("int").alias("l"), i.alias("r"))),
-            )
-        ).alias("x"),
-    )
-    unique = (
-        middle.groupBy(*keys, F.col("x.line").alias("line"))
-        .agg(F.count("x.l").alias("nl"), F.count("x.r").alias("nr"), F.min("x.l").alias("l"), F.min("x.r").alias("r"))
-        .where("nl = 1 and nr = 1")
-    )
-    # One array per row of the input: at most as long as its text.
-    listed = unique.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("l", "r"))).alias("__a"))
-    kept = _longest_increasing(F.col("__a.r"))
-    return listed.select(*keys, F.transform(kept, lambda i: F.element_at("__a", i + 1)).alias("__a"))
+def _anchors() -> Column:
+    """The lines that occur once on each side of the changed region, as positions ordered by the left one.
+
+    Both sides are sorted together by line; a line that is unique on both sides is a left item followed by a
+    right one, with other lines around them. Everything stays in the row.
+    """
+
+    def side(name: str, number: int) -> Column:
+        return F.transform(name, lambda s, i: F.struct(s.alias("line"), F.lit(number).alias("side"), i.alias("at")))
+
+    # One item that equals no line at each end, so that every item has neighbours.
+    edge = F.array(F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("side"), F.lit(-1).alias("at")))
+    merged = F.concat(edge, F.array_sort(F.concat(side("__ml", 0), side("__mr", 1))), edge)
+
+    def unique_pairs(items: Column) -> Column:
+        return F.filter(
+            F.transform(
+                F.sequence(F.lit(2), F.size(items) - 2),
+                lambda i: F.struct(
+                    F.element_at(items, i)["at"].alias("l"),
+                    F.element_at(items, i + 1)["at"].alias("r"),
+                    (
+                        (F.element_at(items, i)["side"] == 0)
+                        & (F.element_at(items, i + 1)["side"] == 1)
+                        & (F.element_at(items, i)["line"] == F.element_at(items, i + 1)["line"])
+                        & ~F.element_at(items, i - 1)["line"].eqNullSafe(F.element_at(items, i)["line"])
+                        & ~F.element_at(items, i + 2)["line"].eqNullSafe(F.element_at(items, i)["line"])
+                    ).alias("ok"),
+                ),
+            ),
+            lambda x: x["ok"],
+        )
+
+    return merged, unique_pairs
 
 
 def anchored_diff(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """Several hunks per row: ``hunk_no, old_start, old_lines, new_start, new_lines, hunk_text``.
 
     Inside the trimmed region the lines that occur once on both sides and keep their order are anchors;
-    between two anchors the common edges are trimmed again. Only the lines of the region and the anchors are
-    shuffled. ``keys`` must identify a row of ``df``.
+    between two anchors the common edges are trimmed again. Nothing is shuffled; only the positions of the
+    anchors go through Python, for their longest increasing run.
     """
-    base = (
-        df.where(F.col(left) != F.col(right))
-        .select(*keys, text_lines(F.col(left)).alias("__l"), text_lines(F.col(right)).alias("__r"))
-        .withColumn("__e", common_edges(F.col("__l"), F.col("__r")))
-    )
-    p, s = F.col("__e.prefix"), F.col("__e.suffix")
-    base = base.withColumn("__ml", F.slice("__l", p + 1, F.size("__l") - p - s)).withColumn(
-        "__mr", F.slice("__r", p + 1, F.size("__r") - p - s)
-    )
-    rows = base.join(_anchors(base, keys), keys, "left")
+    rows = _changed_region(df, keys, left, right).withColumn("__ml", _middle("__l")).withColumn("__mr", _middle("__r"))
+    p = F.col("__e.prefix")
+    merged, unique_pairs = _anchors()
+    none = F.array().cast("array<struct<l:int,r:int>>")
+    both = (F.size("__ml") > 0) & (F.size("__mr") > 0)
+    rows = rows.withColumn("__m", F.when(both, merged))
+    pairs = F.transform(unique_pairs(F.col("__m")), lambda x: F.struct(x["l"].alias("l"), x["r"].alias("r")))
+    rows = rows.withColumn("__a", F.when(both, F.array_sort(pairs)).otherwise(none)).drop("__m")
+    rows = rows.withColumn("__k", _longest_increasing(F.col("__a.r")))
+    rows = rows.withColumn("__a", F.transform("__k", lambda i: F.element_at("__a", i + 1)))
 
     def point(l: Column, r: Column) -> Column:
         return F.struct(l.cast("int").alias("l"), r.cast("int").alias("r"))
 
-    none = F.array().cast("array<struct<l:int,r:int>>")
     rows = rows.withColumn(
         "__p",
         F.concat(
             F.array(point(F.lit(-1), F.lit(-1))),
-            F.coalesce("__a", none),
+            F.col("__a"),
             F.array(point(F.size("__ml"), F.size("__mr"))),
         ),
     )
@@ -256,7 +278,7 @@ def anchored_diff(df: DataFrame, keys: list[str], left: str, right: str) -> Data
         | (F.element_at("__s", i)["l0"] - F.element_at("__s", F.greatest(i - 1, F.lit(1)))["l1"] > 2 * CONTEXT_LINES),
     )
     rows = rows.withColumn("__h", starts)
-    rows = rows.select("*", F.posexplode("__h").alias("hunk_no", "__from"))
+    rows = one_row_each(rows, ["*"], F.col("__h"), "__from", "hunk_no")
     upto = F.coalesce(F.try_element_at("__h", F.col("hunk_no") + 2), F.size("__s") + 1)
     rows = rows.withColumn("__g", F.slice("__s", F.col("__from"), upto - F.col("__from")))
     first, last = F.element_at("__g", 1), F.element_at("__g", -1)

@@ -86,29 +86,26 @@ def detect_renames(status: DataFrame, path: str = "path", hot_rows: int = HOT_RO
     )
 
 
-def attach_versions(changes: DataFrame, snapshots: DataFrame, base: Column, head: Column) -> DataFrame:
+def attach_versions(changes: DataFrame, snapshots: DataFrame, base: str | Column, head: str | Column) -> DataFrame:
     """Old content at (base, old_path) and new content at (head, new_path); a missing side is NULL.
 
     ``snapshots`` has ``ref, path, content`` with at most one row per (ref, path). ``base`` and ``head`` may be
-    literals or columns of ``changes``. The old side is looked up unless the row is an add, the new side
-    unless it is a delete.
+    names or columns of ``changes``; a name reads only that ref's rows. The old side is looked up unless the row
+    is an add, the new side unless it is a delete.
     """
-    wanted = changes.select(
-        "*",
-        F.when(F.col("type") != "add", base).alias("__old_ref"),
-        F.when(F.col("type") != "delete", head).alias("__new_ref"),
-    )
-    old = snapshots.select(
-        F.col("ref").alias("__old_ref"), F.col("path").alias("old_path"), F.col("content").alias("old_content")
-    )
-    new = snapshots.select(
-        F.col("ref").alias("__new_ref"), F.col("path").alias("new_path"), F.col("content").alias("new_content")
-    )
-    # The new side first: its key is the longer-lived one, and rows without an old side drop out of the second join.
-    return (
-        wanted.join(new, ["__new_ref", "new_path"], "left")
-        .join(old, ["__old_ref", "old_path"], "left")
-        .select(*changes.columns, "old_content", "new_content")
+    def attach(rows: DataFrame, side: str, ref: str | Column, absent: str) -> DataFrame:
+        found = snapshots.select(
+            F.col("ref").alias("__ref"), F.col("path").alias("__path"), F.col("content").alias(f"{side}_content")
+        )
+        rows = rows.withColumn("__path", F.when(F.col("type") != absent, F.col(f"{side}_path")))
+        if isinstance(ref, str):
+            found, on = found.where(F.col("__ref") == ref).drop("__ref"), ["__path"]
+        else:
+            rows, on = rows.withColumn("__ref", ref), ["__ref", "__path"]
+        return rows.join(found, on, "left").drop("__ref", "__path")
+
+    return attach(attach(changes, "new", head, "delete"), "old", base, "add").select(
+        *changes.columns, "old_content", "new_content"
     )
 
 

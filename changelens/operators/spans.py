@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import HOT_ROWS, with_earlier_max
+from .rows import one_row_each
 
 
 def match_spans(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
@@ -17,7 +18,7 @@ def match_spans(df: DataFrame, keys: list[str], text: str, pattern: str) -> Data
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     # Without a limit of matches both arrays line up: n + 1 gaps around n matches.
     pieces = F.arrays_zip(gaps.alias("gap"), found.alias("match"))
-    rows = df.select(*keys, F.posexplode(pieces).alias("pos", "piece")).where(F.col("piece.match").isNotNull())
+    rows = one_row_each(df, keys, pieces, "piece", "pos").where(F.col("piece.match").isNotNull())
     upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     length = F.length("piece.match")
     checked = F.when(length > 0, length).otherwise(F.raise_error(F.lit("the pattern matches the empty text")).cast("int"))

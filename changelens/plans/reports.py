@@ -14,6 +14,7 @@ from ..functions.paths import effective_path, glob_any
 from ..functions.template import render
 from ..operators.linediff import anchored_diff, with_hunk
 from ..operators.references import resolve_refs
+from ..operators.rows import one_row_each
 from ..operators.snapshots import attach_versions
 from ..sources.rules import config_table, definition_table, rule_columns, signal_table
 from .extractors import WITHOUT_LINE_RANGE, extract
@@ -80,7 +81,7 @@ def match_rules(changes: DataFrame, rules: list[Rule]) -> DataFrame:
     """
     path = effective_path(F.col("new_path"), F.col("old_path"))
     hits = F.array(*[F.when(glob_any(path, r.include), F.lit(i)) for i, r in enumerate(rules)])
-    return changes.select("*", F.explode(F.array_compact(hits)).alias("rule_no"))
+    return one_row_each(changes, ["*"], F.array_compact(hits), "rule_no")
 
 
 def both_missing(old: str = "old_content", new: str = "new_content") -> Column:
@@ -105,7 +106,7 @@ def apply_watches(versions: DataFrame, rules: list[Rule], keep: list[str]) -> Da
 
     pairs = F.array(*[pair(i, r) for i, r in enumerate(rules)])
     fired = F.filter(pairs, lambda p: p.isNotNull() & (p["l"]["text"] != p["r"]["text"]))
-    rows = versions.where(~both_missing()).select(*keep, path.alias("file_path"), F.explode(fired).alias("p"))
+    rows = one_row_each(versions.where(~both_missing()), [*keep, path.alias("file_path")], fired, "p")
     return rows.select(
         *keep,
         "file_path",
@@ -184,8 +185,8 @@ def run_rules(
     snapshots: DataFrame,
     rules: list[Rule],
     keys: list[str],
-    base: Column,
-    head: Column,
+    base: str | Column,
+    head: str | Column,
     hunks: str = "one",
 ) -> DataFrame:
     """Changes + snapshots + rules -> reports.

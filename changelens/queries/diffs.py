@@ -32,8 +32,11 @@ def turn_pairs(spark, sf):
 
 def _sql_line_rows(keys: str) -> str:
     return f"""
-ls AS (SELECT {keys}, l[i] AS line, i AS line_no, row_number() OVER (PARTITION BY {keys}, l[i] ORDER BY i) AS n FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM texts)),
-rs AS (SELECT {keys}, r[i] AS line, i AS line_no, row_number() OVER (PARTITION BY {keys}, r[i] ORDER BY i) AS n FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM texts)),
+{V.sql_hunks('texts')},
+ls AS (SELECT {keys}, l[i] AS line, i AS line_no, row_number() OVER (PARTITION BY {keys}, l[i] ORDER BY i) AS n
+  FROM (SELECT *, unnest(range(pre + 1, len(l) - suf + 1)) AS i FROM edges)),
+rs AS (SELECT {keys}, r[i] AS line, i AS line_no, row_number() OVER (PARTITION BY {keys}, r[i] ORDER BY i) AS n
+  FROM (SELECT *, unnest(range(pre + 1, len(r) - suf + 1)) AS i FROM edges)),
 diff AS (SELECT {keys}, '-' AS op, CAST(line_no AS INTEGER) AS line_no, line FROM ls ANTI JOIN rs USING ({keys}, line, n)
   UNION ALL SELECT {keys}, '+', CAST(line_no AS INTEGER), line FROM rs ANTI JOIN ls USING ({keys}, line, n))"""
 

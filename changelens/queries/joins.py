@@ -103,7 +103,7 @@ def _(spark, sf):
     LEFT JOIN base b ON m.type <> 'add' AND b.path = m.old_path LEFT JOIN head h ON m.type <> 'delete' AND h.path = m.new_path""",
 )
 def _(spark, sf):
-    return attach_versions(_moves(spark, sf), V.snapshots(spark, sf), F.lit(V.BASE), F.lit(V.HEAD))
+    return attach_versions(_moves(spark, sf), V.snapshots(spark, sf), V.BASE, V.HEAD)
 
 
 # Change rows for documents as declared by their form, without looking at the snapshots: some name no file.
@@ -128,7 +128,7 @@ def _declared(spark, sf, old_prefix=""):
     f"WITH {V.DOCS}, {DECLARED} SELECT doc_id, type, old_content IS NOT NULL AS has_old, new_content IS NOT NULL AS has_new FROM attached",
 )
 def _(spark, sf):
-    rows = attach_versions(_declared(spark, sf), V.snapshots(spark, sf), F.lit(V.BASE), F.lit(V.HEAD))
+    rows = attach_versions(_declared(spark, sf), V.snapshots(spark, sf), V.BASE, V.HEAD)
     return rows.select(
         "doc_id", "type", F.col("old_content").isNotNull().alias("has_old"), F.col("new_content").isNotNull().alias("has_new")
     )
@@ -142,7 +142,7 @@ def _(spark, sf):
 def _(spark, sf):
     # The old paths name nothing, so only the new side can be there.
     changes = _declared(spark, sf, "nowhere/")
-    rows = attach_versions(changes, V.snapshots(spark, sf), F.lit(V.BASE), F.lit(V.HEAD))
+    rows = attach_versions(changes, V.snapshots(spark, sf), V.BASE, V.HEAD)
     return rows.where(~both_missing()).select("doc_id", "type")
 
 

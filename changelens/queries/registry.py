@@ -21,4 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    # A small table in one row group is read by one task; spread it. Tables with enough files stay as they are.
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

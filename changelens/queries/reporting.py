@@ -68,7 +68,7 @@ def document_changes(spark, sf):
 
 
 def document_reports(spark, sf, rules=RULES, hunks="one"):
-    return run_rules(document_changes(spark, sf), V.snapshots(spark, sf), rules, ["path"], F.lit(V.BASE), F.lit(V.HEAD), hunks)
+    return run_rules(document_changes(spark, sf), V.snapshots(spark, sf), rules, ["path"], V.BASE, V.HEAD, hunks)
 
 
 REPORT_COLUMNS = (
@@ -165,7 +165,7 @@ def _(spark, sf):
     {sql_matches("coalesce(new_content, '')", '[A-Z][a-z]+[.]')} AS new_artifact FROM attached""",
 )
 def _(spark, sf):
-    rows = attach_versions(_declared(spark, sf), V.snapshots(spark, sf), F.lit(V.BASE), F.lit(V.HEAD))
+    rows = attach_versions(_declared(spark, sf), V.snapshots(spark, sf), V.BASE, V.HEAD)
     return rows.select(
         "doc_id",
         regex_extract(F.col("old_content"), "[A-Z][a-z]+[.]")["text"].alias("old_artifact"),
@@ -179,7 +179,7 @@ def _(spark, sf):
     FROM attached) SELECT doc_id, l AS left_artifact, r AS right_artifact FROM arts WHERE l <> r""",
 )
 def _(spark, sf):
-    rows = attach_versions(_declared(spark, sf), V.snapshots(spark, sf), F.lit(V.BASE), F.lit(V.HEAD))
+    rows = attach_versions(_declared(spark, sf), V.snapshots(spark, sf), V.BASE, V.HEAD)
     rule = Rule("any", 0, 0, ("**",), "regex", {"pattern": EMAIL})
     return apply_watches(rows, [rule], ["doc_id"]).select("doc_id", "left_artifact", "right_artifact")
 
@@ -244,7 +244,7 @@ arts(path, rule_no, l, r, context) AS (
 )
 def _(spark, sf):
     changes, snapshots = mixed_documents(spark, sf)
-    versions = attach_versions(changes, snapshots, F.lit("old"), F.lit("new"))
+    versions = attach_versions(changes, snapshots, "old", "new")
     return apply_watches(versions, MIXED_RULES, ["path"])
 
 
@@ -258,7 +258,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     changes, snapshots = mixed_documents(spark, sf)
-    rows = run_rules(changes, snapshots, MIXED_RULES, ["path"], F.lit("old"), F.lit("new"))
+    rows = run_rules(changes, snapshots, MIXED_RULES, ["path"], "old", "new")
     return rows.select("path", "concern_id", "signal_pos", "message", "diff_text", "line_start", "line_end")
 
 
@@ -302,7 +302,7 @@ def _line_count(content, path, params):
 )
 def _(spark, sf):
     register_extractor("line-count", _line_count)
-    rows = attach_versions(_declared(spark, sf), V.snapshots(spark, sf), F.lit(V.BASE), F.lit(V.HEAD))
+    rows = attach_versions(_declared(spark, sf), V.snapshots(spark, sf), V.BASE, V.HEAD)
     rule = Rule("size", 0, 0, ("**",), "line-count", {"label": "lines: "})
     return apply_watches(rows, [rule], ["doc_id"]).select("doc_id", "left_artifact", "right_artifact")
 

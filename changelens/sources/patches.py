@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.rows import one_row_each
+
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@ ?(.*)"
 
 
@@ -21,53 +23,63 @@ def _file_chunks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     chunks = F.filter(
         F.split(F.col(text), r"(?m)^(?=diff --git )", -1), lambda c: F.startswith(c, F.lit("diff --git "))
     )
-    rows = drop_blank(df, text).select(*keys, F.posexplode(chunks).alias("file_no", "chunk"))
+    rows = one_row_each(drop_blank(df, text), keys, chunks, "chunk", "file_no")
     parts = F.split("chunk", r"(?m)^(?=@@ )", -1)
     return rows.select(*keys, "file_no", F.element_at(parts, 1).alias("head"), F.slice(parts, F.lit(2), F.size(parts) - 1).alias("hunks"))
 
 
-def _head(rx: str, group: int = 1) -> Column:
-    found = F.regexp_extract("head", "(?m)" + rx, group)
-    return F.when(found != "", found)
+def _head(start: str, rest: str = "(.+)") -> Column:
+    """What follows ``start`` on the first line that begins with it; the search is skipped where it is absent."""
+    found = F.regexp_extract("head", rf"(?m)^{start}{rest}$", 1)
+    return F.when(F.contains("head", F.lit(start)) & (found != ""), found)
 
 
-def _path(side: str, letter: str) -> Column:
-    """From the rename or copy lines, else the ---/+++ lines, else the first line."""
-    moved = _head(rf"^(?:rename|copy) {'from' if letter == 'a' else 'to'} (.+)$")
-    marked = _head(rf"^{side} (/dev/null|{letter}/(?:.+?))\t?$")
-    first = _head(r"^diff --git a/(.+) b/(.+)$", 1 if letter == "a" else 2)
-    return F.coalesce(moved, F.regexp_replace(marked, rf"^{letter}/", ""), first)
+def _path(mark: str, letter: str, moved: str) -> Column:
+    """From the rename or copy line, else the ---/+++ line, else the first line."""
+    first = F.regexp_extract("head", rf"^diff --git a/(.+) b/(.+)(?:\n|\z)", 1 if letter == "a" else 2)
+    marked = F.regexp_extract("head", rf"(?m)^{mark} (/dev/null|{letter}/.+?)\t?$", 1)
+    return F.coalesce(
+        _head(f"rename {moved} "), _head(f"copy {moved} "), F.when(marked != "", F.regexp_replace(marked, f"^{letter}/", "")), first
+    )
 
 
 def diff_files(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row per file: paths, type, modes, revisions, similarity, is_binary."""
     head = F.col("head")
+
+    def has(line: str) -> Column:
+        return F.startswith(head, F.lit(line)) | F.contains(head, F.lit("\n" + line))
+
     kind = (
-        F.when(head.rlike(r"(?m)^new file mode "), "add")
-        .when(head.rlike(r"(?m)^deleted file mode "), "delete")
-        .when(head.rlike(r"(?m)^rename from "), "rename")
-        .when(head.rlike(r"(?m)^copy from "), "copy")
+        F.when(has("new file mode "), "add")
+        .when(has("deleted file mode "), "delete")
+        .when(has("rename from "), "rename")
+        .when(has("copy from "), "copy")
         .otherwise("modify")
     )
-    index = r"^index ([0-9a-f]+)\.\.([0-9a-f]+)(?: (\d+))?$"
+    # Values that several columns need are computed in a projection of their own.
+    rows = _file_chunks(df, keys, text).select(*keys, "file_no", "head", kind.alias("type"), _head("index ").alias("index"))
     null = F.lit("/dev/null")
-    return _file_chunks(df, keys, text).select(
+    revs = F.split(F.regexp_extract("index", r"^([0-9a-f]+\.\.[0-9a-f]+)", 1), r"\.\.")
+    mode = F.regexp_extract("index", r" (\d+)$", 1)
+    mode = F.when(mode != "", mode)
+    return rows.select(
         *keys,
         "file_no",
-        F.when(kind == "add", null).otherwise(_path("---", "a")).alias("old_path"),
-        F.when(kind == "delete", null).otherwise(_path(r"\+\+\+", "b")).alias("new_path"),
-        kind.alias("type"),
-        F.coalesce(_head(r"^(?:old mode|deleted file mode) (\d+)$"), _head(index, 3)).alias("old_mode"),
-        F.coalesce(_head(r"^(?:new mode|new file mode) (\d+)$"), _head(index, 3)).alias("new_mode"),
-        _head(index, 1).alias("old_rev"),
-        _head(index, 2).alias("new_rev"),
-        _head(r"^similarity index (\d+)%$").cast("int").alias("similarity"),
-        head.rlike(r"(?m)^(?:Binary files .* differ|GIT binary patch)$").alias("is_binary"),
+        F.when(F.col("type") == "add", null).otherwise(_path("---", "a", "from")).alias("old_path"),
+        F.when(F.col("type") == "delete", null).otherwise(_path(r"\+\+\+", "b", "to")).alias("new_path"),
+        "type",
+        F.coalesce(_head("old mode "), _head("deleted file mode "), mode).alias("old_mode"),
+        F.coalesce(_head("new mode "), _head("new file mode "), mode).alias("new_mode"),
+        F.try_element_at(revs, F.lit(1)).alias("old_rev"),
+        F.try_element_at(revs, F.lit(2)).alias("new_rev"),
+        _head("similarity index ", r"(\d+)%").cast("int").alias("similarity"),
+        (has("GIT binary patch") | (has("Binary files ") & head.rlike(r"(?m)^Binary files .* differ$"))).alias("is_binary"),
     )
 
 
 def _hunks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    rows = _file_chunks(df, keys, text).select(*keys, "file_no", F.posexplode("hunks").alias("hunk_no", "hunk"))
+    rows = one_row_each(_file_chunks(df, keys, text), [*keys, "file_no"], F.col("hunks"), "hunk", "hunk_no")
 
     def length(group: int) -> Column:
         found = F.regexp_extract("hunk", _HUNK, group)
@@ -95,9 +107,8 @@ def diff_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row per line: insert, delete or normal, its text, and its line number on each side it is on."""
     lines = F.split(F.regexp_replace("hunk", r"\n\z", ""), "\n", -1)
     body = F.filter(F.slice(lines, F.lit(2), F.size(lines) - 1), lambda s: ~F.startswith(s, F.lit("\\")))
-    rows = _hunks(df, keys, text).select(
-        *keys, "file_no", "hunk_no", "old_start", "new_start", F.posexplode(body).alias("line_no", "line")
-    )
+    kept = [*keys, "file_no", "hunk_no", "old_start", "new_start"]
+    rows = one_row_each(_hunks(df, keys, text), kept, body, "line", "line_no")
     kind = F.when(F.startswith("line", F.lit("+")), "insert").when(F.startswith("line", F.lit("-")), "delete").otherwise("normal")
     rows = rows.withColumn("type", kind)
     # The lines of one hunk of one text.
