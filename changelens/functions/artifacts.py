@@ -6,12 +6,19 @@ side: the JSON text of that side's list of maps. A side without any match has an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NO_CONTEXT = "array<string>"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def artifact(text: Column, context: Column | None = None) -> Column:
     empty = F.array().cast(NO_CONTEXT)
     return F.struct(

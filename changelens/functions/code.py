@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .artifacts import artifact, or_empty
+from .artifacts import artifact, bind, or_empty
 from .paths import language_of
 from .regex import group_maps
 
@@ -95,22 +95,22 @@ def declarations(path: Column, content: Column, kind: str, override: str | None
 
     Languages without that kind have none; content without a known language is an error when strict.
     """
-    language = language_of(path, override, strict)
-    empty = F.array().cast("array<string>")
-    found = F.when(F.lit(False), F.struct(empty.alias("names"), empty.alias("bodies")))
-    for name, kinds in HEADERS.items():
-        if kind in kinds:
-            rx = F.lit(declaration_regex(name, kind))
-            found = found.when(
-                language == name,
-                F.struct(
-                    F.regexp_extract_all(content, rx, F.lit(1)).alias("names"),
-                    F.regexp_extract_all(content, rx, F.lit(0)).alias("bodies"),
-                ),
-            )
     if not any(kind in kinds for kinds in HEADERS.values()):
         raise ValueError(f"Unknown declaration kind: {kind}")
-    return found.when(language.isNotNull(), F.struct(empty.alias("names"), empty.alias("bodies")))
+    empty = F.array().cast("array<string>")
+    nothing = F.struct(empty.alias("names"), empty.alias("bodies"))
+
+    def by_language(language: Column) -> Column:
+        found = F.when(language.isNull(), None)
+        for name, kinds in HEADERS.items():
+            if kind in kinds:
+                rx = F.lit(declaration_regex(name, kind))
+                names = F.regexp_extract_all(content, rx, F.lit(1)).alias("names")
+                bodies = F.regexp_extract_all(content, rx, F.lit(0)).alias("bodies")
+                found = found.when(language == name, F.struct(names, bodies))
+        return found.otherwise(nothing)
+
+    return bind(language_of(path, override, strict), by_language)
 
 
 def code_extract(
@@ -119,11 +119,14 @@ def code_extract(
     """The artifact of a declaration rule: names or whole declarations; names are context of declarations."""
     if capture not in ("name", "body"):
         raise ValueError(f"Unknown capture: {capture}")
-    found = declarations(path, content, kind, language)
-    if capture == "name":
-        return or_empty(artifact(F.array_join(found["names"], "\n\n"), F.array(F.lit("[]"))), content)
-    names = F.to_json(F.transform(found["names"], lambda n: F.create_map(F.lit("name"), n)))
-    return or_empty(artifact(F.array_join(found["bodies"], "\n\n"), F.array(names)), content)
+
+    def shown(found: Column) -> Column:
+        if capture == "name":
+            return artifact(F.array_join(found["names"], "\n\n"), F.array(F.lit("[]")))
+        names = F.to_json(F.transform(found["names"], lambda n: F.create_map(F.lit("name"), n)))
+        return artifact(F.array_join(found["bodies"], "\n\n"), F.array(names))
+
+    return or_empty(bind(declarations(path, content, kind, language), shown), content)
 
 
 _CLOSERS = {")": "(", "]": "[", "}": "{"}
@@ -186,9 +189,11 @@ def template_extract(content: Column, template: str, selector: str | None = None
     rx, names = template_regex(template)
     if selector is not None and selector not in names:
         raise ValueError(f"Selector {selector!r} is not a hole of the context template")
-    matches = F.regexp_extract_all(content, F.lit(rx), F.lit(0))
-    shown = matches if selector is None else F.regexp_extract_all(content, F.lit(rx), F.lit(names[selector]))
-    # Matches without any named value add nothing, but a side with matches keeps its (empty) list.
-    maps = F.filter(group_maps(content, rx, names), lambda m: F.size(m) > 0) if names else None
-    context = F.array(F.to_json(maps) if maps is not None else F.lit("[]"))
-    return or_empty(artifact(F.array_join(shown, "\n\n"), context), content)
+    shown = F.regexp_extract_all(content, F.lit(rx), F.lit(names[selector] if selector else 0))
+    # Matches without any named value add nothing, but the list itself is always there.
+    maps = F.to_json(F.filter(group_maps(content, rx, names), lambda m: F.size(m) > 0)) if names else F.lit("[]")
+    found = bind(
+        shown,
+        lambda m: artifact(F.array_join(m, "\n\n"), F.array(F.when(F.size(m) > 0, maps).otherwise(F.lit("[]")))),
+    )
+    return or_empty(found, content)

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .artifacts import artifact, or_empty
+from .artifacts import artifact, bind, or_empty
 
 STRING_TOKEN = r'"(?:[^"\\]|\\.)*+"'
 
@@ -27,12 +27,15 @@ def _variant(content: Column, strict: bool) -> Column:
 
 def json_path(content: Column, path: str, strict: bool = True) -> Column:
     """The value at a path as JSON text; ``null`` when missing. Invalid JSON raises, or is NULL when not strict."""
-    doc = _variant(content, strict)
-    node = F.try_variant_get(doc, path, "variant")
-    value = F.when(F.schema_of_variant(node) == "STRING", F.to_json(node)).otherwise(
-        F.coalesce(F.get_json_object(content, path), F.lit("null"))
-    )
-    return F.when(doc.isNotNull(), value)
+
+    def value(doc: Column) -> Column:
+        node = F.try_variant_get(doc, path, "variant")
+        text = F.when(F.schema_of_variant(node) == "STRING", F.to_json(node)).otherwise(
+            F.coalesce(F.get_json_object(content, path), F.lit("null"))
+        )
+        return F.when(doc.isNotNull(), text)
+
+    return bind(_variant(content, strict), value)
 
 
 def json_object(text: Column) -> Column:
@@ -124,32 +127,34 @@ def query_shape(query: str) -> dict[str, str]:
 def json_extract(content: Column, query: str | None = None, strict: bool = True, **params: str) -> Column:
     """The artifact of a JSON rule: a value, sorted keys, an object without a key, or entries by key prefix."""
     shape = query_shape(query) if query is not None else {"op": "value", "path": "$", "arg": "", **params}
-    path, arg = shape["path"], shape["arg"]
-    value = json_path(content, path, strict)
-    is_object = F.startswith(F.get_json_object(content, path), F.lit("{"))
-    if shape["op"] == "value":
-        whole = json_pretty(json_object(_at(content, path)))
-        text = F.when(is_object & ~F.startswith(value, F.lit('"')), whole).otherwise(F.concat(value, F.lit("\n")))
-    elif shape["op"] == "keys":
-        text = _pretty_list(
-            F.transform(json_keys(content, path), lambda k: F.concat(F.lit("  "), json_quote(k)))
-        )
-    elif shape["op"] == "del":
-        text = json_pretty(json_del(content, path, arg))
-    elif shape["op"] == "entries":
-        text = _pretty_list(
-            F.transform(
-                F.map_entries(json_entries(content, path, arg)),
-                lambda e: F.concat(
-                    F.lit('  {\n    "key": '), json_quote(e["key"]), F.lit(',\n    "value": '), e["value"], F.lit("\n  }")
-                ),
-            )
+    path, arg, op = shape["path"], shape["arg"], shape["op"]
+
+    def pair(e: Column) -> Column:
+        return F.concat(
+            F.lit('  {\n    "key": '), json_quote(e["key"]), F.lit(',\n    "value": '), e["value"], F.lit("\n  }")
         )
+
+    if op == "value":
+        whole = json_pretty(json_object(_at(content, path)))
+
+        def body(value: Column) -> Column:
+            # A string value keeps its quotes, so a brace in front means an object.
+            return F.when(F.startswith(value, F.lit("{")), whole).otherwise(F.concat(value, F.lit("\n")))
+
     else:
-        raise ValueError(f"Unknown JSON operation: {shape['op']}")
-    # NULL text: the document is invalid (not strict), or the path holds no object.
-    missing = F.when(value.isNotNull() & F.lit(shape["op"] != "value"), F.lit("null\n")).otherwise(F.lit(""))
-    blank = F.length(F.trim(F.regexp_replace(content, r"\s", ""))) == 0
-    return or_empty(
-        artifact(F.when(blank, F.lit("")).otherwise(F.coalesce(text, missing))), content
-    )
+        if op == "keys":
+            text = _pretty_list(F.transform(json_keys(content, path), lambda k: F.concat(F.lit("  "), json_quote(k))))
+        elif op == "del":
+            text = json_pretty(json_del(content, path, arg))
+        elif op == "entries":
+            text = _pretty_list(F.transform(F.map_entries(json_entries(content, path, arg)), pair))
+        else:
+            raise ValueError(f"Unknown JSON operation: {op}")
+
+        def body(value: Column) -> Column:
+            # The path may hold no object.
+            return F.when(value.isNotNull(), F.coalesce(text, F.lit("null\n")))
+
+    text_or_null = bind(json_path(content, path, strict), body)
+    has_text = content.rlike(r"\S")
+    return or_empty(artifact(F.when(has_text, F.coalesce(text_or_null, F.lit(""))).otherwise(F.lit(""))), content)

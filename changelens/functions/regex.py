@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .artifacts import artifact, or_empty
+from .artifacts import artifact, bind, or_empty
 
-_WIDE_SPACE = r"\s   -     　﻿"
+_WIDE_SPACE = "\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def js_flags(flags: str = "") -> str:
@@ -95,13 +95,44 @@ def group_maps(content: Column, rx: str, names: dict[str, int]) -> Column:
     )
 
 
+def required_literal(pattern: str, flags: str = "") -> str:
+    """The longest plain text every match must hold; '' when none is certain. Only top-level text counts."""
+    if "i" in flags:
+        return ""
+    # Groups, classes and escapes end a run of plain characters; so does a character that may be left out.
+    token = r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|[*+?]\??|\{[\d,]+\}\??|."
+    depth, run, runs = 0, "", [""]
+    for t in re.findall(token, pattern, re.S):
+        if t == "|" and depth == 0:
+            return ""
+        plain = depth == 0 and len(t) == 1 and t not in "()[]{}^$.|*+?\\"
+        if t[0] in "*?{" and run:
+            run = run[:-1]
+        depth += {"(": 1, ")": -1}.get(t, 0)
+        if plain:
+            run += t
+        else:
+            runs.append(run)
+            run = ""
+    return max([*runs, run], key=len)
+
+
+def all_matches(content: Column, pattern: str, flags: str = "") -> Column:
+    """Whole matches in order. A text without the pattern's certain characters is not searched."""
+    rx, _ = java_pattern(pattern, flags)
+    found = F.regexp_extract_all(content, F.lit(rx), F.lit(0))
+    literal = required_literal(pattern, flags)
+    if not literal:
+        return found
+    return F.when(F.contains(content, F.lit(literal)), found).otherwise(F.array().cast("array<string>"))
+
+
 def regex_extract(content: Column, pattern: str, flags: str = "") -> Column:
     """All matches joined by newlines, with the named groups of each match as context."""
     rx, names = java_pattern(pattern, flags)
-    matches = F.regexp_extract_all(content, F.lit(rx), F.lit(0))
-    if names:
-        maps = group_maps(content, rx, names)
-        context = F.when(F.size(matches) > 0, F.array(F.to_json(maps)))
-    else:
-        context = F.when(F.size(matches) > 0, F.array(F.lit("[]")))
-    return or_empty(artifact(F.array_join(matches, "\n"), context), content)
+    groups = F.to_json(group_maps(content, rx, names)) if names else F.lit("[]")
+    found = bind(
+        all_matches(content, pattern, flags),
+        lambda m: artifact(F.array_join(m, "\n"), F.when(F.size(m) > 0, F.array(groups))),
+    )
+    return or_empty(found, content)

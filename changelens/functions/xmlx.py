@@ -7,29 +7,35 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .artifacts import artifact, or_empty
+from .artifacts import artifact, bind, or_empty
 
 _PROLOG = r"^\s*(?:<\?xml[^>]*\?>)?(?:\s|<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<!DOCTYPE[^>\[]*(?:\[[^\]]*\]\s*)?>)*"
 
 
-def well_formed(content: Column) -> Column:
-    """The document body when it is one well-formed element, else NULL.
+def _is_sound(body: Column) -> Column:
+    """Whether a text without prolog is one well-formed element.
 
-    The body is wrapped into a fresh root, so the parser sees the whole text, and text or a second element
-    after the root shows up as a second child.
+    The text is wrapped into a fresh root, so the parser sees all of it. Mostly the root's name then opens
+    once and its closing tag ends the text; otherwise the children of the fresh root are counted.
     """
-    body = F.regexp_replace(content, _PROLOG, "")
     wrapped = F.concat(F.lit("<whole>"), body, F.lit("</whole>"))
     parsed = F.from_xml(
         wrapped, "broken string", {"columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE", "rowTag": "whole"}
     )
-    sound = F.when(parsed["broken"].isNull(), wrapped)
-    # Mostly the root's name opens once and its closing tag ends the text; then there is nothing else to look for.
+    single = F.xpath_boolean(wrapped, F.lit("count(/whole/*)=1 and not(/whole/text()[normalize-space()])"))
+
+    def one_root(root: Column) -> Column:
+        once = F.regexp_count(body, F.concat(F.lit("</?"), root, F.lit(r"[\s/>]"))) == 2
+        ended = F.endswith(F.rtrim(body, F.lit(" \t\r\n")), F.concat(F.lit("</"), root, F.lit(">")))
+        return ((root != "") & once & ended) | single
+
     root = F.regexp_extract(body, r"^<([\w:.\-]+)", 1)
-    once = (root != "") & (F.regexp_count(body, F.concat(F.lit("</?"), root, F.lit(r"[\s/>]"))) == 2)
-    ended = F.endswith(F.rtrim(body, F.lit(" \t\r\n")), F.concat(F.lit("</"), root, F.lit(">")))
-    single = F.xpath_boolean(sound, F.lit("count(/whole/*)=1 and not(/whole/text()[normalize-space()])"))
-    return F.when(sound.isNotNull() & (body != "") & ((once & ended) | single), body)
+    return (body != "") & parsed["broken"].isNull() & bind(root, one_root)
+
+
+def well_formed(content: Column) -> Column:
+    """The document without prolog when it is one well-formed element, else NULL."""
+    return bind(F.regexp_replace(content, _PROLOG, ""), lambda body: F.when(_is_sound(body), body))
 
 
 def map_namespaces(expr: str, namespaces: dict[str, str] | None) -> str:
@@ -53,9 +59,12 @@ def xpath_value(content: Column, expr: str, kind: str = "string", namespaces: di
     elif kind == "boolean":
         text = F.xpath_boolean(body, path).cast("string")
     elif kind == "number":
-        number = F.xpath_number(body, path)
-        whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-        text = F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+
+        def shown(number: Column) -> Column:
+            whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+            return F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+
+        text = bind(F.xpath_number(body, path), shown)
     else:
         raise ValueError(f"Unknown XPath result kind: {kind}")
     return F.coalesce(text, F.lit(""))

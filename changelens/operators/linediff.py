@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -189,7 +189,7 @@ def _longest_increasing(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(indices)
 
 
-def _anchors() -> Column:
+def _anchors() -> tuple[Column, Callable[[Column], Column]]:
     """The lines that occur once on each side of the changed region, as positions ordered by the left one.
 
     Both sides are sorted together by line; a line that is unique on both sides is a left item followed by a
@@ -225,14 +225,43 @@ def _anchors() -> Column:
     return merged, unique_pairs
 
 
-def anchored_diff(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """Several hunks per row: ``hunk_no, old_start, old_lines, new_start, new_lines, hunk_text``.
+def _hunk(g: Column) -> Column:
+    """Bounds and text of the hunk around a run of segments, with its context lines."""
+    first, last = F.element_at(g, 1), F.element_at(g, -1)
+    before = F.least(F.lit(CONTEXT_LINES), first["l0"])
+    after = F.least(F.lit(CONTEXT_LINES), F.size("__l") - last["l1"])
+    old = last["l1"] - first["l0"] + before + after
+    new = last["r1"] - first["r0"] + before + after
+
+    def body(seg: Column, i: Column) -> Column:
+        until = F.coalesce(F.try_element_at(g, i + 2)["l0"], seg["l1"] + after)
+        return F.concat(
+            _marked("-", F.slice("__l", seg["l0"] + 1, seg["l1"] - seg["l0"])),
+            _marked("+", F.slice("__r", seg["r0"] + 1, seg["r1"] - seg["r0"])),
+            _marked(" ", F.slice("__l", seg["l1"] + 1, until - seg["l1"])),
+        )
+
+    lines = F.concat(_marked(" ", F.slice("__l", first["l0"] - before + 1, before)), F.flatten(F.transform(g, body)))
+    return F.struct(
+        F.when(old == 0, first["l0"] - before).otherwise(first["l0"] - before + 1).alias("old_start"),
+        old.alias("old_lines"),
+        F.when(new == 0, first["r0"] - before).otherwise(first["r0"] - before + 1).alias("new_start"),
+        new.alias("new_lines"),
+        F.array_join(lines, "\n").alias("body"),
+    )
+
+
+def with_hunks(df: DataFrame, left: str, right: str) -> DataFrame:
+    """Add ``hunks``: several hunks per row where unchanged lines lie between the changes.
 
     Inside the trimmed region the lines that occur once on both sides and keep their order are anchors;
     between two anchors the common edges are trimmed again. Nothing is shuffled; only the positions of the
     anchors go through Python, for their longest increasing run.
     """
-    rows = _changed_region(df, keys, left, right).withColumn("__ml", _middle("__l")).withColumn("__mr", _middle("__r"))
+    kept = df.columns
+    rows = df.select("*", text_lines(F.col(left)).alias("__l"), text_lines(F.col(right)).alias("__r"))
+    rows = rows.withColumn("__e", common_edges(F.col("__l"), F.col("__r")))
+    rows = rows.withColumn("__ml", _middle("__l")).withColumn("__mr", _middle("__r"))
     p = F.col("__e.prefix")
     merged, unique_pairs = _anchors()
     none = F.array().cast("array<struct<l:int,r:int>>")
@@ -246,26 +275,22 @@ def anchored_diff(df: DataFrame, keys: list[str], left: str, right: str) -> Data
     def point(l: Column, r: Column) -> Column:
         return F.struct(l.cast("int").alias("l"), r.cast("int").alias("r"))
 
-    rows = rows.withColumn(
-        "__p",
-        F.concat(
-            F.array(point(F.lit(-1), F.lit(-1))),
-            F.col("__a"),
-            F.array(point(F.size("__ml"), F.size("__mr"))),
-        ),
-    )
+    ends = F.array(point(F.lit(-1), F.lit(-1))), F.array(point(F.size("__ml"), F.size("__mr")))
+    rows = rows.withColumn("__p", F.concat(ends[0], "__a", ends[1]))
 
     def segment(a: Column, b: Column) -> Column:
         ls = F.slice("__ml", a["l"] + 2, b["l"] - a["l"] - 1)
         rs = F.slice("__mr", a["r"] + 2, b["r"] - a["r"] - 1)
-        e = common_edges(ls, rs)
-        lo, ro = p + a["l"] + 1, p + a["r"] + 1
-        return F.struct(
-            (lo + e["prefix"]).alias("l0"),
-            (p + b["l"] - e["suffix"]).alias("l1"),
-            (ro + e["prefix"]).alias("r0"),
-            (p + b["r"] - e["suffix"]).alias("r1"),
-        )
+        # One binding of the edges; they are used four times.
+        return F.transform(
+            F.array(common_edges(ls, rs)),
+            lambda e: F.struct(
+                (p + a["l"] + 1 + e["prefix"]).alias("l0"),
+                (p + b["l"] - e["suffix"]).alias("l1"),
+                (p + a["r"] + 1 + e["prefix"]).alias("r0"),
+                (p + b["r"] - e["suffix"]).alias("r1"),
+            ),
+        )[0]
 
     gaps = F.zip_with(
         F.slice("__p", F.lit(1), F.size("__p") - 1), F.slice("__p", F.lit(2), F.size("__p") - 1), segment
@@ -277,34 +302,25 @@ def anchored_diff(df: DataFrame, keys: list[str], left: str, right: str) -> Data
         lambda i: (i == 1)
         | (F.element_at("__s", i)["l0"] - F.element_at("__s", F.greatest(i - 1, F.lit(1)))["l1"] > 2 * CONTEXT_LINES),
     )
-    rows = rows.withColumn("__h", starts)
-    rows = one_row_each(rows, ["*"], F.col("__h"), "__from", "hunk_no")
-    upto = F.coalesce(F.try_element_at("__h", F.col("hunk_no") + 2), F.size("__s") + 1)
-    rows = rows.withColumn("__g", F.slice("__s", F.col("__from"), upto - F.col("__from")))
-    first, last = F.element_at("__g", 1), F.element_at("__g", -1)
-    before = F.least(F.lit(CONTEXT_LINES), first["l0"])
-    after = F.least(F.lit(CONTEXT_LINES), F.size("__l") - last["l1"])
-    old = last["l1"] - first["l0"] + before + after
-    new = last["r1"] - first["r0"] + before + after
-    bounds = F.struct(
-        F.when(old == 0, first["l0"] - before).otherwise(first["l0"] - before + 1).alias("old_start"),
-        old.alias("old_lines"),
-        F.when(new == 0, first["r0"] - before).otherwise(first["r0"] - before + 1).alias("new_start"),
-        new.alias("new_lines"),
+    rows = rows.withColumn("__h", F.when(F.size("__s") > 0, starts).otherwise(F.array().cast("array<int>")))
+    grouped = F.transform(
+        "__h",
+        lambda start, i: F.slice("__s", start, F.coalesce(F.try_element_at("__h", i + 2), F.size("__s") + 1) - start),
     )
+    rows = rows.withColumn("__g", grouped)
+    rows = rows.withColumn("__b", F.transform("__g", _hunk))
+    hunks = F.transform(
+        "__b",
+        lambda h: F.struct(
+            *[h[c].alias(c) for c in ("old_start", "old_lines", "new_start", "new_lines")],
+            F.concat(_hunk_header(h), F.lit("\n"), h["body"], F.lit("\n")).alias("hunk_text"),
+        ),
+    )
+    return rows.select(*kept, hunks.alias("hunks"))
 
-    def body(g: Column, i: Column) -> Column:
-        following = F.try_element_at("__g", i + 2)
-        until = F.coalesce(following["l0"], g["l1"] + after)
-        return F.concat(
-            _marked("-", F.slice("__l", g["l0"] + 1, g["l1"] - g["l0"])),
-            _marked("+", F.slice("__r", g["r0"] + 1, g["r1"] - g["r0"])),
-            _marked(" ", F.slice("__l", g["l1"] + 1, until - g["l1"])),
-        )
 
-    lines = F.concat(
-        _marked(" ", F.slice("__l", first["l0"] - before + 1, before)), F.flatten(F.transform("__g", body))
-    )
-    rows = rows.withColumn("__b", bounds)
-    text = F.concat(_hunk_header(F.col("__b")), F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"))
-    return rows.select(*keys, F.col("hunk_no"), "__b.*", text.alias("hunk_text"))
+def anchored_diff(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """``with_hunks`` as rows: ``hunk_no, old_start, old_lines, new_start, new_lines, hunk_text``."""
+    changed = df.where(F.col(left) != F.col(right)).select(*keys, F.col(left).alias("__left"), F.col(right).alias("__right"))
+    rows = with_hunks(changed, "__left", "__right")
+    return one_row_each(rows, keys, F.col("hunks"), "h", "hunk_no").select(*keys, "hunk_no", "h.*")

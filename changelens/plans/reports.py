@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.artifacts import merge_context
 from ..functions.paths import effective_path, glob_any
 from ..functions.template import render
-from ..operators.linediff import anchored_diff, with_hunk
+from ..operators.linediff import with_hunk, with_hunks
 from ..operators.references import resolve_refs
 from ..operators.rows import one_row_each
 from ..operators.snapshots import attach_versions
+from ..session import checkpointed
 from ..sources.rules import config_table, definition_table, rule_columns, signal_table
 from .extractors import WITHOUT_LINE_RANGE, extract
 
@@ -124,7 +125,7 @@ def _by_rule(rules: list[Rule], value: Callable[[Rule], Column]) -> Column:
     return column
 
 
-def _with_diff(fired: DataFrame, keys: list[str], hunks: str) -> DataFrame:
+def _with_diff(fired: DataFrame, hunks: str) -> DataFrame:
     if hunks == "one":
         out = with_hunk(fired, "left_artifact", "right_artifact")
         first = F.col("hunk")
@@ -133,20 +134,19 @@ def _with_diff(fired: DataFrame, keys: list[str], hunks: str) -> DataFrame:
         ).drop("hunk")
     if hunks != "anchored":
         raise ValueError(f"Unknown diff form: {hunks}")
-    ident = [*keys, "rule_no"]
-    parts = anchored_diff(fired, ident, "left_artifact", "right_artifact")
-    # The hunks of one text; together they are as large as the text.
-    texts = parts.groupBy(*ident).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hunk_no", "hunk_text"))), lambda h: h["hunk_text"]), "").alias("diff_text"),
-        F.min_by("new_start", "hunk_no").alias("line_start"),
-        F.min_by(F.col("new_start") + F.col("new_lines") - 1, "hunk_no").alias("line_end"),
+    out = with_hunks(fired, "left_artifact", "right_artifact")
+    first = F.col("hunks")[0]
+    return out.select(
+        *fired.columns,
+        F.array_join(F.transform("hunks", lambda h: h["hunk_text"]), "").alias("diff_text"),
+        first["new_start"].alias("line_start"),
+        (first["new_start"] + first["new_lines"] - 1).alias("line_end"),
     )
-    return fired.join(texts, ident)
 
 
 def report_rows(fired: DataFrame, keys: list[str], rules: list[Rule], hunks: str = "one") -> DataFrame:
     """Report rows with rendered messages; fields that are not set are NULL."""
-    out = _with_diff(fired, keys, hunks)
+    out = _with_diff(fired, hunks)
     values = {
         "diffText": F.col("diff_text"),
         "filePath": F.col("file_path"),
@@ -207,8 +207,11 @@ def run_rules(
 
 
 def order_reports(reports: DataFrame, keys: list[str]) -> DataFrame:
-    """By file, then concern, then signal; only sinks need an order."""
-    return reports.orderBy(*keys, "concern_pos", "signal_pos")
+    """By file, then concern, then signal; only sinks need an order.
+
+    A global sort reads its input twice (once for the range borders), so the reports are written down first.
+    """
+    return checkpointed(reports).orderBy(*keys, "concern_pos", "signal_pos")
 
 
 def report_metadata() -> Column:
