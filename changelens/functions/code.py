@@ -22,7 +22,7 @@ HEADERS = {
     "javascript": {
         "function": rf"{_SCRIPT}(?:async\s+)?function\s*\*?\s*{_ID}",
         "class": rf"{_SCRIPT}class\s+{_ID}",
-        "method": rf"[ \t]+(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?\*?{_METHOD}{_ID}\s*\([^()\n]*\)\s*\{{",
+        "method": rf"[ \t]++(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?\*?{_METHOD}{_ID}\s*\([^()\n]*\)\s*\{{",
     },
     "typescript": {
         "function": rf"{_SCRIPT}(?:async\s+)?function\s*\*?\s*{_ID}",
@@ -30,12 +30,12 @@ HEADERS = {
         "interface": rf"{_SCRIPT}interface\s+{_ID}",
         "type": rf"{_SCRIPT}type\s+{_ID}",
         "enum": rf"{_SCRIPT}(?:const\s+)?enum\s+{_ID}",
-        "method": rf"[ \t]+(?:(?:public|protected|private|static|override|readonly)\s+)*(?:async\s+)?(?:get\s+|set\s+)?\*?{_METHOD}{_ID}\s*(?:<[^>\n]*>)?\([^\n]*\)\s*(?::[^{{\n]*)?\{{",
+        "method": rf"[ \t]++(?:(?:public|protected|private|static|override|readonly)\s+)*(?:async\s+)?(?:get\s+|set\s+)?\*?{_METHOD}{_ID}\s*(?:<[^>\n]*>)?\([^\n]*\)\s*(?::[^{{\n]*)?\{{",
     },
     "python": {
         "function": rf"(?:async\s+)?def\s+{_ID}",
         "class": rf"class\s+{_ID}",
-        "method": rf"[ \t]+(?:async\s+)?def\s+{_ID}",
+        "method": rf"[ \t]++(?:async\s+)?def\s+{_ID}",
         "decorated": rf"(?:@[^\n]*\n)+(?:async\s+def|def|class)\s+{_ID}",
     },
     "go": {
@@ -49,7 +49,7 @@ HEADERS = {
         "class": rf"{_JAVA}class\s+{_ID}",
         "interface": rf"{_JAVA}interface\s+{_ID}",
         "enum": rf"{_JAVA}enum\s+{_ID}",
-        "method": rf"[ \t]+{_JAVA}(?:synchronized\s+)?(?:<[^>\n]*>\s+)?(?!(?:return|new|else|throw)\b)[\w.<>\[\],? ]*[\w>\]]\s+{_ID}\s*\([^;{{}}]*\)\s*(?:throws\s+[\w., ]+)?[{{;]",
+        "method": rf"[ \t]++{_JAVA}(?:synchronized\s+)?(?:<[^>\n]*>\s+)?(?!(?:return|new|else|throw)\b)[\w.<>\[\],? ]*[\w>\]]\s+{_ID}\s*\([^;{{}}]*\)\s*(?:throws\s+[\w., ]+)?[{{;]",
     },
     "rust": {
         "function": rf"[ \t]*{_RUST}(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+{_ID}",
@@ -139,7 +139,8 @@ def _run(closer: str | None) -> str:
     o, c = re.escape(_CLOSERS[closer]), re.escape(closer)
     run = rf"[^{o}{c}]*+"
     for _ in range(4):
-        run = rf"[^{o}{c}]*+(?:{o}{run}{c}[^{o}{c}]*+)*"
+        # Possessive: nothing to give back, and long runs need no stack.
+        run = rf"[^{o}{c}]*+(?:{o}{run}{c}[^{o}{c}]*+)*+"
     return run
 
 

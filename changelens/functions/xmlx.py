@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .artifacts import artifact, bind, or_empty
 
-_PROLOG = r"^\s*(?:<\?xml[^>]*\?>)?(?:\s|<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<!DOCTYPE[^>\[]*(?:\[[^\]]*\]\s*)?>)*"
+_PROLOG = r"^\s*(?:<\?xml[^>]*\?>)?(?:\s++|<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<!DOCTYPE[^>\[]*(?:\[[^\]]*\]\s*)?>)*+"
 
 
 def _is_sound(body: Column) -> Column:
