@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 HOT_ROWS = 1_000_000
+MAX_BROADCAST_KEYS = 100_000
 _CHUNK = "__chunk"
 
 
@@ -28,10 +29,13 @@ def _same(left: str, right: str, keys: list[str]) -> Column:
 def _cut_hot(df: DataFrame, keys: list[str], order: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """The rows of ordinary keys, and the rows of hot keys cut into ordered chunks (None when there are none)."""
     hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
-    total = hot.agg(F.sum("count")).first()[0]
-    if total is None:
+    found = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("count").alias("rows")).first()
+    if found["keys"] == 0:
         return df, None
-    hot = checkpointed(hot.select(*keys))
+    total, hot = found["rows"], checkpointed(hot.select(*keys))
+    # Few keys can be hot. Should there be many, no single one weighs enough to matter in a shuffle.
+    if found["keys"] <= MAX_BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     cold = df.alias("d").join(hot.alias("h"), _same("d", "h", keys), "left_anti")
     rows = df.alias("d").join(hot.alias("h"), _same("d", "h", keys), "left_semi")
     chunks = max(2, -(-int(total) // hot_rows) * 2)

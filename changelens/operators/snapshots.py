@@ -45,11 +45,9 @@ def detect_renames(status: DataFrame, path: str = "path", hot_rows: int = HOT_RO
     status = checkpointed(status)
     adds = status.where("type = 'add'").select(F.col(path).alias("new_path"), F.col("new_hash").alias("hash"))
     gone = status.where("type = 'delete'").select(F.col(path).alias("old_path"), F.col("old_hash").alias("hash"))
-    # Only contents present on both sides need a rank.
-    paired_adds = adds.join(gone.select("hash").distinct(), "hash", "left_semi")
-    paired_gone = gone.join(adds.select("hash").distinct(), "hash", "left_semi")
-    pairs = ranked(paired_adds, ["hash"], ["new_path"], hot_rows=hot_rows).join(
-        ranked(paired_gone, ["hash"], ["old_path"], hot_rows=hot_rows), ["hash", "rank"]
+    # A content and a rank name one row on each side, so a large group of copies spreads over all tasks.
+    pairs = ranked(adds, ["hash"], ["new_path"], hot_rows=hot_rows).join(
+        ranked(gone, ["hash"], ["old_path"], hot_rows=hot_rows), ["hash", "rank"]
     )
     renames = checkpointed(pairs.select("old_path", "new_path"))
     left_adds = adds.join(renames, "new_path", "left_anti")
@@ -97,12 +95,18 @@ def attach_versions(changes: DataFrame, snapshots: DataFrame, base: str | Column
         found = snapshots.select(
             F.col("ref").alias("__ref"), F.col("path").alias("__path"), F.col("content").alias(f"{side}_content")
         )
-        rows = rows.withColumn("__path", F.when(F.col("type") != absent, F.col(f"{side}_path")))
+        # Rows without this side keep a path as key, which spreads them; a NULL key would put them into one task.
+        own, other = F.col(f"{side}_path"), F.col("old_path" if side == "new" else "new_path")
+        rows = rows.withColumn("__key", F.coalesce(own, other)).withColumn(
+            "__look", own.isNotNull() & (F.col("type") != absent)
+        )
+        on = (F.col("__key") == F.col("__path")) & F.col("__look")
         if isinstance(ref, str):
-            found, on = found.where(F.col("__ref") == ref).drop("__ref"), ["__path"]
+            found = found.where(F.col("__ref") == ref)
         else:
-            rows, on = rows.withColumn("__ref", ref), ["__ref", "__path"]
-        return rows.join(found, on, "left").drop("__ref", "__path")
+            rows = rows.withColumn("__wanted", ref)
+            on = on & (F.col("__wanted") == F.col("__ref"))
+        return rows.join(found, on, "left").drop("__ref", "__path", "__key", "__look", "__wanted")
 
     return attach(attach(changes, "new", head, "delete"), "old", base, "add").select(
         *changes.columns, "old_content", "new_content"

@@ -21,7 +21,7 @@ from ..sources.rules import config_table, definition_table, rule_columns, signal
 from .extractors import WITHOUT_LINE_RANGE, extract
 
 # Rules go into the plan as literals; a plan holds this many at a time, more make more plans.
-RULES_PER_PLAN = 64
+RULES_PER_PLAN = 256
 MAX_RULES = 10_000
 
 
@@ -196,6 +196,9 @@ def run_rules(
     """
     if not rules:
         raise ValueError("no rules")
+    if len(rules) > RULES_PER_PLAN:
+        # Every plan reads the changes; finding them again for each would read all contents again.
+        changes = checkpointed(changes)
     path = effective_path(F.col("new_path"), F.col("old_path"))
     plans = []
     for start in range(0, len(rules), RULES_PER_PLAN):

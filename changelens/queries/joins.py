@@ -303,7 +303,7 @@ WORDS = r"[A-Z][a-z]+ing\b"
     "e4_match_spans",
     f"""WITH parts AS (SELECT doc_id, regexp_extract_all(text, '{WORDS}') AS found, string_split_regex(text, '{WORDS}') AS gaps FROM documents),
     rows AS (SELECT doc_id, i - 1 AS pos, length(gaps[i]) AS gap, found[i] AS match FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM parts))
-    SELECT doc_id, CAST(pos AS INTEGER) AS pos, sum(gap + length(match)) OVER w - length(match) AS "start", sum(gap + length(match)) OVER w AS "end", match
+    SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(sum(gap + length(match)) OVER w - length(match) AS BIGINT) AS "start", CAST(sum(gap + length(match)) OVER w AS BIGINT) AS "end", match
     FROM rows WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""",
 )
 def _(spark, sf):

@@ -233,8 +233,9 @@ edges1 AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, m + 1
 edges AS (SELECT *, coalesce(nullif(list_position(list_transform(range(0, m - pre), lambda i: l[len(l) - i] = r[len(r) - i]), false), 0) - 1, m - pre) AS suf FROM edges1),
 bounds AS (SELECT *, least(pre, 3) AS b4, least(suf, 3) AS aft,
   len(l) - pre - suf + least(pre, 3) + least(suf, 3) AS old_lines, len(r) - pre - suf + least(pre, 3) + least(suf, 3) AS new_lines FROM edges),
-hunk0 AS (SELECT *, CASE WHEN old_lines = 0 THEN 0 ELSE pre - b4 + 1 END AS old_start,
-  CASE WHEN new_lines = 0 THEN 0 ELSE pre - b4 + 1 END AS new_start FROM bounds),
+hunk0 AS (SELECT * REPLACE (CAST(old_lines AS INTEGER) AS old_lines, CAST(new_lines AS INTEGER) AS new_lines),
+  CAST(CASE WHEN old_lines = 0 THEN 0 ELSE pre - b4 + 1 END AS INTEGER) AS old_start,
+  CAST(CASE WHEN new_lines = 0 THEN 0 ELSE pre - b4 + 1 END AS INTEGER) AS new_start FROM bounds),
 hunks AS (SELECT *, '@@ -' || old_start || CASE WHEN old_lines = 1 THEN '' ELSE ',' || old_lines END
   || ' +' || new_start || CASE WHEN new_lines = 1 THEN '' ELSE ',' || new_lines END || ' @@' || chr(10)
   || array_to_string(list_concat(

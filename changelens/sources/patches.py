@@ -1,14 +1,15 @@
 """Stored unified diffs as rows of files, hunks and lines.
 
-``keys`` must identify a row of the table of diff texts. Files and hunks are cut inside the row; only the
-line numbers need the lines of one hunk in order.
+``keys`` must identify a row of the table of diff texts. Files, hunks and lines are cut and numbered inside
+the row; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.artifacts import bind
 from ..operators.rows import one_row_each
 
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@ ?(.*)"
@@ -103,30 +104,64 @@ def diff_hunks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return _hunks(df, keys, text).drop("hunk")
 
 
+def _numbered(body: Column) -> Column:
+    """The lines of a hunk with their numbers. All within the row.
+
+    The j-th line that is on a side has number start + j there. Both sides are listed in order and sorted
+    together by position, so a line that is on both sides has two neighbouring items.
+    """
+    indexed = F.transform(body, lambda s, i: F.struct(i.alias("at"), s.alias("line")))
+    none = F.lit(None).cast("int")
+
+    def side(items: Column, absent: str, old: bool) -> Column:
+        start = F.col("old_start" if old else "new_start")
+        there = F.filter(items, lambda x: ~F.startswith(x["line"], F.lit(absent)))
+        return F.transform(
+            there,
+            lambda x, j: F.struct(
+                x["at"].alias("at"),
+                (start + j if old else none).alias("old"),
+                (none if old else start + j).alias("new"),
+                x["line"].alias("line"),
+            ),
+        )
+
+    def joined(items: Column) -> Column:
+        # NULL sorts first: the item with the new number comes before the one with the old number.
+        def one(i: Column) -> Column:
+            item, following = F.element_at(items, i), F.try_element_at(items, i + 1)
+            twin = following["at"].eqNullSafe(item["at"])
+            return F.struct(
+                item["at"].alias("line_no"),
+                item["line"].alias("line"),
+                F.coalesce(item["old"], F.when(twin, following["old"])).alias("old_line"),
+                item["new"].alias("new_line"),
+                ((i == 1) | (F.element_at(items, F.greatest(i - 1, F.lit(1)))["at"] != item["at"])).alias("first"),
+            )
+
+        return F.when(
+            F.size(items) > 0, F.filter(F.transform(F.sequence(F.lit(1), F.size(items)), one), lambda x: x["first"])
+        )
+
+    both = bind(indexed, lambda items: F.array_sort(F.concat(side(items, "+", True), side(items, "-", False))))
+    return bind(both, joined)
+
+
 def diff_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row per line: insert, delete or normal, its text, and its line number on each side it is on."""
     lines = F.split(F.regexp_replace("hunk", r"\n\z", ""), "\n", -1)
     body = F.filter(F.slice(lines, F.lit(2), F.size(lines) - 1), lambda s: ~F.startswith(s, F.lit("\\")))
-    kept = [*keys, "file_no", "hunk_no", "old_start", "new_start"]
-    rows = one_row_each(_hunks(df, keys, text), kept, body, "line", "line_no")
-    kind = F.when(F.startswith("line", F.lit("+")), "insert").when(F.startswith("line", F.lit("-")), "delete").otherwise("normal")
-    rows = rows.withColumn("type", kind)
-    # The lines of one hunk of one text.
-    upto = Window.partitionBy(*keys, "file_no", "hunk_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-
-    def number(start: str, absent: str) -> Column:
-        n = F.col(start) + F.count_if(F.col("type") != absent).over(upto).cast("int") - 1
-        return F.when(F.col("type") != absent, n)
-
+    rows = one_row_each(_hunks(df, keys, text), [*keys, "file_no", "hunk_no"], _numbered(body), "l")
+    kind = F.when(F.col("l.old_line").isNull(), "insert").when(F.col("l.new_line").isNull(), "delete").otherwise("normal")
     return rows.select(
         *keys,
         "file_no",
         "hunk_no",
-        "line_no",
-        "type",
-        F.substring("line", 2, 2147483647).alias("content"),
-        number("old_start", "insert").alias("old_line"),
-        number("new_start", "delete").alias("new_line"),
+        "l.line_no",
+        kind.alias("type"),
+        F.substring("l.line", 2, 2147483647).alias("content"),
+        "l.old_line",
+        "l.new_line",
     )
 
 
