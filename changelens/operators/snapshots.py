@@ -84,12 +84,17 @@ def detect_renames(status: DataFrame, path: str = "path", hot_rows: int = HOT_RO
     )
 
 
-def attach_versions(changes: DataFrame, snapshots: DataFrame, base: str | Column, head: str | Column) -> DataFrame:
+def attach_versions(
+    changes: DataFrame, snapshots: DataFrame, base: str | Column, head: str | Column, few: bool = False
+) -> DataFrame:
     """Old content at (base, old_path) and new content at (head, new_path); a missing side is NULL.
 
     ``snapshots`` has ``ref, path, content`` with at most one row per (ref, path). ``base`` and ``head`` may be
     names or columns of ``changes``; a name reads only that ref's rows. The old side is looked up unless the row
     is an add, the new side unless it is a delete.
+
+    ``few`` promises that the paths of ``changes`` are few enough to broadcast: contents nobody asked for are
+    then dropped where they are read, and only the wanted ones are shuffled.
     """
     def attach(rows: DataFrame, side: str, ref: str | Column, absent: str) -> DataFrame:
         found = snapshots.select(
@@ -101,11 +106,16 @@ def attach_versions(changes: DataFrame, snapshots: DataFrame, base: str | Column
             "__look", own.isNotNull() & (F.col("type") != absent)
         )
         on = (F.col("__key") == F.col("__path")) & F.col("__look")
+        names = [F.col("__key").alias("__path")]
         if isinstance(ref, str):
             found = found.where(F.col("__ref") == ref)
         else:
             rows = rows.withColumn("__wanted", ref)
             on = on & (F.col("__wanted") == F.col("__ref"))
+            names.append(F.col("__wanted").alias("__ref"))
+        if few:
+            wanted = rows.where("__look").select(*names).distinct()
+            found = found.join(F.broadcast(wanted), wanted.columns, "left_semi")
         return rows.join(found, on, "left").drop("__ref", "__path", "__key", "__look", "__wanted")
 
     return attach(attach(changes, "new", head, "delete"), "old", base, "add").select(

@@ -23,6 +23,8 @@ from .extractors import WITHOUT_LINE_RANGE, extract
 # Rules go into the plan as literals; a plan holds this many at a time, more make more plans.
 RULES_PER_PLAN = 256
 MAX_RULES = 10_000
+# Up to this many watched changes their paths are broadcast (about 100 bytes each) to pick the contents.
+MAX_BROADCAST_CHANGES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -191,20 +193,20 @@ def run_rules(
 ) -> DataFrame:
     """Changes + snapshots + rules -> reports.
 
-    ``keys`` identify and order a change row. Paths are tested on the narrow change table first, so contents
-    are looked up only for changes some rule watches.
+    ``keys`` identify and order a change row. Paths are tested on the narrow change table first, and the
+    watched changes are written down: finding them is the expensive part, and their number decides how the
+    contents are fetched.
     """
     if not rules:
         raise ValueError("no rules")
-    if len(rules) > RULES_PER_PLAN:
-        # Every plan reads the changes; finding them again for each would read all contents again.
-        changes = checkpointed(changes)
     path = effective_path(F.col("new_path"), F.col("old_path"))
+    watched_by = [glob_any(path, r.include) for r in rules]
+    changes = checkpointed(changes.where(reduce(lambda a, b: a | b, watched_by)))
+    few = changes.count() <= MAX_BROADCAST_CHANGES
     plans = []
     for start in range(0, len(rules), RULES_PER_PLAN):
         some = rules[start : start + RULES_PER_PLAN]
-        watched = changes.where(reduce(lambda a, b: a | b, [glob_any(path, r.include) for r in some]))
-        versions = attach_versions(watched, snapshots, base, head)
+        versions = attach_versions(changes, snapshots, base, head, few)
         plans.append(report_rows(apply_watches(versions, some, keys), keys, some, hunks))
     return reduce(lambda a, b: a.unionByName(b), plans)
 

@@ -221,3 +221,15 @@ def test_one_ref_reads_one_ref(spark):
 
     text = attach_versions(changes, snaps, "b", "h")._jdf.queryExecution().optimizedPlan().toString()
     assert "(ref#" in text and "= b)" in text and "= h)" in text
+
+
+def test_few_changes_pick_their_contents_before_the_shuffle(spark, tables, monkeypatch):
+    rules = load_rules(spark, CONFIG)
+    few = run_rules(*tables, rules, ["file_pos"], "base", "head")
+    assert "LeftSemi" in plan(few)
+    monkeypatch.setattr(R, "MAX_BROADCAST_CHANGES", 2)
+    many = run_rules(*tables, rules, ["file_pos"], "base", "head")
+    assert "LeftSemi" not in plan(many)
+    by_column = run_rules(*tables, rules, ["file_pos"], F.lit("base"), F.concat(F.lit("he"), F.lit("ad")))
+    for other in (many, by_column):
+        assert sorted(r.message for r in other.collect()) == sorted(r.message for r in few.collect())
