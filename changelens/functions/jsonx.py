@@ -57,7 +57,7 @@ def _at(content: Column, path: str) -> Column:
 
 def json_keys(content: Column, path: str = "$") -> Column:
     """Sorted keys of the object at a path."""
-    return F.array_sort(F.json_object_keys(_at(content, path)))
+    return F.sort_array(F.array_distinct(F.json_object_keys(_at(content, path))))
 
 
 def json_del(content: Column, path: str, *keys: str) -> Column:
@@ -105,11 +105,12 @@ def json_all_keys(content: Column) -> Column:
 
 
 # The query shapes a JSON rule may use.
-_PATH = r"(?P<path>\.|(?:\.[A-Za-z_]\w*|\[\d+\])+)"
+_NAME = r"""\.?(?:[A-Za-z_]\w*|"[^"'\\]+"|\["[^"'\\]+"\])"""
+_PATH = rf"(?P<path>\.|(?:(?!\w){_NAME}|\.?\[\d+\])+)"
 QUERY_SHAPES = {
     "value": _PATH,
     "keys": _PATH + r"\s*\|\s*keys",
-    "del": _PATH + r"\s*\|\s*del\(\.(?P<arg>\w+)\)",
+    "del": _PATH + rf"\s*\|\s*del\((?P<arg>(?!\w){_NAME}(?:\s*,\s*(?!\w){_NAME})*)\)",
     "entries": _PATH + r'\s*\|\s*to_entries\s*\|\s*map\(select\(\.key\s*\|\s*startswith\("(?P<arg>[^"\\]*)"\)\)\)',
 }
 
@@ -119,11 +120,17 @@ def query_shape(query: str) -> dict[str, str]:
     for op, shape in QUERY_SHAPES.items():
         found = re.fullmatch(shape, query.strip())
         if found:
-            path = found["path"]
+            # Quoted names become bracketed ones.
+            path = re.sub(r"""\.?\[?"([^"]+)"\]?""", r"['\1']", found["path"]).replace(".[", "[")
             return {"op": op, "path": "$" if path == "." else "$" + path, "arg": found.groupdict().get("arg") or ""}
     raise ValueError(f"Unsupported JSON query {query!r}; give op, path and arg, or register an extractor")
 
 
+def _names(arg: str) -> list[str]:
+    """``.a, ."b-c"`` as names; a plain name stands for itself."""
+    return [quoted or plain for quoted, plain in re.findall(r'"([^"]+)"|([\w$-]+)', arg)]
+
+
 def json_extract(content: Column, query: str | None = None, strict: bool = True, **params: str) -> Column:
     """The artifact of a JSON rule: a value, sorted keys, an object without a key, or entries by key prefix."""
     shape = query_shape(query) if query is not None else {"op": "value", "path": "$", "arg": "", **params}
@@ -145,7 +152,7 @@ def json_extract(content: Column, query: str | None = None, strict: bool = True,
         if op == "keys":
             text = _pretty_list(F.transform(json_keys(content, path), lambda k: F.concat(F.lit("  "), json_quote(k))))
         elif op == "del":
-            text = json_pretty(json_del(content, path, arg))
+            text = json_pretty(json_del(content, path, *_names(arg)))
         elif op == "entries":
             text = _pretty_list(F.transform(F.map_entries(json_entries(content, path, arg)), pair))
         else:

@@ -201,7 +201,7 @@ def _anchors() -> tuple[Column, Callable[[Column], Column]]:
 
     # One item that equals no line at each end, so that every item has neighbours.
     edge = F.array(F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("side"), F.lit(-1).alias("at")))
-    merged = F.concat(edge, F.array_sort(F.concat(side("__ml", 0), side("__mr", 1))), edge)
+    merged = F.concat(edge, F.sort_array(F.concat(side("__ml", 0), side("__mr", 1))), edge)
 
     def unique_pairs(items: Column) -> Column:
         return F.filter(
@@ -268,7 +268,7 @@ def with_hunks(df: DataFrame, left: str, right: str) -> DataFrame:
     both = (F.size("__ml") > 0) & (F.size("__mr") > 0)
     rows = rows.withColumn("__m", F.when(both, merged))
     pairs = F.transform(unique_pairs(F.col("__m")), lambda x: F.struct(x["l"].alias("l"), x["r"].alias("r")))
-    rows = rows.withColumn("__a", F.when(both, F.array_sort(pairs)).otherwise(none)).drop("__m")
+    rows = rows.withColumn("__a", F.when(both, F.sort_array(pairs)).otherwise(none)).drop("__m")
     rows = rows.withColumn("__k", _longest_increasing(F.col("__a.r")))
     rows = rows.withColumn("__a", F.transform("__k", lambda i: F.element_at("__a", i + 1)))
 

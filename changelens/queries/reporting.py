@@ -19,6 +19,7 @@ from ..plans.reports import (
     report_metadata,
     run_rules,
 )
+from ..sources.patches import diff_files
 from ..sources.sinks import reports_json, reports_text
 from . import versions as V
 from .extraction import EMAIL, TOKEN, TOKEN_RX, sql_matches, sql_token_context
@@ -262,6 +263,44 @@ def _(spark, sf):
     return rows.select("path", "concern_id", "signal_pos", "message", "diff_text", "line_start", "line_end")
 
 
+# --- stored diffs: files from diff texts, contents by the refs of each diff ---------------------------------
+
+DIFF_RULES = [
+    Rule("orders", 0, 0, ("orders/**", "done/**"), "regex", {"pattern": "^status (?<status>.*)$"}, "{{filePath}}: {{right.artifact}}"),
+    Rule("logo", 1, 0, ("*.png",), "regex", {"pattern": "."}, "never"),
+]
+
+
+def _order_files(spark, sf):
+    """Contents before and after each stored diff; the ref names the diff."""
+    key, form = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    path = F.concat(F.lit("orders/"), "o_orderpriority", F.lit("/"), key, F.lit(".txt"))
+    orders = table(spark, sf, "orders")
+    text = F.concat(F.lit("id "), key, F.lit("\nstatus "), "o_orderstatus", F.lit("\n"))
+    base = orders.where(form != 0).select(F.concat(F.lit("b"), key).alias("ref"), path.alias("path"), text.alias("content"))
+    moved = F.when(form == 3, F.concat(F.lit("done/"), path)).otherwise(path)
+    done = F.concat(F.lit("id "), key, F.lit("\nstatus DONE\n"))
+    head = orders.where(form != 1).select(F.concat(F.lit("h"), key).alias("ref"), moved.alias("path"), done.alias("content"))
+    return base.unionByName(head)
+
+
+@query(
+    "r5_stored_diffs",
+    f"""WITH {V.ORDERS} SELECT diff_id, CASE form WHEN 3 THEN 'done/' || path ELSE path END AS file_name,
+    CASE form WHEN 3 THEN 'done/' || path ELSE path END || ': ' || CASE WHEN form = 1 THEN '' ELSE 'status DONE' END AS message,
+    '@@ -' || CASE WHEN form = 0 THEN '0,0' ELSE '1' END || ' +' || CASE WHEN form = 1 THEN '0,0' ELSE '1' END || ' @@' || chr(10)
+      || CASE WHEN form = 0 THEN '' ELSE '-' || old || chr(10) || '\\ No newline at end of file' || chr(10) END
+      || CASE WHEN form = 1 THEN '' ELSE '+status DONE' || chr(10) || '\\ No newline at end of file' || chr(10) END AS diff_text,
+    CAST(CASE WHEN form = 1 THEN 0 ELSE 1 END AS INTEGER) AS line_start, CAST(CASE WHEN form = 1 THEN -1 ELSE 1 END AS INTEGER) AS line_end
+    FROM o WHERE form < 4""",
+)
+def _(spark, sf):
+    files = diff_files(V.order_diffs(spark, sf), ["diff_id"], "diff_text")
+    base, head = F.concat(F.lit("b"), "diff_id"), F.concat(F.lit("h"), "diff_id")
+    rows = run_rules(files, _order_files(spark, sf), DIFF_RULES, ["diff_id", "file_no"], base, head)
+    return rows.select("diff_id", "file_name", "message", "diff_text", "line_start", "line_end")
+
+
 # --- templates ------------------------------------------------------------------------------------------
 
 

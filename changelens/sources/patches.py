@@ -143,7 +143,7 @@ def _numbered(body: Column) -> Column:
             F.size(items) > 0, F.filter(F.transform(F.sequence(F.lit(1), F.size(items)), one), lambda x: x["first"])
         )
 
-    both = bind(indexed, lambda items: F.array_sort(F.concat(side(items, "+", True), side(items, "-", False))))
+    both = bind(indexed, lambda items: F.sort_array(F.concat(side(items, "+", True), side(items, "-", False))))
     return bind(both, joined)
 
 

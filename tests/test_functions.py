@@ -134,6 +134,8 @@ PACKAGE = '{"name":"n","version":"1.0.0","dependencies":{"b":"^2","a":"1"},"scri
         (".dependencies | del(.b)", '{\n  "a": "1"\n}\n'),
         ('.scripts | to_entries | map(select(.key | startswith("test")))', '[\n  {\n    "key": "test:x",\n    "value": "t"\n  }\n]\n'),
         (".e", "{}\n"),
+        ('.scripts["test:x"]', '"t"\n'),
+        ('.dependencies | del(.a, ."b")', "{}\n"),
         (".e | keys", "[]\n"),
         (".dependencies.a", '"1"\n'),
     ],
