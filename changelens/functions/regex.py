@@ -27,58 +27,58 @@ def js_flags(flags: str = "") -> str:
     return f"(?{mods})" if mods else ""
 
 
+_ESCAPE = r"\\(?:u\{[0-9A-Fa-f]+\}|u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|c[A-Za-z]|[pP]\{[^}]*\}|k<[^>]*>|\d+|.)"
+_QUANTIFIER = r"\{\d+(?:,\d*)?\}"
+
+
+def _escape(token: str, in_class: bool, names: dict[str, int]) -> str:
+    if token == "\\s":
+        return _WIDE_SPACE if in_class else f"[{_WIDE_SPACE}]"
+    if token == "\\S" and not in_class:
+        return f"[^{_WIDE_SPACE}]"
+    if token.startswith("\\k<"):
+        return f"\\{names[token[3:-1]]}"
+    if token.startswith("\\u{"):
+        return "\\x" + token[2:]
+    if token == "\\0":
+        return "\\x00"
+    if token == "\\b" and in_class:
+        return "\\x08"
+    return token
+
+
 def java_pattern(pattern: str, flags: str = "") -> tuple[str, dict[str, int]]:
     """The same pattern for Java with numbered groups, and the number of each named group.
 
     Java group names allow no underscores, so names become numbers. ``\\s`` is widened to the Unicode
-    blanks, ``[^]`` means any character, ``[`` inside a class is a plain character.
+    blanks, ``[^]`` means any character, ``[`` inside a class and a brace that repeats nothing are plain.
     """
     names: dict[str, int] = {}
     groups, in_class = 0, False
     out = []
-    pos = 0
-    while pos < len(pattern):
-        rest = pattern[pos:]
-        named = re.match(r"\(\?<([A-Za-z_$][\w$]*)>", rest)
-        back = re.match(r"\\k<([^>]+)>", rest)
-        if rest.startswith("\\") and not back:
-            token = rest[:2]
-            if token == "\\s":
-                out.append(_WIDE_SPACE if in_class else f"[{_WIDE_SPACE}]")
-            elif token == "\\S" and not in_class:
-                out.append(f"[^{_WIDE_SPACE}]")
-            else:
-                out.append(token)
-            pos += 2
+    tokens = re.findall(rf"{_ESCAPE}|\[\^\]|\[\^?|\(\?<(?![=!])[^>]*>|\(\?|{_QUANTIFIER}|.", pattern, re.S)
+    for token in tokens:
+        if token[0] == "\\":
+            out.append(_escape(token, in_class, names))
         elif in_class:
-            in_class = rest[0] != "]"
-            out.append("\\" + rest[0] if rest[0] in "[&" else rest[0])
-            pos += 1
-        elif back:
-            out.append(f"\\{names[back[1]]}")
-            pos += back.end()
-        elif named:
+            in_class = token != "]"
+            out.append("".join("\\" + c if c in "[&" else c for c in token))
+        elif token == "[^]":
+            out.append(r"[\s\S]")
+        elif token in ("[", "[^"):
+            in_class = True
+            out.append(token)
+        elif token.startswith("(?<") and token.endswith(">"):
             groups += 1
-            names[named[1]] = groups
+            names[token[3:-1]] = groups
             out.append("(")
-            pos += named.end()
-        elif rest.startswith("[^]"):
-            out.append(r"[\s\S]")
-            pos += 3
         else:
-            if rest[0] == "(" and not rest.startswith("(?"):
-                groups += 1
-            in_class = rest[0] == "["
-            out.append(rest[0])
-            pos += 1
-            if in_class and rest.startswith("[^"):
-                out.append("^")
-                pos += 1
+            groups += token == "("
+            out.append("\\{" if token == "{" else token)
     body = "".join(out)
     if "y" in flags:
         body = rf"\G(?:{body})"
-    rx = js_flags(flags) + body
-    return rx, names
+    return js_flags(flags) + body, names
 
 
 def group_maps(content: Column, rx: str, names: dict[str, int]) -> Column:
@@ -100,7 +100,7 @@ def required_literal(pattern: str, flags: str = "") -> str:
     if "i" in flags:
         return ""
     # Groups, classes and escapes end a run of plain characters; so does a character that may be left out.
-    token = r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|[*+?]\??|\{[\d,]+\}\??|."
+    token = rf"{_ESCAPE}|\[(?:\\.|[^\]\\])*\]|[*+?]\??|{_QUANTIFIER}\??|."
     depth, run, runs = 0, "", [""]
     for t in re.findall(token, pattern, re.S):
         if t == "|" and depth == 0:

@@ -79,6 +79,7 @@ def test_regex_translation():
     rx, names = java_pattern(r"(?<a_b>x)(?:y)[(](z)(?<c>\k<a_b>)")
     assert names == {"a_b": 1, "c": 3}
     assert rx == r"(?m)(x)(?:y)[(](z)(\1)"
+    assert java_pattern(r"\u{41}a{2,}b{c[[&\b]\0(?<!x)(?<=y)(?!z)", "g")[0] == r"\x{41}a{2,}b\{c[\[\&\x08]\x00(?<!x)(?<=y)(?!z)"
     assert [js_flags(f) for f in ("", "g", "gm", "i", "s")] == ["(?m)", "", "(?m)", "(?miu)", "(?ms)"]
     with pytest.raises(ValueError, match="Invalid flags"):
         js_flags("q")
@@ -86,7 +87,8 @@ def test_regex_translation():
 
 @pytest.mark.parametrize(
     ("pattern", "literal"),
-    [("API_KEY=.*", "API_KEY="), ("a|b", ""), ("abc?", "ab"), ("ab*c", "a"), ("(?:abc)?d", "d"), (r"x{2,}yz\d", "yz"), ("[@]", "")],
+    [("API_KEY=.*", "API_KEY="), ("a|b", ""), ("abc?", "ab"), ("ab*c", "a"), ("(?:abc)?d", "d"), (r"x{2,}yz\d", "yz"), ("[@]", ""),
+     (r"\u0041bc", "bc"), (r"\u{1F600}", ""), (r"\p{Lu}x", "x"), (r"a\x41", "a"), (r"(a)\12b", "b"), (r"(?<n>a)\k<n>", ""), (r"a\.b\(", "a")],
 )
 def test_required_literal(pattern, literal):
     assert required_literal(pattern) == literal
