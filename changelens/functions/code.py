@@ -1,28 +1,36 @@
-"""Source code: declarations by language, and code-like templates with holes."""
+"""Source code: declarations by language, and code-like templates with holes.
+
+Brackets nest to any depth, which no plain pattern can follow, so both are read by small Arrow-batched functions:
+one pass blanks out comments and strings, one pairs the brackets, and headers are then looked up in what is left.
+Rows that cannot have a match hand them no text.
+"""
 
 from __future__ import annotations
 
+import functools
 import re
 
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .artifacts import artifact, bind, or_empty
 from .paths import language_of
-from .regex import group_maps
 
 _ID = r"([A-Za-z_$][\w$]*)"
 _SCRIPT = r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
-_JAVA = r"(?:(?:public|protected|private|static|final|abstract|sealed|strictfp)\s+)*"
+_JAVA = r"(?:(?:public|protected|private|static|final|abstract|sealed|strictfp)\s+)*+"
 _RUST = r"(?:pub(?:\([^)]*\))?\s+)?"
 _METHOD = r"(?!(?:if|for|while|switch|catch|return|else|new|throw)\b)"
+_TYPED = r"(?!(?:typedef|class|enum|return|namespace|if|else|for|while|switch|case|new|delete|using|throw|goto)\b)"
 
 # How the header of a declaration starts, by language and kind; the name is the only group.
 HEADERS = {
     "javascript": {
         "function": rf"{_SCRIPT}(?:async\s+)?function\s*\*?\s*{_ID}",
         "class": rf"{_SCRIPT}class\s+{_ID}",
-        "method": rf"[ \t]++(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?\*?{_METHOD}{_ID}\s*\([^()\n]*\)\s*\{{",
+        "method": rf"[ \t]++(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?\*?{_METHOD}{_ID}\s*\(",
     },
     "typescript": {
         "function": rf"{_SCRIPT}(?:async\s+)?function\s*\*?\s*{_ID}",
@@ -30,7 +38,7 @@ HEADERS = {
         "interface": rf"{_SCRIPT}interface\s+{_ID}",
         "type": rf"{_SCRIPT}type\s+{_ID}",
         "enum": rf"{_SCRIPT}(?:const\s+)?enum\s+{_ID}",
-        "method": rf"[ \t]++(?:(?:public|protected|private|static|override|readonly)\s+)*(?:async\s+)?(?:get\s+|set\s+)?\*?{_METHOD}{_ID}\s*(?:<[^>\n]*>)?\([^\n]*\)\s*(?::[^{{\n]*)?\{{",
+        "method": rf"[ \t]++(?:(?:public|protected|private|static|override|readonly|abstract)\s+)*(?:async\s+)?(?:get\s+|set\s+)?\*?{_METHOD}{_ID}\s*(?:<[^>\n]*>)?\(",
     },
     "python": {
         "function": rf"(?:async\s+)?def\s+{_ID}",
@@ -49,10 +57,10 @@ HEADERS = {
         "class": rf"{_JAVA}class\s+{_ID}",
         "interface": rf"{_JAVA}interface\s+{_ID}",
         "enum": rf"{_JAVA}enum\s+{_ID}",
-        "method": rf"[ \t]++{_JAVA}(?:synchronized\s+)?(?:<[^>\n]*>\s+)?(?!(?:return|new|else|throw)\b)[\w.<>\[\],? ]*[\w>\]]\s+{_ID}\s*\([^;{{}}]*\)\s*(?:throws\s+[\w., ]+)?[{{;]",
+        "method": rf"[ \t]++{_JAVA}(?:synchronized\s+|default\s+)*(?:<[^>\n]*>\s+)?(?!(?:return|new|else|throw)\b)[\w.<>\[\],? ]*[\w>\]]\s+{_ID}\s*\(",
     },
     "rust": {
-        "function": rf"[ \t]*{_RUST}(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+{_ID}",
+        "function": rf"{_RUST}(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+{_ID}",
         "struct": rf"{_RUST}struct\s+{_ID}",
         "enum": rf"{_RUST}enum\s+{_ID}",
         "trait": rf"{_RUST}trait\s+{_ID}",
@@ -60,12 +68,12 @@ HEADERS = {
         "impl": rf"(?:unsafe\s+)?impl(?:<[^>\n]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?{_ID}",
     },
     "c": {
-        "function": rf"(?!(?:typedef|struct|enum|return)\b)[A-Za-z_][\w \t*]*[ \t*]{_ID}\s*\([^;{{}}]*\)\s*\{{",
+        "function": rf"{_TYPED}[A-Za-z_][\w \t*]*[ \t*]{_ID}\s*\(",
         "struct": rf"(?:typedef\s+)?struct\s+{_ID}",
         "enum": rf"(?:typedef\s+)?enum\s+{_ID}",
     },
     "cpp": {
-        "function": rf"(?!(?:typedef|struct|class|enum|return|namespace)\b)[A-Za-z_][\w:<>, \t*&]*[ \t*&]{_ID}\s*\([^;{{}}]*\)\s*(?:const\s*)?\{{",
+        "function": rf"{_TYPED}[A-Za-z_][\w:<>, \t*&]*[ \t*&:~]{_ID}\s*\(",
         "class": rf"(?:template\s*<[^>\n]*>\s*)?class\s+{_ID}",
         "struct": rf"(?:template\s*<[^>\n]*>\s*)?struct\s+{_ID}",
         "enum": rf"enum\s+(?:class\s+)?{_ID}",
@@ -73,21 +81,128 @@ HEADERS = {
 }
 
 
-def declaration_regex(language: str, kind: str) -> str:
-    """A whole declaration: the header alone when its line closes it, else up to the end of its block.
+# What a comment, a string or a character looks like.
+_LINE_COMMENT, _BLOCK_COMMENT = r"//[^\n]*", r"/\*[\s\S]*?(?:\*/|\Z)"
+_STRING, _CHAR, _TICKS = r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\[^\n']{1,8}|\\'|[^'\\\n])'", r"`(?:\\[\s\S]|[^`\\])*`?"
+_QUOTED = r"'(?:\\.|[^'\\\n])*'?"
+OPAQUE = {
+    "javascript": [_LINE_COMMENT, _BLOCK_COMMENT, _STRING, _QUOTED, _TICKS],
+    "typescript": [_LINE_COMMENT, _BLOCK_COMMENT, _STRING, _QUOTED, _TICKS],
+    "python": [r'"""[\s\S]*?(?:"""|\Z)', r"\'\'\'[\s\S]*?(?:\'\'\'|\Z)", r"#[^\n]*", _STRING, _QUOTED],
+    "go": [_LINE_COMMENT, _BLOCK_COMMENT, _STRING, _CHAR, r"`[^`]*`?"],
+    "java": [r'"""[\s\S]*?(?:"""|\Z)', _LINE_COMMENT, _BLOCK_COMMENT, _STRING, _CHAR],
+    "rust": [_LINE_COMMENT, _BLOCK_COMMENT, r'\br(#*)"[\s\S]*?"\1', r'"(?:\\[\s\S]|[^"\\])*"?', _CHAR],
+    "c": [_LINE_COMMENT, _BLOCK_COMMENT, _STRING, _CHAR],
+    "cpp": [_LINE_COMMENT, _BLOCK_COMMENT, _STRING, _CHAR],
+}
+_PAIRS = {")": "(", "]": "[", "}": "{"}
+_TEXT = re.compile(r"\S")
+_BRACKET, _STOP, _STOP_OR_LINE = re.compile(r"[()\[\]{}]"), re.compile(r"[()\[\]{};]"), re.compile(r"[()\[\]{};\n]")
+#: Kinds whose declaration may end without a block.
+BLOCKLESS = {("java", "method"), ("rust", "function"), ("rust", "struct"), ("c", "struct"), ("cpp", "struct")}
+
 
-    A block ends at the first line that starts with a closing brace in the first column; in Python it ends
-    before the next unindented line. Members are found by their header only.
-    """
-    try:
-        header = HEADERS[language][kind]
-    except KeyError:
-        raise ValueError(f"No declaration kind {kind!r} for language {language!r}") from None
-    if kind == "method":
-        return rf"(?m)^{header}"
-    if language == "python":
-        return rf"(?m)^{header}[\s\S]*?(?=\s*(?:\n[^\s)\]}}#]|\z))"
-    return rf"(?m)^{header}(?:[^\n]*[}};][ \t]*$|[\s\S]*?^\}}[^\n]*$)"
+@functools.cache
+def _opaque(language: str) -> re.Pattern:
+    return re.compile("|".join(OPAQUE[language]))
+
+
+def masked(content: str, language: str) -> str:
+    """The content with comments as blanks and strings as quotes; every other character keeps its place."""
+
+    def mask(m: re.Match) -> str:
+        return re.sub(r"[^\n]", " ", m[0]) if m[0].startswith(("//", "/*", "#")) else '"' * len(m[0])
+
+    return _opaque(language).sub(mask, content)
+
+
+def pairs(code: str) -> dict[int, int]:
+    """The place of the closing bracket of each opening one that is closed."""
+    found, waiting = {}, []
+    for match in _BRACKET.finditer(code):
+        if match[0] in "([{":
+            waiting.append(match.start())
+        elif waiting and code[waiting[-1]] == _PAIRS[match[0]]:
+            found[waiting.pop()] = match.start()
+    return found
+
+
+def _python_end(code: str, closed: dict[int, int], at: int, indent: int) -> int:
+    """The end of the last line before one that is indented no deeper than the header."""
+    while at < len(code):
+        match = _STOP_OR_LINE.search(code, at)
+        if match is None:
+            return len(code)
+        at = match.end()
+        if match[0] in "([{":
+            at = closed.get(match.start(), len(code)) + 1
+        elif match[0] == "\n":
+            next_text = _TEXT.search(code, at)
+            if next_text is None:
+                return match.start()
+            start = code.rfind("\n", 0, next_text.start()) + 1
+            if next_text.start() - start <= indent:
+                return match.start()
+    return len(code)
+
+
+def _line_ends(code: str, at: int) -> bool:
+    """Whether a type declaration ends at this line break: neither side of it carries the expression on."""
+    before, after = code[:at].rstrip()[-1:], code[at:].lstrip()[:1]
+    return before not in "=|&,<(?:" and after not in tuple("|&?:=.,")
+
+
+def _block_end(code: str, closed: dict[int, int], at: int, language: str, kind: str) -> int | None:
+    """The end of a declaration whose name ends at ``at``; None if it has no block but needs one."""
+    stop = _STOP_OR_LINE if kind == "type" and language in ("typescript", "go") else _STOP
+    callable_ = kind in ("function", "method")
+    after = None  # the end of the parameters
+    while True:
+        match = stop.search(code, at)
+        if match is None:
+            return len(code) if kind == "type" else None
+        place, sign = match.start(), match[0]
+        if sign == "\n":
+            if _line_ends(code, place):
+                return place
+        elif sign == ";":
+            return place + 1 if kind == "type" or (language, kind) in BLOCKLESS else None
+        elif sign in ")]}":
+            return place if kind == "type" else None
+        elif sign == "{" and kind != "type":
+            between = code[after:place].strip() if callable_ and after is not None else ""
+            is_type = (language == "typescript" and between[:1] == ":" and between[-1] in ":|&<,") or (
+                language == "go" and re.search(r"\b(?:interface|struct)$", between)
+            )
+            if not is_type:
+                if kind == "method" and (between and language == "javascript" or between[:1] not in ("", ":") and language == "typescript"):
+                    return None
+                return closed.get(place, len(code) - 1) + 1
+        at = closed.get(place, len(code)) + 1 if sign in "([{" else place + 1
+        if after is None and sign == "(":
+            after = at
+
+
+@functools.cache
+def _header(language: str, kind: str) -> re.Pattern:
+    header = HEADERS[language][kind]
+    return re.compile(rf"^{header}" if kind == "method" else rf"^[ \t]*+{header}", re.MULTILINE)
+
+
+def find_declarations(content: str, language: str, kind: str) -> list[dict[str, str]]:
+    """Name and whole text of the declarations of a kind in order, nested ones too."""
+    code, found = masked(content, language), []
+    closed = pairs(code)
+    for match in _header(language, kind).finditer(code):
+        start = match.start() + len(match[0]) - len(match[0].lstrip())
+        indent = start - code.rfind("\n", 0, start) - 1
+        if language == "python":
+            end = _python_end(code, closed, match.end(1), indent)
+        else:
+            end = _block_end(code, closed, match.end(1), language, kind)
+        if end is not None:
+            found.append({"name": match[1], "body": content[start:end]})
+    return found
 
 
 def declarations(path: Column, content: Column, kind: str, override: str | None = None, strict: bool = True) -> Column:
@@ -95,22 +210,20 @@ def declarations(path: Column, content: Column, kind: str, override: str | None
 
     Languages without that kind have none; content without a known language is an error when strict.
     """
-    if not any(kind in kinds for kinds in HEADERS.values()):
+    having = [name for name, kinds in HEADERS.items() if kind in kinds]
+    if not having:
         raise ValueError(f"Unknown declaration kind: {kind}")
-    empty = F.array().cast("array<string>")
-    nothing = F.struct(empty.alias("names"), empty.alias("bodies"))
 
-    def by_language(language: Column) -> Column:
-        found = F.when(language.isNull(), None)
-        for name, kinds in HEADERS.items():
-            if kind in kinds:
-                rx = F.lit(declaration_regex(name, kind))
-                names = F.regexp_extract_all(content, rx, F.lit(1)).alias("names")
-                bodies = F.regexp_extract_all(content, rx, F.lit(0)).alias("bodies")
-                found = found.when(language == name, F.struct(names, bodies))
-        return found.otherwise(nothing)
+    @F.pandas_udf("array<struct<name:string,body:string>>")
+    def found(contents: pd.Series, languages: pd.Series) -> pd.Series:
+        return pd.Series([[] if text is None else find_declarations(text, lang, kind) for text, lang in zip(contents, languages)], dtype=object)
 
-    return bind(language_of(path, override, strict), by_language)
+    # The function sees all rows, also those for which nobody asks; only who asks gets the error.
+    each_language = language_of(path, override, False)
+    each = found(F.when(each_language.isin(having), content), each_language)
+    language = language_of(path, override, strict)
+    names, bodies = F.transform(each, lambda d: d["name"]), F.transform(each, lambda d: d["body"])
+    return F.when(language.isNotNull(), F.struct(names.alias("names"), bodies.alias("bodies")))
 
 
 def code_extract(
@@ -129,26 +242,40 @@ def code_extract(
     return or_empty(bind(declarations(path, content, kind, language), shown), content)
 
 
-_CLOSERS = {")": "(", "]": "[", "}": "{"}
+# The parts of an expression; brackets and quotes nest to any depth.
+_PARTS = r"""(?(DEFINE)
+(?<quoted>"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\[\s\S]|[^`\\])*+`)
+(?<bracketed>\((?&inside)\)|\[(?&inside)\]|\{(?&inside)\})
+(?<inside>(?:[^()\[\]{}"'`]++|(?&quoted)|(?&bracketed)|["'`])*+)
+(?<primary>(?:[-+!~*&]|(?:await|new|typeof|mut|dyn|keyof|readonly)\s)*+(?:[@\#]?[\p{L}_$][\w$]*+|\d[\w.]*+|(?&quoted)|(?&bracketed)))
+(?<postfix>\s*+(?:\?\.|\.|::|->)\s*+[\p{L}_$\d][\w$]*+!?|(?&bracketed)|<[^<>;(){}\n]*+(?:<[^<>;(){}\n]*+>[^<>;(){}\n]*+)*+>)
+(?<operator>\s*+(?:\|\||&&|\?\?|[=!]==?|<=|>=|<<|>>|\*\*|[-+*/%|&^<>])\s*+)
+)""".replace("\n(?<", "(?<").replace("\n)", ")")
+_EXPRESSION = {
+    True: r"(?&primary)(?:(?&postfix))*+(?:(?&operator)(?&primary)(?:(?&postfix))*+)*+",
+    False: r"(?&primary)(?:(?&postfix))*?(?:(?&operator)(?&primary)(?:(?&postfix))*?)*?",
+}
+_IDENTIFIER = r"[\p{L}_$][\w$]*+"
+#: Words after which a hole is a name.
+NAMING = frozenset("class interface enum struct trait function func fn def type union namespace module".split())
+_CLOSING = {")": "(", "]": "[", "}": "{"}
 
 
-def _run(closer: str | None) -> str:
-    """Any run of text; inside brackets, a run with balanced inner brackets up to four levels."""
-    if closer is None:
+def _run(closer: str) -> str:
+    """Any run of text up to the next template token: balanced before a closing bracket, else within a line."""
+    if not closer:
+        return r"[^\n]*"
+    if closer not in _CLOSING:
         return r"[^\n]*?"
-    o, c = re.escape(_CLOSERS[closer]), re.escape(closer)
-    run = rf"[^{o}{c}]*+"
-    for _ in range(4):
-        # Possessive: nothing to give back, and long runs need no stack.
-        run = rf"[^{o}{c}]*+(?:{o}{run}{c}[^{o}{c}]*+)*+"
-    return run
+    o, c = re.escape(_CLOSING[closer]), re.escape(closer)
+    return rf"(?:[^{o}{c}\"'`]++|(?&quoted)|{o}(?&inside){c}|[\"'`])*+"
 
 
 def template_regex(template: str) -> tuple[str, dict[str, int]]:
-    """A pattern for a code-like template.
+    """A pattern for a code-like template, and the number of each named hole's group.
 
-    ``$NAME`` is one identifier, ``$$$NAME`` any run, ``$_`` and ``$$$`` are unnamed; a repeated name must
-    repeat its text. Blanks between tokens are flexible.
+    ``$NAME`` is one expression (a name after a word like ``class``), ``$$$NAME`` any run, ``$_`` and ``$$$`` are
+    unnamed; a repeated name must repeat its text. Blanks between tokens are flexible.
     """
     tokens = re.findall(r"\$\$\$[A-Z_][A-Z0-9_]*|\$\$\$|\$[A-Z_][A-Z0-9_]*|[^\W\d]\w*|\d+|\s+|[^\w\s]", template.strip())
     names: dict[str, int] = {}
@@ -163,14 +290,16 @@ def template_regex(template: str) -> tuple[str, dict[str, int]]:
             rx += "" if re.match(r"\w", token) and re.match(r"\w", before) else r"\s*"
         if re.fullmatch(r"\$(?:\$\$)?[A-Z_][A-Z0-9_]*|\$\$\$", token):
             name = token.lstrip("$")
-            many = token.startswith("$$$")
-            run = _run(after if after in _CLOSERS else None) if after else r"[^\n]*"
-            body = run if many else r"[A-Za-z_$][\w$]*+"
+            word = next((t for t in reversed(tokens[:i]) if t.strip()), "")
+            if token.startswith("$$$"):
+                body = _run(after)
+            else:
+                body = _IDENTIFIER if word in NAMING else _EXPRESSION[not after]
             if name in names:
-                rx += rf"\{names[name]}"
+                rx += rf"(?P=h{names[name]})"
             elif name.strip("_"):
                 names[name] = len(names) + 1
-                rx += f"({body})"
+                rx += f"(?P<h{names[name]}>{body})"
             else:
                 rx += f"(?:{body})"
         else:
@@ -179,7 +308,18 @@ def template_regex(template: str) -> tuple[str, dict[str, int]]:
         rx = r"(?<![\w$])" + rx
     if re.match(r"\w", tokens[-1]):
         rx += r"(?![\w$])"
-    return rx, names
+    return _PARTS + rx, names
+
+
+@functools.cache
+def _compiled(rx: str) -> regex.Pattern:
+    return regex.compile(rx)
+
+
+def find_templates(content: str, rx: str, names: dict[str, int], selector: str | None) -> dict[str, list]:
+    matches = list(_compiled(rx).finditer(content))
+    shown = [m[f"h{names[selector]}"] if selector else m[0] for m in matches]
+    return {"shown": shown, "holes": [{n: m[f"h{k}"] or "" for n, k in names.items()} for m in matches if names]}
 
 
 def template_extract(content: Column, template: str, selector: str | None = None) -> Column:
@@ -190,11 +330,19 @@ def template_extract(content: Column, template: str, selector: str | None = None
     rx, names = template_regex(template)
     if selector is not None and selector not in names:
         raise ValueError(f"Selector {selector!r} is not a hole of the context template")
-    shown = F.regexp_extract_all(content, F.lit(rx), F.lit(names[selector] if selector else 0))
-    # Matches without any named value add nothing, but the list itself is always there.
-    maps = F.to_json(F.filter(group_maps(content, rx, names), lambda m: F.size(m) > 0)) if names else F.lit("[]")
-    found = bind(
-        shown,
-        lambda m: artifact(F.array_join(m, "\n\n"), F.array(F.when(F.size(m) > 0, maps).otherwise(F.lit("[]")))),
-    )
-    return or_empty(found, content)
+
+    @F.pandas_udf("shown array<string>, holes array<map<string,string>>")
+    def found(contents: pd.Series) -> pd.DataFrame:
+        empty = {"shown": [], "holes": []}
+        rows = [empty if text is None else find_templates(text, rx, names, selector) for text in contents]
+        return pd.DataFrame({"shown": [r["shown"] for r in rows], "holes": [r["holes"] for r in rows]})
+
+    # A text without the template's longest word or sign cannot match.
+    fixed = [t for t in re.findall(r"\$+[A-Z_][A-Z0-9_]*|\$\$\$|[^\W\d]\w*|\d+|[^\w\s]", template) if not t.startswith("$")]
+    likely = F.contains(content, F.lit(max(fixed, key=len))) if fixed else F.lit(True)
+
+    def shown(m: Column) -> Column:
+        maps = F.filter(F.transform(m["holes"], lambda h: F.map_filter(h, lambda _, v: v != "")), lambda h: F.size(h) > 0)
+        return artifact(F.array_join(m["shown"], "\n\n"), F.array(F.to_json(maps)))
+
+    return or_empty(bind(found(F.when(likely, content)), shown), content)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from ..functions.artifacts import join_matches, merge_context, merge_maps
@@ -366,6 +368,108 @@ def _(spark, sf):
     )
 
 
+# Declarations inside declarations, brackets 2 to 24 deep, headers over several lines, brackets in strings. The texts
+# are written in SQL that both engines read: (path, code, functions, methods, classes) by language.
+_NL = "chr(10)"
+_DEEP = "repeat('{ a(', d) || '1' || repeat('); }', d)"
+_K = "CAST(k AS VARCHAR(20))"
+
+
+def _sql_text(text: str) -> str:
+    """A text with @K (key), @D (deep block) and line breaks as an SQL expression."""
+    out = text.replace("'", "' || chr(39) || '").replace("\n", f"' || {_NL} || '")
+    return "'" + out.replace("@K", f"' || {_K} || '").replace("@D", f"' || {_DEEP} || '") + "'"
+
+
+_INNER_JS = 'function inner@K() { return "}" }'
+_OUTER_JS = "function outer@K(a = {b: [1]},\n    c) {\n  " + _INNER_JS + "\n  @D\n}"
+_METHOD_JS = "run@K(a, f = (1)) {\n    if (a) { @D }\n  }"
+_CLASS_JS = "class Box@K extends Base {\n  " + _METHOD_JS + "\n}"
+_INNER_TS = "async function inner@K(): Promise<{ c: string }> { @D }"
+_OUTER_TS = "export function outer@K(\n  a: { b: number },\n): void {\n  " + _INNER_TS + "\n}"
+_METHOD_TS = "public async run@K<T>(a: T): Promise<T> {\n    return `}` + a // }\n  }"
+_CLASS_TS = "export abstract class Box@K {\n  " + _METHOD_TS + "\n  abstract other(): void;\n}"
+_INNER_PY = "def inner@K():\n        return '''\nnot a line'''"
+_OUTER_PY = "async def outer@K(a,\n        b=')'):\n    " + _INNER_PY + "\n\n    # the end\n    return inner@K"
+_METHOD_PY = "def run@K(self): return 1"
+_CLASS_PY = "class Box@K(Base):\n    " + _METHOD_PY
+_ONE_GO = "func outer@K(a interface{}, f func() struct{}) interface{} {\n\t@D\n}"
+_TWO_GO = "func inner@K() { a := '}'; b(a) }"
+_METHOD_GO = "func (h *Box@K) run@K(\n\ta int,\n) (int, error) {\n\treturn 1, nil // {\n}"
+_METHOD_JAVA = "public static <T> int run@K(int a)\n      throws E {\n    char c = '{';\n    @D\n  }"
+_INNER_JAVA = "class In@K {}"
+_CLASS_JAVA = "public final class Box@K {\n  " + _METHOD_JAVA + "\n  " + _INNER_JAVA + "\n}"
+_INNER_RS = "fn inner@K<'a>(x: &'a str) -> u8 { b'}' }"
+_OUTER_RS = "pub fn outer@K(&self) -> u8\n    where Self: Sized {\n        " + _INNER_RS + "\n        @D\n    }"
+_FUNC_C = "static int outer@K(int (*f)(int), char c)\n{\n  if (c == '}') @D\n}"
+_TWO_C = 'char *inner@K(void) { return "}"; /* } */ }'
+_FUNC_CPP = "int run@K(std::vector<int> a) const {\n    @D\n  }"
+_CLASS_CPP = "class Box@K : public Base {\n  " + _FUNC_CPP + "\n}"
+
+NESTED = [
+    ("a.js", f"{_OUTER_JS}\n{_CLASS_JS}\n", [_OUTER_JS, _INNER_JS], [_METHOD_JS], [_CLASS_JS]),
+    ("a.ts", f"{_OUTER_TS}\n{_CLASS_TS}\n", [_OUTER_TS, _INNER_TS], [_METHOD_TS], [_CLASS_TS]),
+    ("a.py", f"{_OUTER_PY}\n\n\n{_CLASS_PY}\nz = 1\n", [_OUTER_PY, _INNER_PY, _METHOD_PY], [_INNER_PY, _METHOD_PY], [_CLASS_PY]),
+    ("a.go", f"{_ONE_GO}\n\n{_METHOD_GO}\n{_TWO_GO}", [_ONE_GO, _TWO_GO], [_METHOD_GO], []),
+    ("a.java", f"package p;\n{_CLASS_JAVA}\n", [], [_METHOD_JAVA], [_CLASS_JAVA, _INNER_JAVA]),
+    ("a.rs", f"impl Box@K {{\n    {_OUTER_RS}\n}}\n", [_OUTER_RS, _INNER_RS], [], []),
+    ("a.c", f"int proto@K(int a);\n{_FUNC_C}\n{_TWO_C}\n", [_FUNC_C, _TWO_C], [], []),
+    ("a.cpp", f"{_CLASS_CPP};\n", [_FUNC_CPP], [], [_CLASS_CPP]),
+]
+
+
+def _by_language(column: Callable[[tuple], str]) -> str:
+    return "CASE p_size % 8 " + " ".join(f"WHEN {i} THEN {column(form)}" for i, form in enumerate(NESTED)) + " END"
+
+
+def _bodies(at: int) -> str:
+    return _by_language(lambda form: f" || {_NL} || {_NL} || ".join(map(_sql_text, form[at])) or "''")
+
+
+@query(
+    "c1_nested_declarations",
+    f"""SELECT p_partkey, {_by_language(lambda f: _sql_text(f[0]))} AS path, {_bodies(2)} AS functions, {_bodies(3)} AS methods, {_bodies(4)} AS classes
+    FROM (SELECT p_partkey, p_partkey AS k, p_size, CAST(1 + p_size % 12 AS INT) AS d FROM part)""",
+)
+def _(spark, sf):
+    parts = table(spark, sf, "part").selectExpr("p_partkey", "p_partkey AS k", "p_size", "CAST(1 + p_size % 12 AS INT) AS d")
+    path, code = _by_language(lambda f: _sql_text(f[0])), _by_language(lambda f: _sql_text(f[1]))
+    parts = parts.selectExpr("p_partkey", f"{path} AS path", f"{code} AS code")
+    path, code = F.col("path"), F.col("code")
+    return parts.select(
+        "p_partkey",
+        "path",
+        code_extract(code, path, "function")["text"].alias("functions"),
+        code_extract(code, path, "method")["text"].alias("methods"),
+        code_extract(code, path, "class")["text"].alias("classes"),
+    )
+
+
+_DEEP_PARTS = "(SELECT p_partkey, CAST(p_partkey AS VARCHAR(20)) AS k, CAST(1 + p_size % 12 AS INT) AS d FROM part)"
+_DEEP_CALL = """'f(' || repeat('g(', d) || '")"' || repeat(')', d) || ', ' || k || ')'"""
+_DEEP_VALUE = "'b.c(' || k || ') + ' || repeat('(', d) || 'x' || repeat(')', d)"
+_DEEP_TYPE = """'type T' || k || ' = "a" | { b: ' || repeat('[', d) || repeat(']', d) || ' }'"""
+
+
+@query(
+    "c2_deep_brackets",
+    f"""SELECT p_partkey, {_DEEP_CALL} || chr(10) || chr(10) || 'f([' || k || '])' AS calls, 'const a = ' || {_DEEP_VALUE} || ';' AS assigned,
+    '[{{"NAME":"a","VALUE":"' || {_DEEP_VALUE} || '"}}]' AS context, {_DEEP_TYPE} AS types FROM {_DEEP_PARTS}""",
+)
+def _(spark, sf):
+    code = f"{_DEEP_CALL} || ' + h(f([' || k || ']));' || chr(10) || 'const a = ' || {_DEEP_VALUE} || ';' || chr(10) || {_DEEP_TYPE} || chr(10) || 'z = 1'"
+    parts = table(spark, sf, "part").selectExpr("p_partkey", "CAST(p_partkey AS VARCHAR(20)) AS k", "CAST(1 + p_size % 12 AS INT) AS d")
+    text = F.col("code")
+    assigned = template_extract(text, "const $NAME = $VALUE;")
+    return parts.selectExpr("p_partkey", f"{code} AS code").select(
+        "p_partkey",
+        template_extract(text, "f($$$ARGS)")["text"].alias("calls"),
+        assigned["text"].alias("assigned"),
+        assigned["context"][0].alias("context"),
+        template_extract(text, "type $NAME = $TYPE")["text"].alias("types"),
+    )
+
+
 @query(
     "c2_template_extract",
     f"""SELECT doc_id, {sql_matches('text', 'token = "[^"]*"', 'chr(10) || chr(10)')} AS artifact,

@@ -206,7 +206,7 @@ JAVA = "public class S {\n    public int f(int a) {\n        return g(a);\n    }
 @pytest.mark.parametrize(
     ("path", "code", "kind", "names"),
     [
-        ("a.py", PYTHON, "function", "one,two"),
+        ("a.py", PYTHON, "function", "one,two,size"),
         ("a.py", PYTHON, "class", "Box"),
         ("a.py", PYTHON, "method", "size"),
         ("a.py", PYTHON, "decorated", "one"),
@@ -234,8 +234,10 @@ def test_declaration_names(spark, path, code, kind, names):
 
 def test_declaration_bodies(spark):
     got = value(spark, code_extract(F.col("c"), F.col("p"), "function"), c=PYTHON, p="a.py")
-    assert got["text"] == "def one(a):\n    return a\n\nasync def two():\n    if x:\n        y()\n\n    return 1"
-    assert got["context"] == ['[{"name":"one"},{"name":"two"}]']
+    assert got["text"] == (
+        "def one(a):\n    return a\n\nasync def two():\n    if x:\n        y()\n\n    return 1\n\ndef size(self):\n        return 1"
+    )
+    assert got["context"] == ['[{"name":"one"},{"name":"two"},{"name":"size"}]']
     got = value(spark, code_extract(F.col("c"), F.col("p"), "enum"), c=JAVA, p="a.java")
     assert got["text"] == "enum M { A, B }"
 
