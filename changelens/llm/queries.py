@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_classifier, simhash
+from . import bpe, exact_dedup, html_extract, language_id, license_scan, mixing, quality_classifier, quality_rules, secret_scan, simhash
 from .common import documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encode_documents(documents(spark, sf_dir))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -20,6 +24,25 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir)).drop("cleaned")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.secret_scan(documents(spark, sf_dir))
+    digest = F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256")
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans")
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.language_id(docs, language_id.trained(docs))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -64,10 +87,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_html_extract": op5_html_extract,
+    "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_quality_classifier": op10_quality_classifier,
 }
-SQL = {"op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
+SQL = {"op3_quality_rules": quality_rules.SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
