@@ -7,6 +7,7 @@ expressions read is bound once.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,13 @@ PHRASE_WORDS = 20
 REPEATED_WORDS = 10
 DISTINCT_PER_10_WORDS = 4
 SYMBOL = r"[#*$%&|<>{}\\]"
-ENDED = r"[.!?…。！？:;,\"”’)\]]$"
-# What navigation and boilerplate lines say.
-PHRASES = (
-    r"cookies?\b|javascript|privacy policy|terms of (use|service)|sign (in|up)\b|log ?in\b|subscribe|newsletter|click here"
-    r"|read more|share this|all rights reserved|lorem ipsum|skip to content|back to top|\bhome\b.*\babout\b"
-)
+# Signs that end a sentence, and what navigation and boilerplate lines say (in lower case).
+ENDS = list(".!?…。！？:;,\"”’)]")
+PHRASES = [
+    "cookie", "javascript", "privacy policy", "terms of use", "terms of service", "sign in", "sign up", "log in", "subscribe",
+    "newsletter", "click here", "read more", "share this", "all rights reserved", "lorem ipsum", "skip to content", "back to top",
+]
+BLANK_SIGNS = " \t\n\x0b\x0c\r"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -40,70 +42,90 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS), "")
 
 
+def _neighbours(ordered: Column, key: str) -> Column:
+    """The items of an ordered array whose key the item before or after has too."""
+    return F.filter(
+        ordered, lambda x, at: (x[key] == F.get(ordered, at - 1)[key]) | (x[key] == F.get(ordered, at + 1)[key])
+    )
+
+
+def _covered(starts: Column) -> Column:
+    """How many words the windows of three words at these places (in order) cover."""
+    each = F.transform(starts, lambda s, k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - s, F.lit(3))))
+    return F.aggregate(each, F.lit(0), lambda total, size: total + size)
+
+
 def _repeated(words: Column) -> Column:
     """How many words lie in a window of three words that is found twice or more."""
 
-    def window(word: Column, at: Column) -> Column:
-        return F.concat_ws(" ", word, F.get(words, at + 1), F.get(words, at + 2))
+    def cut(windows: Column) -> Column:
+        return F.slice(windows, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+
+    def hashed(word: Column, at: Column) -> Column:
+        return F.xxhash64(word, F.get(words, at + 1), F.get(words, at + 2))
 
-    def covered(windows: Column) -> Column:
-        def found(ordered: Column) -> Column:
-            def twice(x: Column, at: Column) -> Column:
-                return (x["w"] == F.get(ordered, at - 1)["w"]) | (x["w"] == F.get(ordered, at + 1)["w"])
+    def window(x: Column) -> Column:
+        text = F.concat_ws(" ", *[F.get(words, x["at"] + i) for i in range(3)])
+        return F.struct(text.alias("w"), x["at"].alias("at"))
 
-            def sizes(starts: Column) -> Column:
-                each = F.transform(starts, lambda s, k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - s, F.lit(3))))
-                return F.aggregate(each, F.lit(0), lambda total, size: total + size)
+    def with_places(hashes: Column) -> Column:
+        return F.sort_array(F.transform(hashes, lambda h, at: F.struct(h.alias("h"), at.alias("at"))))
 
-            return bind(F.sort_array(F.transform(F.filter(ordered, twice), lambda x: x["at"])), sizes)
+    def of(hashes: Column) -> Column:
+        # Windows whose hashes all differ differ; those whose hashes agree are compared themselves.
+        alike = bind(with_places(hashes), lambda x: _neighbours(x, "h"))
+        equal = bind(F.sort_array(F.transform(alike, window)), lambda x: _neighbours(x, "w"))
+        found = bind(F.sort_array(F.transform(equal, lambda x: x["at"])), _covered)
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(found)
 
-        ordered = F.sort_array(F.transform(windows, lambda w, at: F.struct(w.alias("w"), at.alias("at"))))
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(bind(ordered, found))
+    return F.when(F.size(words) < 3, 0).otherwise(bind(cut(F.transform(words, hashed)), of))
 
-    cut = F.slice(F.transform(words, window), 1, F.greatest(F.size(words) - 2, F.lit(0)))
-    return F.when(F.size(words) < 3, 0).otherwise(bind(cut, covered))
 
+def _says(text: Column) -> Column:
+    return bind(F.lower(text), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in PHRASES]))
 
-def _fails(line: Column) -> Column:
-    """Whether a trimmed line with a word breaks a rule."""
+
+def _fails(line: Column, phrases: Column) -> Column:
+    """Whether a trimmed line with a word breaks a rule; ``phrases``: whether the document has any of the phrases."""
 
     def of(words: Column) -> Column:
         n = F.size(words)
         symbols = F.regexp_count(line, F.lit(SYMBOL)) * 10 > n * SYMBOLS_PER_10_WORDS
-        shouted = (n >= SHOUTED_WORDS) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 > F.regexp_count(line, F.lit(r"\p{L}")))
-        unended = (n >= UNENDED_WORDS) & ~line.rlike(ENDED)
-        phrase = (n <= PHRASE_WORDS) & F.lower(line).rlike(PHRASES)
+        capitals = F.char_length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
+        signs = F.char_length(F.array_join(words, ""))
+        shouted = (n >= SHOUTED_WORDS) & (capitals * 2 > signs)
+        unended = (n >= UNENDED_WORDS) & ~F.substring(line, -1, 1).isin(ENDS)
+        phrase = phrases & (n <= PHRASE_WORDS) & _says(line)
         repeated = (n >= REPEATED_WORDS) & (F.size(F.array_distinct(words)) * 10 < n * DISTINCT_PER_10_WORDS)
-        return symbols | shouted | unended | phrase | repeated
+        return symbols | unended | phrase | shouted | repeated
 
     return bind(words_of(line), of)
 
 
 def _measures(text: Column) -> Column:
-    def of_words(words: Column) -> list[Column]:
-        return [
+    def of_words(words: Column) -> Column:
+        return F.struct(
             F.size(words).cast("bigint").alias("n_words"),
             F.char_length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
             F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
             _repeated(words).cast("bigint").alias("n_repeat_words"),
-        ]
+        )
 
     def of_lines(lines: Column) -> Column:
         def size(total: Column, line: Column) -> Column:
             return total + F.char_length(line)
 
+        def clean(phrases: Column) -> Column:
+            return F.filter(lines, lambda line: ~bind(F.btrim(line, F.lit(BLANK_SIGNS)), lambda x: _fails(x, phrases)))
+
         return F.struct(
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
             F.aggregate(lines, F.lit(0), size).cast("bigint").alias("line_chars"),
+            bind(_says(text), clean).alias("clean"),
         )
 
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    clean = F.filter(lines, lambda line: ~_fails(F.regexp_replace(line, f"^{BLANKS}|{BLANKS}$", "")))
-    return F.struct(
-        bind(words_of(text), lambda words: F.struct(*of_words(words))).alias("w"),
-        bind(lines, of_lines).alias("l"),
-        clean.alias("clean"),
-    )
+    return F.struct(bind(words_of(text), of_words).alias("w"), bind(lines, of_lines).alias("l"))
 
 
 def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -115,9 +137,12 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), bind(text_of(text_column), _measures).alias("m"))
     rows = rows.select(
-        "doc_id", "m.w.*", "m.l.*", F.array_join("m.clean", "\n").alias("cleaned"), F.expr(
-            "CAST(aggregate(m.clean, 0, (total, line) -> total + char_length(line)) AS BIGINT)"
-        ).alias("clean_chars"),
+        "doc_id",
+        "m.w.*",
+        "m.l.n_dup_lines",
+        "m.l.line_chars",
+        F.array_join("m.l.clean", "\n").alias("cleaned"),
+        F.expr("CAST(aggregate(m.l.clean, 0, (total, line) -> total + char_length(line)) AS BIGINT)").alias("clean_chars"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     lost = F.col("line_chars") - F.col("clean_chars")
@@ -131,6 +156,7 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 _LINE = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+_SAYS = " OR ".join(f"contains(lower(l), '{phrase}')" for phrase in PHRASES)
 
 SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -145,9 +171,10 @@ line AS (SELECT doc_id, line, {_LINE} AS l
          WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 lw AS (SELECT *, list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM line),
 rule AS (SELECT *, len(regexp_extract_all(l, '[#*$%&|<>{{}}\\]')) * 10 > len(words) * {SYMBOLS_PER_10_WORDS}
-              OR (len(words) >= {SHOUTED_WORDS} AND len(regexp_extract_all(l, '\p{{Lu}}')) * 2 > len(regexp_extract_all(l, '\p{{L}}')))
-              OR (len(words) >= {UNENDED_WORDS} AND NOT regexp_matches(l, '[.!?…。！？:;,"”’)\]]$'))
-              OR (len(words) <= {PHRASE_WORDS} AND regexp_matches(lower(l), '{PHRASES}'))
+              OR (len(words) >= {SHOUTED_WORDS}
+                  AND len(regexp_extract_all(l, '\p{{Lu}}')) * 2 > length(list_aggregate(words, 'string_agg', '')))
+              OR (len(words) >= {UNENDED_WORDS} AND NOT contains('.!?…。！？:;,"”’)]', right(l, 1)))
+              OR (len(words) <= {PHRASE_WORDS} AND ({_SAYS}))
               OR (len(words) >= {REPEATED_WORDS} AND len(list_distinct(words)) * 10 < len(words) * {DISTINCT_PER_10_WORDS}) AS fails
          FROM lw),
 per AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(line)) AS chars,
