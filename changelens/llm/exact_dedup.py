@@ -18,8 +18,12 @@ from .common import BLANKS, new_folder, text_of, written
 
 #: Members of a large group are compared with the row that stays in lots of about this many.
 LOT = 1_000
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # Many small stores: space set aside for each one's logs would outweigh the state.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text_column: str = "text") -> Column:
@@ -38,9 +42,9 @@ def streamed_state(arrivals: str, schema, checkpoint: str, bytes_per_batch: str
     are not read again, so the same call with more files goes on from the saved state.
     """
     spark = SparkSession.active()
-    before = {key: spark.conf.get(key, None) for key in (_PROVIDER, _BOUNDED)}
-    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.conf.set(_BOUNDED, "true")
+    before = {key: spark.conf.get(key, None) for key in _STORE}
+    for key, value in _STORE.items():
+        spark.conf.set(key, value)
     try:
         reader = spark.readStream.schema(schema)
         if bytes_per_batch:
