@@ -29,8 +29,43 @@ LANGUAGES = {
 }
 
 
+def _range(text: str) -> list[str]:
+    """``1..3``, ``01..12``, ``a..e``, each also with a step; nothing for other texts."""
+    span = re.fullmatch(r"(-?\d+|[A-Za-z])\.\.(-?\d+|[A-Za-z])(?:\.\.(-?\d+))?", text)
+    if not span or span[1].isalpha() != span[2].isalpha():
+        return []
+    low, high = (ord(x) if x.isalpha() else int(x) for x in span.group(1, 2))
+    step = abs(int(span[3] or 1)) or 1
+    numbers = range(low, high + 1, step) if low <= high else range(low, high - 1, -step)
+    if span[1].isalpha():
+        return [chr(n) for n in numbers]
+    padded = any(re.match(r"-?0\d", x) for x in span.group(1, 2))
+    width = max(map(len, span.group(1, 2))) if padded else 0
+    return [f"{n:0{width}d}" for n in numbers]
+
+
+# The named classes of characters, as Java writes them.
+CLASSES = {
+    "alpha": "\\p{L}", "digit": "\\p{Nd}", "alnum": "\\p{L}\\p{Nd}", "upper": "\\p{Lu}", "lower": "\\p{Ll}", "space": "\\s", "blank": " \\t",
+    "punct": "\\p{Punct}", "xdigit": "0-9A-Fa-f", "word": "\\w", "cntrl": "\\p{Cntrl}", "print": "\\p{Print}", "graph": "\\p{Graph}",
+}
+
+
+def _class(body: str) -> str:
+    """The inside of a bracket expression; named classes may stand among the characters."""
+    out = ""
+    for part in re.findall(r"\[:\w+:\]|[\s\S]", body):
+        if len(part) > 1:
+            if part[2:-2] not in CLASSES:
+                raise ValueError(f"Unknown character class {part!r}")
+            out += CLASSES[part[2:-2]]
+        else:
+            out += re.sub(r"[\\\[&]", r"\\\g<0>", part)
+    return out
+
+
 def _braces(glob: str) -> list[str]:
-    """``a.{b,c}`` -> ``a.b``, ``a.c``; also ``{1..3}``; nested groups allowed."""
+    """``a.{b,c}`` -> ``a.b``, ``a.c``; also ranges; nested groups allowed."""
     depth, start = 0, -1
     for i, ch in enumerate(glob):
         if ch == "{" and (i == 0 or glob[i - 1] != "\\"):
@@ -43,10 +78,9 @@ def _braces(glob: str) -> list[str]:
             depth -= 1
             if depth:
                 continue
-            span = re.fullmatch(r"(-?\d+)\.\.(-?\d+)", glob[start + 1 : i])
-            if span:
-                lo, hi = int(span[1]), int(span[2])
-                options = [str(n) for n in range(lo, hi + 1)] if lo <= hi else [str(n) for n in range(lo, hi - 1, -1)]
+            options = _range(glob[start + 1 : i])
+            if options:
+                pass
             elif commas:
                 cuts = [start, *commas, i]
                 options = [glob[a + 1 : b] for a, b in zip(cuts, cuts[1:])]
@@ -69,12 +103,12 @@ def _segment(seg: str) -> str:
         elif ch == "?":
             out += "[^/]"
         elif ch == "[" and "]" in seg[i + 1 :]:
-            end = seg.index("]", i + 1)
-            body = seg[i:end]
-            negated = body[0] in "!^"
-            body = re.sub(r"([\\\[&])", r"\\\1", body[1:] if negated else body)
-            out += f"[{'^/' if negated else ''}{body}]"
-            i = end + 1
+            found = re.compile(r"([!^]?)((?:\]|\[:\w+:\]|[^\]])(?:\[:\w+:\]|[^\]])*)\]").match(seg, i)
+            if found is None:
+                out += re.escape(ch)
+                continue
+            out += f"[{'^/' if found[1] else ''}{_class(found[2])}]"
+            i = found.end()
         elif ch == "\\" and i < len(seg):
             out += re.escape(seg[i])
             i += 1

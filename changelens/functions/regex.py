@@ -47,6 +47,16 @@ def _escape(token: str, in_class: bool, names: dict[str, int]) -> str:
     return token
 
 
+# In Java a line also starts after other signs but not behind the last newline, and ``$`` looks past a last newline.
+_LINE_ENDS = "\\n\\r\u2028\u2029"
+_EDGES = {
+    ("^", True): f"(?<![^{_LINE_ENDS}])",
+    ("$", True): f"(?![^{_LINE_ENDS}])",
+    ("^", False): r"\A",
+    ("$", False): r"\z",
+}
+
+
 def java_pattern(pattern: str, flags: str = "") -> tuple[str, dict[str, int]]:
     """The same pattern for Java with numbered groups, and the number of each named group.
 
@@ -55,6 +65,7 @@ def java_pattern(pattern: str, flags: str = "") -> tuple[str, dict[str, int]]:
     """
     names: dict[str, int] = {}
     groups, in_class = 0, False
+    many = "g" not in flags or "m" in flags
     out = []
     tokens = re.findall(rf"{_ESCAPE}|\[\^\]|\[\^?|\(\?<(?![=!])[^>]*>|\(\?|{_QUANTIFIER}|.", pattern, re.S)
     for token in tokens:
@@ -72,6 +83,8 @@ def java_pattern(pattern: str, flags: str = "") -> tuple[str, dict[str, int]]:
             groups += 1
             names[token[3:-1]] = groups
             out.append("(")
+        elif token in "^$":
+            out.append(_EDGES[token, many])
         else:
             groups += token == "("
             out.append("\\{" if token == "{" else token)
@@ -86,13 +99,53 @@ def group_maps(content: Column, rx: str, names: dict[str, int]) -> Column:
     every = F.regexp_extract_all(content, F.lit(rx), F.lit(0))
     if not names:
         return F.transform(every, lambda _: F.create_map().cast("map<string,string>"))
-    zipped = F.arrays_zip(*[F.regexp_extract_all(content, F.lit(rx), F.lit(i)).alias(f"g{i}") for i in names.values()])
-    return F.transform(
-        zipped,
-        lambda m: F.map_filter(
-            F.create_map(*[x for n, i in names.items() for x in (F.lit(n), m[f"g{i}"])]), lambda _, v: v != ""
-        ),
-    )
+    flags, body = re.match(r"((?:\(\?[a-z]+\))?)(.*)", rx, re.S).groups()
+    groups = _groups(body)
+
+    def took_part(i: int) -> str:
+        return rf"{flags}(?:{body})(?:(?=\{i})(?<=([\s\S])))?"
+
+    columns = [F.regexp_extract_all(content, F.lit(rx), F.lit(i)).alias(f"g{i}") for i in names.values()]
+    # An empty group may have matched the empty text or taken no part. A reference to it holds in the first case only,
+    # and one more group then takes the character before the end, so that there is something to see.
+    unsure = [i for i in names.values() if _may_be_empty(groups[i - 1])]
+    columns += [F.regexp_extract_all(content, F.lit(took_part(i)), F.lit(len(groups) + 1)).alias(f"p{i}") for i in unsure]
+
+    def one(m: Column) -> Column:
+        def entry(n: str, i: int) -> Column:
+            there = (m[f"g{i}"] != "") | (m[f"p{i}"] != "") if i in unsure else m[f"g{i}"] != ""
+            return F.when(there, F.struct(F.lit(n).alias("key"), m[f"g{i}"].alias("value")))
+
+        return F.map_from_entries(F.array_compact(F.array(*[entry(n, i) for n, i in names.items()])))
+
+    return F.transform(F.arrays_zip(*columns), one)
+
+
+def _groups(body: str) -> list[str]:
+    """What the capturing groups of a translated pattern hold, by number."""
+    found, waiting, at = [], [], 0
+    for token in re.findall(r"\\.|\[(?:\\.|[^\]\\])*\]|\(\?|.", body, re.S):
+        at += len(token)
+        if token == "(":
+            waiting.append(len(found))
+            found.append(at)
+        elif token == "(?":
+            waiting.append(None)
+        elif token == ")" and waiting:
+            number = waiting.pop()
+            if number is not None:
+                found[number] = body[found[number] : at - 1]
+    return found
+
+
+def _may_be_empty(group: str) -> bool:
+    """Whether a group may match the empty text; a doubt counts as yes."""
+    if re.search(r"\(\?[=!<]|\\[bBzGA1-9]", group):
+        return True
+    try:
+        return re.fullmatch(group, "") is not None
+    except re.error:
+        return True
 
 
 def required_literal(pattern: str, flags: str = "") -> str:

@@ -25,21 +25,23 @@ def html_escape(text: Column) -> Column:
     return text
 
 
-_HOLE = re.compile(r"\{\{(\{?)\s*([^{}]*?)\s*\}?\}\}")
+_HOLE = re.compile(r"\{\{(\{|~?&)?~?\s*([^{}]*?)\s*~?\}?\}\}")
 
 
 def render(template: str, values: dict[str, Column], escaped: tuple[str, ...] = ("filePath",)) -> Column:
     """The template with its names replaced; unknown names are empty, inserted text is never read as template.
 
-    Names in ``escaped`` are HTML-escaped unless written with three braces.
+    Names in ``escaped`` are HTML-escaped unless written with three braces or ``&``. A ``~`` takes the blanks on its side.
     """
     parts: list[Column] = []
     end = 0
     for hole in _HOLE.finditer(template):
-        parts.append(F.lit(template[end : hole.start()]))
-        end = hole.end()
+        before, end = template[end : hole.start()], hole.end()
+        parts.append(F.lit(before.rstrip() if re.match(r"\{\{\{?~", hole[0]) else before))
+        if re.search(r"~\}?\}\}$", hole[0]):
+            end += len(template[end:]) - len(template[end:].lstrip())
         name = hole[2].removeprefix("this.")
-        if name[:1] in ("#", "/", ">", "^", "&", "*") or name == "else":
+        if name[:1] in ("#", "/", ">", "^", "*") or name == "else":
             raise ValueError(f"Only plain names are supported in templates: {hole[0]}")
         if name in values:
             value = F.coalesce(values[name], F.lit(""))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .artifacts import artifact, bind, or_empty
@@ -71,11 +72,14 @@ def xpath_value(content: Column, expr: str, kind: str = "string", namespaces: di
 
 
 def xpath_nodes(content: Column, expr: str, namespaces: dict[str, str] | None = None) -> Column:
-    """The text of all selected nodes, one per line; attributes by value; '' for malformed input."""
-    path = map_namespaces(expr, namespaces)
-    if not re.search(r"(/|^)(@[\w:.\-*]+|text\(\))$", path):
-        path += "/text()"
-    return F.coalesce(F.array_join(F.xpath(well_formed(content), F.lit(path)), "\n"), F.lit(""))
+    """What all selected nodes hold, in document order, one item per line; '' for malformed input.
+
+    Attributes and text nodes give their value, elements the values of all attributes and texts inside them, so a
+    change anywhere below a selected element shows.
+    """
+    nodes = f"({map_namespaces(expr, namespaces)})"
+    inside = f"{nodes}/descendant-or-self::*/@* | {nodes}/descendant::text()[normalize-space()] | {nodes}[not(self::*)]"
+    return F.coalesce(F.array_join(F.xpath(well_formed(content), F.lit(inside)), "\n"), F.lit(""))
 
 
 def element_markup(content: Column, tag: str) -> Column:
@@ -86,18 +90,25 @@ def element_markup(content: Column, tag: str) -> Column:
     )
 
 
-_RESULT_KINDS = {
-    "string": r"(string|concat|normalize-space|substring|substring-before|substring-after|translate|name|local-name)\s*\(.*\)",
-    "number": r"(count|sum|number|string-length|floor|ceiling|round)\s*\(.*\)",
-    "boolean": r"(boolean|not|contains|starts-with)\s*\(.*\)|true\(\)|false\(\)",
-}
+def xpath_kind(expression: str, namespaces: dict[str, str] | None = None) -> str | None:
+    """string, number, boolean or nodes; None for what is no XPath expression. Compiled once, on the driver."""
+    jvm = SparkSession.active()._jvm
+    empty = jvm.javax.xml.parsers.DocumentBuilderFactory.newInstance().newDocumentBuilder().newDocument()
+    try:
+        compiled = jvm.javax.xml.xpath.XPathFactory.newInstance().newXPath().compile(map_namespaces(expression, namespaces))
+        kind = compiled.evaluateExpression(empty).type().name()
+    except Py4JJavaError:
+        return None
+    return {"STRING": "string", "NUMBER": "number", "BOOLEAN": "boolean"}.get(kind, "nodes")
 
 
 def xml_extract(content: Column, expression: str, namespaces: dict[str, str] | None = None) -> Column:
-    """The artifact of an XPath rule; a call of a core function gives its value, else the nodes are listed."""
-    kind = next((k for k, rx in _RESULT_KINDS.items() if re.fullmatch(rx, expression.strip(), re.S)), None)
-    if kind:
-        text = xpath_value(content, expression, kind, namespaces)
-    else:
+    """The artifact of an XPath rule: the value of the expression, or the nodes listed; '' for a bad expression."""
+    kind = xpath_kind(expression, namespaces)
+    if kind is None:
+        text = F.lit("")
+    elif kind == "nodes":
         text = xpath_nodes(content, expression, namespaces)
+    else:
+        text = xpath_value(content, expression, kind, namespaces)
     return or_empty(artifact(text), content)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.artifacts import bind
 from .rows import one_row_each
 
 CONTEXT_LINES = 3
@@ -33,12 +34,13 @@ def common_edges(left: Column, right: Column) -> Column:
 
     def run(a: Column, b: Column, most: Column) -> Column:
         same = F.zip_with(F.slice(a, F.lit(1), most), F.slice(b, F.lit(1), most), lambda x, y: x == y)
-        miss = F.array_position(same, F.lit(False))
-        return F.when(miss > 0, miss.cast("int") - 1).otherwise(most)
+        return bind(F.array_position(same, F.lit(False)), lambda miss: F.when(miss > 0, miss.cast("int") - 1).otherwise(most))
 
-    prefix = run(left, right, shorter)
-    suffix = run(F.reverse(left), F.reverse(right), shorter - prefix)
-    return F.struct(prefix.alias("prefix"), suffix.alias("suffix"))
+    def edges(prefix: Column) -> Column:
+        suffix = run(F.reverse(left), F.reverse(right), shorter - prefix)
+        return F.struct(prefix.alias("prefix"), suffix.alias("suffix"))
+
+    return bind(run(left, right, shorter), edges)
 
 
 def _changed_region(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
@@ -153,6 +155,7 @@ def unified_text(df: DataFrame, keys: list[str], left: str, right: str) -> DataF
     return with_hunk(changed, left, right).select(*keys, "diff_text")
 
 
+# Fixed value: the header of a hunk.
 _FIRST_HUNK = r"(?m)^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -324,3 +327,29 @@ def anchored_diff(df: DataFrame, keys: list[str], left: str, right: str) -> Data
     changed = df.where(F.col(left) != F.col(right)).select(*keys, F.col(left).alias("__left"), F.col(right).alias("__right"))
     rows = with_hunks(changed, "__left", "__right")
     return one_row_each(rows, keys, F.col("hunks"), "h", "hunk_no").select(*keys, "hunk_no", "h.*")
+
+
+def apply_hunks(text: Column, hunks: Column) -> Column:
+    """The old text with its hunks (as ``with_hunks`` gives them) applied: the new text. Stays in the row."""
+
+    def first(h: Column) -> Column:
+        return F.when(h["old_lines"] == 0, h["old_start"] + 1).otherwise(h["old_start"])
+
+    def new_side(h: Column) -> Column:
+        # A line and its mark of a missing newline belong together.
+        body = F.split(F.regexp_replace(h["hunk_text"], r"\A[^\n]*\n|\n\z", ""), r"\n(?!\\)", -1)
+        return F.transform(F.filter(body, lambda s: ~F.startswith(s, F.lit("-"))), lambda s: F.substring(s, 2, 2147483647))
+
+    def patched(lines: Column) -> Column:
+        def piece(h: Column, i: Column) -> Column:
+            before = F.get(hunks, i - 1)
+            at = F.coalesce(first(before) + before["old_lines"], F.lit(1))
+            return F.concat(F.slice(lines, at, first(h) - at), new_side(h))
+
+        last = F.element_at(hunks, -1)
+        rest = first(last) + last["old_lines"]
+        return F.concat(F.flatten(F.transform(hunks, piece)), F.slice(lines, rest, F.size(lines) - rest + 1))
+
+    whole = bind(F.when(F.size(hunks) > 0, bind(text_lines(text), patched)).otherwise(text_lines(text)), lambda lines: F.when(
+        F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(""))
+    return F.regexp_replace(whole, r"\n\\ No newline at end of file\n\z", "")

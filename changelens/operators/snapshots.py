@@ -45,43 +45,28 @@ def detect_renames(status: DataFrame, path: str = "path", hot_rows: int = HOT_RO
     status = checkpointed(status)
     adds = status.where("type = 'add'").select(F.col(path).alias("new_path"), F.col("new_hash").alias("hash"))
     gone = status.where("type = 'delete'").select(F.col(path).alias("old_path"), F.col("old_hash").alias("hash"))
-    # A content and a rank name one row on each side, so a large group of copies spreads over all tasks.
-    pairs = ranked(adds, ["hash"], ["new_path"], hot_rows=hot_rows).join(
-        ranked(gone, ["hash"], ["old_path"], hot_rows=hot_rows), ["hash", "rank"]
+    # A content and a rank name one row on each side, so a large group of copies spreads over all tasks. One full
+    # join tells what was renamed and what is left on either side.
+    matched = ranked(adds, ["hash"], ["new_path"], hot_rows=hot_rows).join(
+        ranked(gone, ["hash"], ["old_path"], hot_rows=hot_rows), ["hash", "rank"], "full"
     )
-    renames = checkpointed(pairs.select("old_path", "new_path"))
-    left_adds = adds.join(renames, "new_path", "left_anti")
-    left_gone = gone.join(renames, "old_path", "left_anti")
     sources = (
         status.where("type = 'same'").groupBy(F.col("new_hash").alias("hash")).agg(F.min(path).alias("source"))
     )
-    copies = left_adds.join(sources, "hash", "left")
-    none = F.lit(None).cast("string")
-    full = F.lit(100)
-    return (
-        renames.select("old_path", "new_path", F.lit("rename").alias("type"), full.alias("similarity"))
-        .unionByName(
-            copies.select(
-                F.col("source").alias("old_path"),
-                "new_path",
-                F.when(F.col("source").isNull(), "add").otherwise("copy").alias("type"),
-                F.when(F.col("source").isNotNull(), full).alias("similarity"),
-            )
-        )
-        .unionByName(
-            left_gone.select(
-                "old_path", none.alias("new_path"), F.lit("delete").alias("type"), none.cast("int").alias("similarity")
-            )
-        )
-        .unionByName(
-            status.where("type = 'modify'").select(
-                F.col(path).alias("old_path"),
-                F.col(path).alias("new_path"),
-                "type",
-                none.cast("int").alias("similarity"),
-            )
-        )
+    # Only what was added looks for a source; rows without that key keep their own, which no source has.
+    added = F.col("old_path").isNull()
+    matched = matched.withColumn("wanted", F.when(added, F.col("hash")).otherwise(F.concat(F.lit("-"), "old_path")))
+    found = matched.join(sources.withColumnRenamed("hash", "wanted"), "wanted", "left")
+    kind = (
+        F.when(F.col("new_path").isNull(), "delete")
+        .when(~added, "rename")
+        .when(F.col("source").isNotNull(), "copy")
+        .otherwise("add")
     )
+    rows = found.select(F.coalesce("old_path", "source").alias("old_path"), "new_path", kind.alias("type"))
+    changed = status.where("type = 'modify'").select(F.col(path).alias("old_path"), F.col(path).alias("new_path"), "type")
+    rows = rows.unionByName(changed)
+    return rows.withColumn("similarity", F.when(F.col("type").isin("rename", "copy"), F.lit(100)))
 
 
 def attach_versions(
@@ -131,7 +116,9 @@ def lookup(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
 def valid_refs(changes: DataFrame, refs: DataFrame, column: str = "ref") -> DataFrame:
     """The change rows whose ref exists. The empty ref and ``.`` never do."""
     known = refs.where(~F.col("ref").isin("", "."))
-    return changes.join(known.select(F.col("ref").alias(column)), column, "left_semi")
+    # Rows that can never match stay out of the shuffle, where they would all meet.
+    named = changes.where(~F.col(column).isin("", "."))
+    return named.join(known.select(F.col("ref").alias(column)), column, "left_semi")
 
 
 def invalid_refs(changes: DataFrame, refs: DataFrame, column: str = "ref") -> DataFrame:

@@ -43,6 +43,8 @@ def _regex(content: Column, path: Column, params: dict[str, str]) -> Column:
 
 
 def _code(content: Column, path: Column, params: dict[str, str]) -> Column:
+    if not params.get("kind"):
+        raise ValueError("a code rule needs a kind and a capture; queries on syntax trees are not run")
     return code_extract(content, path, params["kind"], params.get("capture") or "body", params.get("language"))
 
 

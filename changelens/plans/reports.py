@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.artifacts import merge_context
-from ..functions.paths import effective_path, glob_any
+from ..functions.paths import effective_path, glob_any, glob_regex
 from ..functions.template import render
 from ..operators.linediff import with_hunk, with_hunks
 from ..operators.references import resolve_refs
@@ -20,11 +20,10 @@ from ..session import checkpointed
 from ..sources.rules import config_table, definition_table, rule_columns, signal_table
 from .extractors import WITHOUT_LINE_RANGE, extract
 
-# Rules go into the plan as literals; a plan holds this many at a time, more make more plans.
+# Rules go into the plan as literals; a plan holds this many at a time, more make more plans over the same versions.
 RULES_PER_PLAN = 256
-MAX_RULES = 10_000
-# Up to this many watched changes their paths are broadcast (about 100 bytes each) to pick the contents.
-MAX_BROADCAST_CHANGES = 1_000_000
+# Up to this many bytes of watched paths they are broadcast to pick the contents.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -41,11 +40,8 @@ class Rule:
 
 
 def rules_from(rules: DataFrame) -> list[Rule]:
-    """The rules of one configuration. The table is small by nature; a larger one is refused."""
-    rows = rules.orderBy("concern_pos", "signal_pos").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; run them as several configurations")
-    return [
+    """The rules of one configuration, which become part of the plan. A rule that cannot run is refused here."""
+    found = [
         Rule(
             r.concern_id,
             r.concern_pos,
@@ -57,8 +53,22 @@ def rules_from(rules: DataFrame) -> list[Rule]:
             r.report_type,
             dict(r.notify or {}),
         )
-        for r in rows
+        for r in rules.orderBy("concern_pos", "signal_pos").collect()
     ]
+    for rule in found:
+        check_rule(rule)
+    return found
+
+
+def check_rule(rule: Rule) -> None:
+    """Build the rule once, so that what it lacks is named together with its place."""
+    try:
+        extract(rule.watch_type, F.lit(""), F.lit("file.txt"), rule.params)
+        for glob in rule.include:
+            glob_regex(glob)
+    except (KeyError, TypeError, ValueError) as error:
+        what = f"{error} is missing" if isinstance(error, KeyError) else str(error)
+        raise ValueError(f"concern {rule.concern_id!r}, signal {rule.signal_pos}: {what}") from error
 
 
 def load_rules(spark: SparkSession, config: dict | str) -> list[Rule]:
@@ -202,20 +212,25 @@ def run_rules(
     path = effective_path(F.col("new_path"), F.col("old_path"))
     watched_by = [glob_any(path, r.include) for r in rules]
     changes = checkpointed(changes.where(reduce(lambda a, b: a | b, watched_by)))
-    few = changes.count() <= MAX_BROADCAST_CHANGES
+    size = changes.agg(F.sum(F.octet_length(F.concat_ws(" ", "old_path", "new_path")) + 16)).first()[0] or 0
+    versions = attach_versions(changes, snapshots, base, head, size <= MAX_BROADCAST_BYTES)
+    if len(rules) > RULES_PER_PLAN:
+        versions = checkpointed(versions)  # several plans read the contents; they are joined once
     plans = []
     for start in range(0, len(rules), RULES_PER_PLAN):
         some = rules[start : start + RULES_PER_PLAN]
-        versions = attach_versions(changes, snapshots, base, head, few)
         plans.append(report_rows(apply_watches(versions, some, keys), keys, some, hunks))
     return reduce(lambda a, b: a.unionByName(b), plans)
 
 
-def order_reports(reports: DataFrame, keys: list[str]) -> DataFrame:
+def order_reports(reports: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
     """By file, then concern, then signal; only sinks need an order.
 
-    A global sort reads its input twice (once for the range borders), so the reports are written down first.
+    A global sort reads its input twice (once for the range borders), so the reports are written down first, with
+    the given columns beside those of the order.
     """
+    if columns is not None:
+        reports = reports.select(*dict.fromkeys([*keys, "concern_pos", "signal_pos", *columns]))
     return checkpointed(reports).orderBy(*keys, "concern_pos", "signal_pos")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.linediff import anchored_diff, hunk_bounds, line_counts_diff, line_diff, line_range, unified_text
+from ..operators.linediff import anchored_diff, apply_hunks, hunk_bounds, line_counts_diff, line_diff, line_range, unified_text, with_hunks
 from ..operators.versions import version_pairs
 from ..sources.patches import diff_files, diff_hunks, diff_lines, drop_blank, file_counts, hunk_counts
 from . import versions as V
@@ -86,10 +86,18 @@ def _(spark, sf):
     return texts.select("path", line_range(F.col("diff_text")).alias("r")).select("path", "r.*")
 
 
-# Without SQL: the longest increasing run of anchors has no plain SQL form. Tests apply the patches.
-@query("l5_anchored_diff")
+# The longest increasing run of anchors has no plain SQL form, but the hunks must turn the old text into the new one.
+@query("l5_anchored_diff", f"WITH {V.DOCS} SELECT path, new_content AS patched FROM status WHERE type = 'modify'")
 def _(spark, sf):
-    return anchored_diff(document_pairs(spark, sf), ["path"], "old_content", "new_content")
+    pairs = document_pairs(spark, sf).where("old_content <> new_content")
+    rows = with_hunks(pairs, "old_content", "new_content")
+    return rows.select("path", apply_hunks(F.col("old_content"), F.col("hunks")).alias("patched"))
+
+
+@query("l5_patched_turns", f"WITH {V.TURNS} SELECT conv_id, turn, new_content AS patched FROM turns WHERE before IS NOT NULL AND old_content <> new_content")
+def _(spark, sf):
+    rows = with_hunks(turn_pairs(spark, sf).where("old_content <> new_content"), "old_content", "new_content")
+    return rows.select("conv_id", "turn", apply_hunks(F.col("old_content"), F.col("hunks")).alias("patched"))
 
 
 @query(

@@ -45,7 +45,7 @@ def sql_token_context(text: str) -> str:
     return (
         f"CASE WHEN len(regexp_extract_all({text}, '{TOKEN_RX}')) > 0 THEN '[' || array_to_string(list_transform(list_zip("
         f"regexp_extract_all({text}, '{TOKEN_RX}', 1), regexp_extract_all({text}, '{TOKEN_RX}', 2)), "
-        "lambda x: '{\"secret_kind\":\"' || x[1] || '\"' || CASE WHEN x[2] = '' THEN '' ELSE ',\"value\":' || CAST(to_json(x[2]) AS VARCHAR) END || '}'), ',') || ']' END"
+        "lambda x: '{\"secret_kind\":\"' || x[1] || '\"' || ',\"value\":' || CAST(to_json(x[2]) AS VARCHAR) || '}'), ',') || ']' END"
     )
 
 
@@ -309,6 +309,45 @@ def _(spark, sf):
     return V.part_xml(spark, sf).select("p_partkey", xml_extract(F.col("doc"), "string(//name)")["text"].alias("artifact"))
 
 
+@query(
+    "x2_elements",
+    f"""WITH {V.PART_XML} SELECT p_partkey, CASE WHEN sound THEN 'a' || chr(10) || p_size || '.1' || chr(10) || 'b' || chr(10) || p_partkey || '.2' ELSE '' END AS elements,
+    CASE WHEN sound THEN p_size || '.1' || chr(10) || p_partkey || '.2' ELSE '' END AS texts FROM p""",
+)
+def _(spark, sf):
+    doc = F.col("doc")
+    return V.part_xml(spark, sf).select(
+        "p_partkey",
+        xml_extract(doc, "//dep")["text"].alias("elements"),
+        xml_extract(doc, "//dep/version/text()[1]")["text"].alias("texts"),
+    )
+
+
+@query(
+    "x2_union",
+    f"""WITH {V.PART_XML} SELECT p_partkey, CASE WHEN sound THEN p_name || chr(10) || p_size ELSE '' END AS forwards,
+    CASE WHEN sound THEN p_name || chr(10) || p_size ELSE '' END AS backwards,
+    CASE WHEN sound THEN CAST(p_size > 25 AS VARCHAR) ELSE '' END AS big, CASE WHEN sound THEN '2' ELSE '' END AS n FROM p""",
+)
+def _(spark, sf):
+    doc = F.col("doc")
+    return V.part_xml(spark, sf).select(
+        "p_partkey",
+        xml_extract(doc, "//name | //size")["text"].alias("forwards"),
+        xml_extract(doc, "//size | //name")["text"].alias("backwards"),
+        xml_extract(doc, "//size > 25")["text"].alias("big"),
+        xml_extract(doc, "count(//dep)")["text"].alias("n"),
+    )
+
+
+@query("x3_bad_expression", "SELECT p_partkey, '' AS broken, '' AS unknown FROM part")
+def _(spark, sf):
+    doc = F.col("doc")
+    return V.part_xml(spark, sf).select(
+        "p_partkey", xml_extract(doc, "//a[")["text"].alias("broken"), xml_extract(doc, "nosuch(//a)")["text"].alias("unknown")
+    )
+
+
 @query(
     "x4_namespaces",
     f"""WITH {V.PART_XML} SELECT p_partkey, CASE WHEN sound THEN p_brand ELSE '' END AS prefixed, CASE WHEN sound THEN p_name ELSE '' END AS by_default FROM p""",

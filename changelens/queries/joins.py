@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.paths import effective_path, file_ext, glob_any, language_of
@@ -19,7 +21,9 @@ from ..operators.snapshots import (
 from ..operators.spans import first_seen, match_spans, maximal_spans
 from ..operators.versions import first_open, first_with_alternatives, last_by_key, version_pairs
 from ..plans.reports import Rule, both_missing, match_rules
+from ..session import checkpoint_root
 from ..sources.rules import definition_table, rule_table, signal_table
+from ..sources.snapshots import load_snapshots
 from . import versions as V
 from .registry import query, table
 
@@ -416,3 +420,17 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return first_with_alternatives(table(spark, sf, "supplier"), "s_nationkey", "s_name", ["s_acctbal", "s_name"])
+
+
+@query(
+    "s5_folder",
+    """SELECT 'head' AS ref, 'nation=' || c_nationkey AS folder, count(*) AS n, min(c_name) AS first, max(c_name) AS last
+    FROM customer GROUP BY c_nationkey""",
+)
+def _(spark, sf):
+    folder = f"{checkpoint_root(spark)}/snapshot-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("value"))
+    rows.write.partitionBy("nation").text(folder)
+    files = load_snapshots(spark, folder, "head")
+    lines = files.select("ref", F.substring_index("path", "/", 1).alias("folder"), F.explode(F.split(F.rtrim("content", F.lit("\n")), "\n")).alias("line"))
+    return lines.groupBy("ref", "folder").agg(F.count("*").alias("n"), F.min("line").alias("first"), F.max("line").alias("last"))

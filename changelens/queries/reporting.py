@@ -100,7 +100,7 @@ def _(spark, sf):
 
 @query("o1_order_reports", f"WITH {REPORTS} SELECT path, concern_pos, signal_pos, concern_id FROM reports ORDER BY 1, 2, 3")
 def _(spark, sf):
-    return order_reports(document_reports(spark, sf), ["path"]).select("path", "concern_pos", "signal_pos", "concern_id")
+    return order_reports(document_reports(spark, sf), ["path"], ["concern_id"])
 
 
 @query(
@@ -274,7 +274,7 @@ DIFF_RULES = [
 def _order_files(spark, sf):
     """Contents before and after each stored diff; the ref names the diff."""
     key, form = F.col("o_orderkey"), F.col("o_orderkey") % 5
-    path = F.concat(F.lit("orders/"), "o_orderpriority", F.lit("/"), key, F.lit(".txt"))
+    path = F.concat(F.lit("orders/"), "o_orderpriority", F.lit("/"), key, F.when(form == 1, "é.txt").otherwise(".txt"))
     orders = table(spark, sf, "orders")
     text = F.concat(F.lit("id "), key, F.lit("\nstatus "), "o_orderstatus", F.lit("\n"))
     base = orders.where(form != 0).select(F.concat(F.lit("b"), key).alias("ref"), path.alias("path"), text.alias("content"))

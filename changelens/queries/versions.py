@@ -76,18 +76,14 @@ TURNS = """
 turns AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old_content, text AS new_content,
   lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)"""
 
-# --- events: an event is the next version of its user's properties ------------------------------------
-
-EVENT_PAIRS = """
-pairs AS (SELECT user_id, ts, event_id, lag(props) OVER w AS old_content, props AS new_content, lag(event_id) OVER w AS before
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
-
 # --- orders: one diff text per order; the last digits of the key choose its form -----------------------
 
 
 def order_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     path = F.concat(F.lit("orders/"), "o_orderpriority", F.lit("/"), key, F.lit(".txt"))
+    # As names with other than ASCII letters are written: quoted, with their bytes as octal numbers.
+    accented = F.concat(F.lit("orders/"), "o_orderpriority", F.lit("/"), key, F.lit("\\303\\251.txt"))
     header = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n"))
     old = F.concat(F.lit("status "), "o_orderstatus")
     price = F.concat(F.lit("total "), F.col("o_totalprice").cast("decimal(18,2)"))
@@ -96,13 +92,13 @@ def order_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n@@ -0,0 +1,2 @@\n+"), old, F.lit("\n+"), price, F.lit("\n"),
     )
     deleted = F.concat(
-        header, F.lit("deleted file mode 100644\nindex abc1234..0000000\n--- a/"), path,
-        F.lit("\n+++ /dev/null\n@@ -1 +0,0 @@\n-"), old, F.lit("\n\\ No newline at end of file\n"),
+        F.lit('diff --git "a/'), accented, F.lit('" "b/'), accented, F.lit('"\ndeleted file mode 100644\nindex abc1234..0000000\n--- "a/'), accented,
+        F.lit('"\n+++ /dev/null\n@@ -1 +0,0 @@\n-'), old, F.lit("\n\\ No newline at end of file\n"),
     )
     modified = F.concat(
         header, F.lit("index abc1234..def5678 100644\n--- a/"), path, F.lit("\n+++ b/"), path,
         F.lit("\n@@ -10,3 +10,4 @@ order "), key, F.lit("\n "), price, F.lit("\n-"), old,
-        F.lit("\n+status DONE\n+closed\n end\n@@ -40,2 +41 @@\n-gone\n last\n"),
+        F.lit("\n+status DONE\n+closed\n end\n@@ -40,2 +41 @@\n-gone\n last\n-- \n2.40.1\n"),
     )
     renamed = F.concat(
         F.lit("diff --git a/"), path, F.lit(" b/done/"), path, F.lit("\nsimilarity index 95%\nrename from "), path,
@@ -116,7 +112,7 @@ def order_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDERS = """
-o AS (SELECT o_orderkey AS diff_id, o_orderkey % 5 AS form, 'orders/' || o_orderpriority || '/' || o_orderkey || '.txt' AS path,
+o AS (SELECT o_orderkey AS diff_id, o_orderkey % 5 AS form, 'orders/' || o_orderpriority || '/' || o_orderkey || CASE WHEN o_orderkey % 5 = 1 THEN 'é' ELSE '' END || '.txt' AS path,
   'status ' || o_orderstatus AS old, 'total ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS price FROM orders)"""
 
 # The lines of those texts, straight from the columns: form, file, hunk, line, type, content, old and new number.

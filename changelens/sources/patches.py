@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.artifacts import bind
 from ..operators.rows import one_row_each
 
+# Fixed value: the header of a hunk.
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@ ?(.*)"
 
 
@@ -22,28 +23,60 @@ def drop_blank(df: DataFrame, text: str) -> DataFrame:
 
 def _file_chunks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     chunks = F.filter(
-        F.split(F.col(text), r"(?m)^(?=diff --git )", -1), lambda c: F.startswith(c, F.lit("diff --git "))
+        F.split(F.col(text), r"(?md)^(?=diff --git )", -1), lambda c: F.startswith(c, F.lit("diff --git "))
     )
     rows = one_row_each(drop_blank(df, text), keys, chunks, "chunk", "file_no")
-    parts = F.split("chunk", r"(?m)^(?=@@ )", -1)
+    parts = F.split("chunk", r"(?md)^(?=@@ )", -1)
     return rows.select(*keys, "file_no", F.element_at(parts, 1).alias("head"), F.slice(parts, F.lit(2), F.size(parts) - 1).alias("hunks"))
 
 
 def _head(start: str, rest: str = "(.+)") -> Column:
     """What follows ``start`` on the first line that begins with it; the search is skipped where it is absent."""
-    found = F.regexp_extract("head", rf"(?m)^{start}{rest}$", 1)
+    found = F.regexp_extract("head", rf"(?md)^{start}{rest}\r?$", 1)
     return F.when(F.contains("head", F.lit(start)) & (found != ""), found)
 
 
 def _path(mark: str, letter: str, moved: str) -> Column:
     """From the rename or copy line, else the ---/+++ line, else the first line."""
-    first = F.regexp_extract("head", rf"^diff --git a/(.+) b/(.+)(?:\n|\z)", 1 if letter == "a" else 2)
-    marked = F.regexp_extract("head", rf"(?m)^{mark} (/dev/null|{letter}/.+?)\t?$", 1)
+    # Names with unusual characters stand in quotes; either name of a line may.
+    name = rf'(?:"{letter}/((?:[^"\\]|\\.)+)"|{letter}/(.+?))'
+    a, b = (name if x == letter else rf'(?:"{x}/(?:[^"\\]|\\.)+"|{x}/.+)' for x in "ab")
+    first = _either("head", rf"^diff --git {a} {b}\r?(?:\n|\z)")
+    marked = _either("head", rf"(?md)^{mark} {name}\t?\r?$")
+    gone = F.when(F.col("head").rlike(rf"(?md)^{mark} /dev/null\t?\r?$"), "/dev/null")
+    plain = r'(?:"((?:[^"\\]|\\.)+)"|(.+?))'
     return F.coalesce(
-        _head(f"rename {moved} "), _head(f"copy {moved} "), F.when(marked != "", F.regexp_replace(marked, f"^{letter}/", "")), first
+        *[F.when(F.contains("head", F.lit(f"{verb} {moved} ")), _either("head", rf"(?md)^{verb} {moved} {plain}\r?$")) for verb in ("rename", "copy")],
+        gone,
+        marked,
+        first,
     )
 
 
+# What a letter after a backslash stands for in a quoted name, as hexadecimal bytes.
+_ESCAPED = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D"}
+
+
+def unquoted(name: Column) -> Column:
+    """A quoted name without its escapes: octal numbers are bytes of UTF-8, letters are control characters."""
+    letters = F.create_map(*[F.lit(x) for pair in _ESCAPED.items() for x in pair])
+
+    def part(token: Column) -> Column:
+        plain = F.hex(F.encode(F.regexp_replace(token, r"^\\(?=.)", ""), "utf-8"))
+        octal = F.lpad(F.conv(F.substring(token, 2, 3), 8, 16), 2, "0")
+        escape = F.coalesce(F.try_element_at(letters, F.substring(token, 2, 1)), plain)
+        return F.when(token.rlike(r"^\\[0-7]{3}$"), octal).when(F.startswith(token, F.lit("\\")), escape).otherwise(plain)
+
+    tokens = F.regexp_extract_all(name, F.lit(r"\\[0-7]{3}|\\.|[^\\]+"), F.lit(0))
+    return F.decode(F.unhex(F.array_join(F.transform(tokens, part), "")), "utf-8")
+
+
+def _either(text: str, pattern: str) -> Column:
+    """What the pattern's first group (quoted) or second group (plain) has found; NULL for neither."""
+    quoted, plain = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    return F.when(quoted != "", F.when(F.contains(quoted, F.lit("\\")), unquoted(quoted)).otherwise(quoted)).when(plain != "", plain)
+
+
 def diff_files(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row per file: paths, type, modes, revisions, similarity, is_binary."""
     head = F.col("head")
@@ -75,7 +108,7 @@ def diff_files(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         F.try_element_at(revs, F.lit(1)).alias("old_rev"),
         F.try_element_at(revs, F.lit(2)).alias("new_rev"),
         _head("similarity index ", r"(\d+)%").cast("int").alias("similarity"),
-        (has("GIT binary patch") | (has("Binary files ") & head.rlike(r"(?m)^Binary files .* differ$"))).alias("is_binary"),
+        (has("GIT binary patch") | (has("Binary files ") & head.rlike(r"(?md)^Binary files .* differ\r?$"))).alias("is_binary"),
     )
 
 
@@ -147,11 +180,18 @@ def _numbered(body: Column) -> Column:
     return bind(both, joined)
 
 
+_SIZES = ["old_start", "old_lines", "new_start", "new_lines"]
+
+
 def diff_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row per line: insert, delete or normal, its text, and its line number on each side it is on."""
     lines = F.split(F.regexp_replace("hunk", r"\n\z", ""), "\n", -1)
     body = F.filter(F.slice(lines, F.lit(2), F.size(lines) - 1), lambda s: ~F.startswith(s, F.lit("\\")))
-    rows = one_row_each(_hunks(df, keys, text), [*keys, "file_no", "hunk_no"], _numbered(body), "l")
+    hunks = _hunks(df, keys, text)
+    rows = one_row_each(hunks, [*keys, "file_no", "hunk_no", *_SIZES], _numbered(body), "l")
+    # The header says how many lines there are; a mail's signature may follow the last one.
+    for side in ("old", "new"):
+        rows = rows.where(F.expr(f"l.{side}_line IS NULL OR l.{side}_line < {side}_start + {side}_lines"))
     kind = F.when(F.col("l.old_line").isNull(), "insert").when(F.col("l.new_line").isNull(), "delete").otherwise("normal")
     return rows.select(
         *keys,

@@ -15,7 +15,7 @@ def reports_json(reports: DataFrame, keys: list[str]) -> DataFrame:
 
 def reports_text(reports: DataFrame, keys: list[str]) -> DataFrame:
     """The rendered messages in report order, with the keys to order by."""
-    return order_reports(reports, keys).select(*keys, "concern_pos", "signal_pos", "message")
+    return order_reports(reports, keys, ["message"])
 
 
 def write_json(reports: DataFrame, folder: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +13,13 @@ from ..functions.refs import decode_content
 def load_snapshots(spark: SparkSession, folder: str, ref: str) -> DataFrame:
     """The files below a folder, one row each, with paths relative to the folder."""
     files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
-    root = F.regexp_replace(F.lit(folder), r"^file:/*|/+$", "")
-    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    start = F.position(root, file)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+    # Without the scheme and the host, both are plain paths from the root of the file system.
+    file = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", r"^[A-Za-z][\w+.\-]*:(?://[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
     return files.select(
         F.lit(ref).alias("ref"),
-        F.ltrim(F.substring(file, start + F.length(root), F.length(file)), F.lit("/")).alias("path"),
+        F.regexp_replace(file, "^/*" + re.escape(root.lstrip("/")) + "/", "").alias("path"),
         F.col("value").alias("content"),
     )
 
