@@ -51,10 +51,12 @@ def map_namespaces(expr: str, namespaces: dict[str, str] | None) -> str:
     return expr
 
 
-def xpath_value(content: Column, expr: str, kind: str = "string", namespaces: dict[str, str] | None = None) -> Column:
-    """A string, number or boolean result as text; '' for malformed input."""
+def xpath_value(
+    content: Column, expr: str, kind: str = "string", namespaces: dict[str, str] | None = None, sound: Column | None = None
+) -> Column:
+    """A string, number or boolean result as text; '' for malformed input. ``sound``: what ``well_formed`` gave."""
     path = F.lit(map_namespaces(expr, namespaces))
-    body = well_formed(content)
+    body = well_formed(content) if sound is None else sound
     if kind == "string":
         text = F.xpath_string(body, path)
     elif kind == "boolean":
@@ -71,7 +73,9 @@ def xpath_value(content: Column, expr: str, kind: str = "string", namespaces: di
     return F.coalesce(text, F.lit(""))
 
 
-def xpath_nodes(content: Column, expr: str, namespaces: dict[str, str] | None = None) -> Column:
+def xpath_nodes(
+    content: Column, expr: str, namespaces: dict[str, str] | None = None, sound: Column | None = None
+) -> Column:
     """What all selected nodes hold, in document order, one item per line; '' for malformed input.
 
     Attributes and text nodes give their value, elements the values of all attributes and texts inside them, so a
@@ -79,7 +83,7 @@ def xpath_nodes(content: Column, expr: str, namespaces: dict[str, str] | None =
     """
     nodes = f"({map_namespaces(expr, namespaces)})"
     inside = f"{nodes}/descendant-or-self::*/@* | {nodes}/descendant::text()[normalize-space()] | {nodes}[not(self::*)]"
-    return F.coalesce(F.array_join(F.xpath(well_formed(content), F.lit(inside)), "\n"), F.lit(""))
+    return F.coalesce(F.array_join(F.xpath(well_formed(content) if sound is None else sound, F.lit(inside)), "\n"), F.lit(""))
 
 
 def element_markup(content: Column, tag: str) -> Column:
@@ -102,13 +106,15 @@ def xpath_kind(expression: str, namespaces: dict[str, str] | None = None) -> str
     return {"STRING": "string", "NUMBER": "number", "BOOLEAN": "boolean"}.get(kind, "nodes")
 
 
-def xml_extract(content: Column, expression: str, namespaces: dict[str, str] | None = None) -> Column:
+def xml_extract(
+    content: Column, expression: str, namespaces: dict[str, str] | None = None, sound: Column | None = None
+) -> Column:
     """The artifact of an XPath rule: the value of the expression, or the nodes listed; '' for a bad expression."""
     kind = xpath_kind(expression, namespaces)
     if kind is None:
         text = F.lit("")
     elif kind == "nodes":
-        text = xpath_nodes(content, expression, namespaces)
+        text = xpath_nodes(content, expression, namespaces, sound)
     else:
-        text = xpath_value(content, expression, kind, namespaces)
+        text = xpath_value(content, expression, kind, namespaces, sound)
     return or_empty(artifact(text), content)

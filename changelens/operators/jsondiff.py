@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import STRING_TOKEN, json_object
+from ..functions.jsonx import json_object
+from ..session import checkpointed
 from .rows import one_row_each
 
 
@@ -29,27 +32,17 @@ def json_entry_diff(df: DataFrame, keys: list[str], old: str, new: str) -> DataF
     return rows.select(*keys, "json_key", change.alias("change"), "v.old_value", "v.new_value")
 
 
-def json_depth(content: Column) -> Column:
-    """How deep arrays and objects nest in a JSON text."""
-    brackets = F.regexp_replace(F.regexp_replace(content, STRING_TOKEN, ""), r"[^\[\]{}]", "")
-    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
-    state = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-        lambda a, x: F.struct((a["now"] + x).alias("now"), F.greatest(a["top"], a["now"] + x).alias("top")),
-    )
-    return state["top"]
+#: Levels that are opened in one plan. Documents that nest deeper take more rounds, and only what is open goes on.
+LEVELS = 4
+_NODE = "struct<path:string,node:variant,open:boolean>"
 
 
-def json_nodes(df: DataFrame, keys: list[str], content: str, max_depth: int | None = None) -> DataFrame:
+def json_nodes(df: DataFrame, keys: list[str], content: str, levels: int = LEVELS) -> DataFrame:
     """``path, kind, value`` of every node of the documents; objects and arrays have no value.
 
-    Each level opens the containers of the level before it inside the row. The number of levels is the
-    deepest document's, found first when not given; a deeper document is an error, never cut.
+    Each level opens the containers of the level before it inside the row. After some levels the nodes are written
+    down, and those still closed over something go into the next round, so one deep document costs the others nothing.
     """
-    if max_depth is None:
-        max_depth = df.agg(F.max(json_depth(F.col(content)))).first()[0] or 0
-    node = "struct<path:string,node:variant,open:boolean>"
 
     def is_open(v: Column) -> Column:
         return F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)")
@@ -57,10 +50,7 @@ def json_nodes(df: DataFrame, keys: list[str], content: str, max_depth: int | No
     def make(path: Column, v: Column, opened: Column) -> Column:
         return F.struct(path.alias("path"), v.alias("node"), opened.alias("open"))
 
-    root = F.parse_json(F.col(content))
-    rows = df.select(*keys, make(F.lit("$"), root, is_open(root)).alias("n"))
-    nothing = F.array().cast(f"array<{node}>")
-    for _ in range(max_depth):
+    def opened(rows: DataFrame) -> DataFrame:
         n = F.col("n")
         fields = F.transform(
             F.map_entries(F.try_variant_get(n["node"], "$", "map<string,variant>")),
@@ -70,14 +60,25 @@ def json_nodes(df: DataFrame, keys: list[str], content: str, max_depth: int | No
             F.try_variant_get(n["node"], "$", "array<variant>"),
             lambda v, i: make(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), v, is_open(v)),
         )
-        self_closed = F.array(make(n["path"], n["node"], F.lit(False)))
-        grown = F.when(n["open"], F.concat(self_closed, F.coalesce(fields, items, nothing))).otherwise(self_closed)
-        rows = one_row_each(rows, keys, grown, "n")
-    kind = F.regexp_extract(F.schema_of_variant(F.col("n.node")), "^[A-Z]+", 0)
-    deeper = F.raise_error(F.lit("a document nests deeper than max_depth")).cast("string")
-    return rows.select(
+        itself = F.array(make(n["path"], n["node"], F.lit(False)))
+        nothing = F.array().cast(f"array<{_NODE}>")
+        grown = F.when(n["open"], F.concat(itself, F.coalesce(fields, items, nothing))).otherwise(itself)
+        return one_row_each(rows, keys, grown, "n")
+
+    root = F.parse_json(F.col(content))
+    rows, done = df.select(*keys, make(F.lit("$"), root, is_open(root)).alias("n")), []
+    while True:
+        for _ in range(levels):
+            rows = opened(rows)
+        rows = checkpointed(rows)
+        done.append(rows.where("NOT n.open"))
+        rows = rows.where("n.open")
+        if rows.isEmpty():
+            break
+    every = reduce(DataFrame.union, done)
+    return every.select(
         *keys,
         F.col("n.path").alias("path"),
-        F.when(F.col("n.open"), deeper).otherwise(kind).alias("kind"),
+        F.regexp_extract(F.schema_of_variant(F.col("n.node")), "^[A-Z]+", 0).alias("kind"),
         F.when(~is_open(F.col("n.node")), F.to_json(F.col("n.node"))).alias("value"),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from ..functions.code import code_extract, template_extract
 from ..functions.jsonx import json_extract
 from ..functions.regex import regex_extract
-from ..functions.xmlx import xml_extract
+from ..functions.xmlx import well_formed, xml_extract
 
 Extractor = Callable[[Column, Column, dict[str, str]], Column]
 
@@ -29,9 +29,9 @@ def _template(content: Column, path: Column, params: dict[str, str]) -> Column:
     return template_extract(content, pattern)
 
 
-def _xpath(content: Column, path: Column, params: dict[str, str]) -> Column:
+def _xpath(content: Column, path: Column, params: dict[str, str], parsed: Column | None = None) -> Column:
     namespaces = json.loads(params["namespaces"]) if params.get("namespaces") else None
-    return xml_extract(content, params["expression"], namespaces)
+    return xml_extract(content, params["expression"], namespaces, parsed)
 
 
 def _json(content: Column, path: Column, params: dict[str, str]) -> Column:
@@ -56,18 +56,23 @@ EXTRACTORS: dict[str, Extractor] = {
     "ast-grep": _template,
 }
 
+# What all rules of a type read of a content, computed once per side and handed to the extractor as ``parsed``.
+PARSERS: dict[str, Callable[[Column], Column]] = {"xpath": well_formed}
+
 # JSON differences carry no line range: their lines are not lines of the file.
 WITHOUT_LINE_RANGE = {"jq"}
 
 
 def register_extractor(name: str, extractor: Extractor, line_range: bool = True) -> None:
     EXTRACTORS[name] = extractor
+    PARSERS.pop(name, None)
     WITHOUT_LINE_RANGE.discard(name)
     if not line_range:
         WITHOUT_LINE_RANGE.add(name)
 
 
-def extract(watch_type: str, content: Column, path: Column, params: dict[str, str]) -> Column:
+def extract(watch_type: str, content: Column, path: Column, params: dict[str, str], parsed: Column | None = None) -> Column:
     if watch_type not in EXTRACTORS:
         raise ValueError(f"Unsupported watch type: {watch_type}")
-    return EXTRACTORS[watch_type](content, path, params)
+    more = {} if parsed is None else {"parsed": parsed}
+    return EXTRACTORS[watch_type](content, path, params, **more)

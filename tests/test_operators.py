@@ -305,8 +305,10 @@ def test_json_nodes_find_their_depth(spark):
         (1, "$"): ("OBJECT", None), (1, "$.a"): ("ARRAY", None), (1, "$.a[0]"): ("OBJECT", None), (1, "$.a[0].b"): ("VOID", "null"),
         (1, "$.a[1]"): ("ARRAY", None), (1, "$.c"): ("STRING", '"[{"'), (2, "$"): ("BIGINT", "3"), (3, "$"): ("OBJECT", None),
     }
-    with pytest.raises(Exception, match="max_depth"):
-        json_nodes(df, ["id"], "c", max_depth=1).collect()
+    by_level = {(r.id, r.path): (r.kind, r.value) for r in json_nodes(df, ["id"], "c", levels=1).collect()}
+    assert by_level == got
+    deep = spark.createDataFrame([(1, "[" * 30 + "]" * 30)], "id int, c string")
+    assert json_nodes(deep, ["id"], "c").count() == 30
 
 
 def test_json_entry_diff(spark):
