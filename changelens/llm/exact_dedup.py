@@ -119,7 +119,9 @@ def _different_bytes(
     texts = texts.withColumn("other_digest", digest(F.col("bytes"))).join(
         members, F.expr("other_id <=> doc_id AND other_digest = text_sha256")
     )
-    texts = texts.withColumn("lots", F.ceil(F.col("group_size") / LOT).cast("int"))
+    lots = F.ceil(F.col("group_size") / LOT).cast("int")
+    # Both sides of the comparison read the texts of the hits, so all texts are shuffled once.
+    texts = written(texts.select("other_id", "other_digest", "bytes", "keep_id", lots.alias("lots")), "dedup-texts")
     # The text that stays is repeated once per lot, so that a group of any size is compared in many tasks.
     stays = texts.where("other_id <=> keep_id").select(
         F.col("other_digest").alias("digest"), F.col("bytes").alias("kept_bytes"), F.explode(F.expr("sequence(0, lots - 1)")).alias("lot")
