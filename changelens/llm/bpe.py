@@ -14,8 +14,9 @@ from __future__ import annotations
 import base64
 import functools
 import re
-from collections.abc import Iterable
-from itertools import chain
+from array import array
+from collections.abc import Sequence
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -26,13 +27,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Chunks, pieces, and pairs of tokens, remembered by one Python worker.
-MEMORY = 500_000
+#: Pieces, chunks and pairs of tokens remembered by one Python worker, about 200 bytes each. A piece costs most.
+PIECES, CHUNKS, PAIRS = 400_000, 250_000, 200_000
 #: Longer chunks are not remembered.
 LONG = 64
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+def make_room(memory: dict, most: int) -> None:
+    """Forget the older half of a full memory."""
+    if len(memory) >= most:
+        for key in list(islice(memory, most // 2 + 1)):
+            del memory[key]
+
+
 class PrefixEncoder:
     """Encodes bytes and texts by a table of token ranks, which are also the ids."""
 
@@ -45,12 +53,15 @@ class PrefixEncoder:
         for token, rank in ranks.items():
             self._find.add_word(token.decode("latin-1"), (len(token), rank))
         self._find.make_automaton()
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
+        self._size, self._place = np.zeros(max(self.token) + 1, np.int64), np.zeros(max(self.token) + 1, np.int64)
+        self._size[list(self.token)] = list(map(len, self.token.values()))
+        self._place[list(self.token)] = np.cumsum([0, *map(len, self.token.values())])[:-1]
+        self._bytes = np.frombuffer(b"".join(self.token.values()), np.uint8)
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._whole: dict[int, bool] = {}
-        self._pieces: dict[str, list[int]] = {}
-        self._plain: dict[str, tuple[int, ...] | None] = {}
-        self._spaced: dict[str, tuple[int, ...] | None] = {}
+        self._pieces: dict[str, bytes] = {}
+        self._spaced: dict[str, bytes] = {}
 
     def merged(self, data: bytes, stop: int = 1) -> list[int]:
         """The encoding by its definition: join the adjacent pair of lowest rank until none (or ``stop``) is left."""
@@ -96,28 +107,25 @@ class PrefixEncoder:
 
     def follows(self, before: int, rank: int) -> bool:
         """Whether the token may come right after ``before``, whose own place is right (-1: may be the first)."""
-        if len(self._follows) >= MEMORY:
-            self._follows.clear()
+        make_room(self._follows, PAIRS)
         known = self._stands(rank) and (before < 0 or self._border_holds(before, rank))
-        self._follows[before, rank] = known
+        self._follows[before << 32 | rank] = known
         return known
 
     def extend(self, data: bytes, last: list[int], more: bytes) -> tuple[bytes, list[int]]:
         """``data + more`` and its last tokens, from ``data`` and its own; earlier entries stay as they are."""
-        old, known, follows = len(data), self._follows, self.follows
+        old, known, follows = len(data), self._follows.get, self.follows
         back = max(0, old - self.longest + 1)
         data, last = data + more, last + [-1] * len(more)
+        after = back + 1
         for end, (length, rank) in self._find.iter(data[back:].decode("latin-1")):
-            end += back + 1
-            if end <= old or last[end] >= 0:
-                continue
-            start = end - length
-            before = last[start]  # -1 at the start
-            if start and before < 0:
-                continue
-            right = known.get((before, rank))
-            if follows(before, rank) if right is None else right:
-                last[end] = rank
+            end += after
+            if last[end] < 0 and end > old:
+                before = last[end - length]
+                if before >= 0 or end == length:
+                    right = known(before << 32 | rank)
+                    if follows(before, rank) if right is None else right:
+                        last[end] = rank
         return data, last
 
     def read_back(self, last: list[int], end: int) -> list[int]:
@@ -137,41 +145,53 @@ class PrefixEncoder:
             return [whole]
         return self.read_back(self.extend(b"", [-1], data)[1], len(data))
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        ids, pieces = [], self._pieces
-        for piece in self._pattern.findall(chunk):
-            found = pieces.get(piece)
-            if found is None:
-                found = self.encode_bytes(piece.encode())
-                if len(pieces) >= MEMORY:
-                    pieces.clear()
+    def packed_chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk as 32-bit numbers."""
+        split, pieces = self._pattern.findall(chunk), self._pieces
+        found = list(map(pieces.get, split))
+        for i, piece in enumerate(split):
+            if found[i] is None:
+                found[i] = array("i", self.encode_bytes(piece.encode())).tobytes()
                 if len(piece) <= LONG:
-                    pieces[piece] = found
-            ids += found
-        return tuple(ids)
-
-    def _learn(self, memory: dict, part: str, chunk: str) -> tuple[int, ...] | None:
-        if len(memory) >= MEMORY:
-            memory.clear()
-        ids = None if not part or part[0].isspace() or part[-1].isspace() else self._chunk(chunk)
-        if len(part) <= LONG:
-            memory[part] = ids
-        return ids
+                    make_room(pieces, PIECES)
+                    pieces[piece] = found[i]
+        return b"".join(found)
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a whole text, without special tokens, as 32-bit numbers."""
+        if not text:
+            return b""
+        parts = text.split(" ")
+        # The first part stands for itself, every other one for a blank and itself.
+        found = list(map(self._spaced.get, parts))
+        found[0] = None
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            part = parts[i]
+            if not part or part[0].isspace() or part[-1].isspace():
+                # A blank beside other white space: cut only where both neighbours are none.
+                found = map(self.packed_chunk, _CUT.split(text))
+                break
+            found[i] = self.packed_chunk(" " + part if i else part)
+            if i and len(part) <= LONG:
+                make_room(self._spaced, CHUNKS)
+                self._spaced[part] = found[i]
+        return b"".join(found)
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text, without special tokens."""
-        if not text:
-            return []
-        head, *rest = text.split(" ")
-        plain, spaced, learn = self._plain, self._spaced, self._learn
-        found = [plain[head] if head in plain else learn(plain, head, head)]
-        found += [spaced[part] if part in spaced else learn(spaced, part, " " + part) for part in rest]
-        if None in found:  # a blank beside other white space: cut only where both neighbours are none
-            found = [self._chunk(chunk) for chunk in _CUT.split(text)]
-        return list(chain.from_iterable(found))
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+    def decode(self, ids: Sequence[int]) -> bytes:
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return b""
+        # Each token's bytes are looked up in one table of all tokens, put one after another.
+        lengths = self._size[ids]
+        if ids.min() < 0 or lengths.min() == 0:
+            raise ValueError("an id is no token")
+        ends = np.cumsum(lengths)
+        places = np.repeat(self._place[ids] - ends + lengths, lengths) + np.arange(ends[-1])
+        return self._bytes[places].tobytes()
 
 
 class EditableText:
@@ -186,7 +206,7 @@ class EditableText:
         return "".join(chunk for chunk, _ in self.chunks)
 
     def ids(self) -> list[int]:
-        return list(chain.from_iterable(ids for _, ids in self.chunks))
+        return np.frombuffer(b"".join(ids for _, ids in self.chunks), np.int32).tolist()
 
     def append(self, more: str) -> None:
         size = sum(len(chunk) for chunk, _ in self.chunks)
@@ -210,7 +230,7 @@ class EditableText:
         middle = "".join(chunk for chunk, _ in self.chunks[first:stop])
         middle = middle[: start - before] + new + middle[end - before :]
         cut = [chunk for chunk in _CUT.split(middle) if chunk]
-        self.chunks[first:stop] = [(chunk, self.encoder._chunk(chunk)) for chunk in cut]
+        self.chunks[first:stop] = [(chunk, self.encoder.packed_chunk(chunk)) for chunk in cut]
         return len(cut)
 
 
@@ -222,17 +242,18 @@ def encoder(path: str = RANKS) -> PrefixEncoder:
     return PrefixEncoder(ranks)
 
 
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, packed)]) // 4
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 def encode(text: Column, path: str = RANKS) -> Column:
     """array<int> of token ids; NULL and empty texts give an empty array."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        encode_text, sizes, flat = encoder(path).encode, [0], []
-        for value in texts:
-            flat.append(np.array(encode_text(value.as_py() or ""), np.int32))
-            sizes.append(len(flat[-1]))
-        values = np.concatenate(flat) if flat else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(values, pa.int32()))
+        encode_text = encoder(path).packed
+        return _lists([encode_text(value.as_py() or "") for value in texts])
 
     return ids(text)
 
@@ -243,13 +264,24 @@ def decode(ids: Column, path: str = RANKS) -> Column:
     @F.arrow_udf("binary")
     def decoded(arrays: pa.Array) -> pa.Array:
         decode_ids = encoder(path).decode
-        return pa.array(
-            [None if not row.is_valid else decode_ids(row.values.to_numpy().tolist()) for row in arrays], pa.binary()
-        )
+        return pa.array([None if not row.is_valid else decode_ids(row.values.to_numpy()) for row in arrays], pa.binary())
 
     return decoded(ids)
 
 
+def round_trip(text: Column, path: str = RANKS) -> Column:
+    """struct(ids, decoded) in one go: each text is encoded once, and its ids are decoded where they are."""
+
+    @F.arrow_udf("ids array<int>, decoded binary")
+    def both(texts: pa.Array) -> pa.Array:
+        known = encoder(path)
+        ids = [known.packed(value.as_py() or "") for value in texts]
+        decoded = pa.array([known.decode(np.frombuffer(x, np.int32)) for x in ids], pa.binary())
+        return pa.StructArray.from_arrays([_lists(ids), decoded], ["ids", "decoded"])
+
+    return both(text)
+
+
 def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = RANKS) -> DataFrame:
     """One row per row of ``docs``: the id, ``ids`` (array<int>) and ``decoded`` (binary).
 
@@ -257,5 +289,4 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
     decode to no bytes; a repeated row appears as often as it is given; an empty table gives no rows. Texts of any
     length are encoded whole: time grows with the length, memory holds one entry per byte of the longest piece.
     """
-    rows = docs.select(id_column, encode(F.col(text_column), path).alias("ids"))
-    return rows.select(id_column, "ids", decode(F.col("ids"), path).alias("decoded"))
+    return docs.select(id_column, round_trip(F.col(text_column), path).alias("both")).select(id_column, "both.*")

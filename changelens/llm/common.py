@@ -40,3 +40,10 @@ def fold(id_column: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Hand Python this many rows at a time at most, for functions that return more than they get."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, html_extract, language_id, license_scan, mixing, quality_classifier, quality_rules, secret_scan, simhash
-from .common import documents
+from .common import documents, small_batches
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rows = bpe.encode_documents(documents(spark, sf_dir))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return rows.select(

@@ -31,6 +31,13 @@ def test_any_signs_as_the_public_library(own, public):
         assert own.decode(own.encode(text)) == text.encode()
 
 
+def test_ids_that_are_no_tokens(own):
+    assert own.decode([]) == b"" and own.decode([0, 5]) == own.token[0] + own.token[5]
+    for ids in ([-1], [max(own.token) + 1]):
+        with pytest.raises((ValueError, IndexError)):
+            own.decode(ids)
+
+
 def test_long_pieces(own, public):
     rng = random.Random(4)
     for text in ("a" * 5_000, "ab" * 3_000, " " * 2_000, "".join(rng.choice("etaoin") for _ in range(20_000))):
@@ -63,7 +70,8 @@ def test_edits_encode_little_and_stay_right(own, public):
 
 
 def test_small_memory_gives_the_same_ids(own, public, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMORY", 3)
+    for name in ("PIECES", "CHUNKS", "PAIRS"):
+        monkeypatch.setattr(bpe, name, 3)
     small = bpe.PrefixEncoder(own.ranks)
     text = "a row of different words, and the same words once more"
     assert small.encode(text) == public.encode_ordinary(text)
