@@ -38,7 +38,22 @@ def _head(start: str, rest: str = "(.+)") -> Column:
 
 def _path(mark: str, letter: str, moved: str) -> Column:
     """From the rename or copy line, else the ---/+++ line, else the first line."""
-    # Names with unusual characters stand in quotes; either name of a line may.
+    return F.when(F.contains("head", F.lit('"')), _quoted_path(mark, letter, moved)).otherwise(_plain_path(mark, letter, moved))
+
+
+def _plain_path(mark: str, letter: str, moved: str) -> Column:
+    first = F.regexp_extract("head", r"^diff --git a/(.+) b/(.+?)\r?(?:\n|\z)", 1 if letter == "a" else 2)
+    marked = F.regexp_extract("head", rf"(?md)^{mark} (/dev/null|{letter}/.+?)\t?\r?$", 1)
+    return F.coalesce(
+        _head(f"rename {moved} ", "(.+?)"),
+        _head(f"copy {moved} ", "(.+?)"),
+        F.when(marked != "", F.regexp_replace(marked, f"^{letter}/", "")),
+        first,
+    )
+
+
+def _quoted_path(mark: str, letter: str, moved: str) -> Column:
+    """Names with unusual characters stand in quotes; either name of a line may."""
     name = rf'(?:"{letter}/((?:[^"\\]|\\.)+)"|{letter}/(.+?))'
     a, b = (name if x == letter else rf'(?:"{x}/(?:[^"\\]|\\.)+"|{x}/.+)' for x in "ab")
     first = _either("head", rf"^diff --git {a} {b}\r?(?:\n|\z)")
