@@ -29,13 +29,14 @@ KINDS = ("assign", "access", "hex")
 
 # Words that make what follows sensitive.
 SENSITIVE = (
-    "password passwd passphrase pwd secret token api_key apikey api-key access_key access-key private_key private-key "
+    "password passwd passphrase pwd secret token api_key apikey api-key access_key access-key accesskey secretaccesskey private_key "
+    "private-key privatekey secret_key secret-key secretkey encryption_key encryption-key encryptionkey "
     "credential authorization auth client_id client-id signature session_id session-id cookie login pin key salt hash"
 ).split()
 SCHEMES = ("bearer", "basic")
-_VALUE = r"""([^\s"'()<>{},;]{16,512})"""
-AFTER_WORD = re.compile(r"""s?["']?[\x20\t]*(?:[:=]+>?|is\b|\()[\x20\t]*["'(]*""" + _VALUE)
-AFTER_SCHEME = re.compile(r"[\x20\t]+" + _VALUE)
+VALUE = re.compile(r"""[^\s"'()<>{},;]+""")
+AFTER_WORD = re.compile(r"""s?["']?[\x20\t]*(?:[:=]+>?|is\b|\()[\x20\t]*["'(]*""")
+AFTER_SCHEME = re.compile(r"[\x20\t]+")
 #: Characters before and after a candidate that the compressor has seen.
 AROUND = 256
 #: Growth in bytes per byte from which a candidate is new: random letters and digits need 0.79 and more, names and
@@ -43,6 +44,15 @@ AROUND = 256
 NOVEL = 0.78
 LEAST = 16
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
+#: Strings from SHORT characters on are measured if they have small and capital letters, digits and signs. Others need
+#: LEAST: of 400 random strings of 8 letters and digits half have a novelty of 1.0 or less (least 0.75), and of 400
+#: names with a digit half have 0.75 or more and at least one in twenty 1.0 or more, so novelty does not part them.
+SHORT = 8
+_KINDS = [re.compile(kind) for kind in ("[a-z]", "[A-Z]", "[0-9]", r"[!#$%&*+?@^~|=]")]
+#: Values of more than LONG characters are measured in pieces of PIECE: over a long run of letters and digits the
+#: table of their bits costs nothing any more, and the growth falls to 0.75 bytes however random they are.
+LONG = 512
+PIECE = 256
 LEVEL = 3
 DICTIONARY_BYTES = 4_096
 
@@ -89,6 +99,13 @@ def novelty(before: str, candidate: str, after: str) -> float:
     return (len(compress(around + own)) - len(compress(around))) / max(1, len(own))
 
 
+def value_novelty(text: str, start: int, end: int) -> float:
+    """The novelty of the value at a place of the text; for a long one, the mean over its pieces."""
+    cuts = [start, end] if end - start <= LONG else [*range(start, end - PIECE + 1, PIECE), end]
+    parts = [(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]) for a, b in zip(cuts, cuts[1:])]
+    return sum(novelty(before, part, after) * len(part) for part, before, after in parts) / max(1, end - start)
+
+
 @functools.lru_cache(maxsize=1)
 def _sensitive() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -114,23 +131,37 @@ def sensitive_words(text: str) -> list[tuple[int, str, re.Pattern]]:
     return [(end + 1, word, after) for end, (word, after) in _sensitive().iter(lowered)]
 
 
+def _at_border(text: str, start: int) -> bool:
+    """Whether no letter stands before the word at ``start``, or the word begins with an inner capital."""
+    if start == 0 or not text[start - 1].isalpha():
+        return True
+    return text[start].isupper() and (text[start - 1].islower() or text[start + 1].islower())
+
+
+def _measurable(value: str) -> bool:
+    if len(value) >= LEAST:
+        return bool(_MIXED.search(value))
+    return len(value) >= SHORT and all(kind.search(value) for kind in _KINDS)
+
+
 def novel_findings(text: str, words: list, known: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
     """(start, end, novelty) of candidates that are new and do not overlap a base finding (sorted by start)."""
     found, reach, at, done = [], 0, 0, 0
     for place, word, after in words:
-        before = place - len(word) - 1
-        match = after.match(text, place) if before < 0 or not text[before].isalpha() else None
-        if match is None:
-            continue
-        start, end = match.start(1), match.start(1) + len(match[1].rstrip(".:!?"))
-        if start < done or end - start < LEAST or not _MIXED.search(match[1]):
+        head = after.match(text, place) if _at_border(text, place - len(word)) else None
+        # A value is read once, however many words stand in it: what is left of it behind them is no other value.
+        value = VALUE.match(text, head.end()) if head and head.end() >= done else None
+        if value is None:
             continue
+        start, end = value.start(), value.start() + len(value[0].rstrip(".:!?"))
         done = end
+        if not _measurable(text[start:end]):
+            continue
         while at < len(known) and known[at][0] < end:
             reach, at = max(reach, known[at][2]), at + 1
         if reach > start:
             continue
-        new = novelty(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND])
+        new = value_novelty(text, start, end)
         if new >= NOVEL:
             found.append((start, end, round(new, 4)))
     return found

@@ -59,6 +59,24 @@ def test_random_strings_are_new_and_words_are_not():
         assert novel(text) == []
 
 
+def test_names_without_separator_long_values_and_short_passwords():
+    import random
+    import string
+
+    rng = random.Random(8)
+    names = "secretAccessKey secretKey privateKey accessKey encryptionKey APIAccessKey secretkey privatekey accesskey encryptionkey"
+    for name in names.split():
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+        assert novel(f"{name} = '{key}'") == [key] and novel(f'"{name}": "{key}"') == [key]
+        assert novel(f"{name}Of = '{key}'") == []
+    for size in (513, 5_000, 100_000):
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(size))
+        assert novel(f"Authorization: Bearer {key}\nprivate_key: none") == [key]
+    assert novel("pwd = 'X9$kQ!2z'") == ["X9$kQ!2z"] and novel("pwd = 'getName2'") == []
+    assert novel("monkey = x" + "monkeys are not keys " * 20) == []
+    assert len(novel("key=" * 200_000 + key)) <= 1  # in time that grows with the length
+
+
 def test_base_findings_are_not_reported_twice():
     text = 'token = "9dd3c80004c73dc9e548fee51b23b527780d4f20"'
     assert ss.scan(text)[4] == ss.scan(text)[3] == "assign:0:49,hex:9:49"
