@@ -17,20 +17,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
 
-#: Bounds of the fit: languages (the most frequent), documents drawn per language, characters used of each, bytes
-#: per automaton, and bytes that show how many phrases the language's own text needs.
-LANGUAGES = 64
+#: Bounds of the fit: documents drawn per language, characters used of each, bytes per automaton, and bytes that show
+#: how many phrases the language's own text needs.
 SAMPLE = 200
 SAMPLE_CHARS = 4_000
 AUTOMATON_BYTES = 40_000
 OWN_BYTES = 20_000
 #: Bytes of all automata together: with many languages each gets less.
 ALL_BYTES = 480_000
+#: Bytes that a text gives at least when all drawn texts share the bytes of an automaton.
+EXCERPT = 200
+#: Characters of all languages together that come to the driver: with many languages each gets less.
+ALL_CHARS = 64 * SAMPLE * SAMPLE_CHARS
 #: Bytes of a stream. A phrase ends at the end of its stream.
 STREAM = 2_048
 #: Bytes parsed at once.
@@ -165,17 +169,32 @@ def _parser(texts: tuple[bytes, ...]) -> Parser:
     return Parser(texts)
 
 
+def excerpts(texts: list[bytes], most: int) -> bytes:
+    """The starts of all texts, as long as ``most`` bytes allow: short texts whole, the others equally long."""
+    room, share = most - len(texts), 0
+    for i, size in enumerate(sorted(map(len, texts))):
+        share = max(0, room) // (len(texts) - i)
+        if size > share:
+            break
+        room -= size
+        share = size
+    share = max(share, EXCERPT)
+    return b" ".join(text[:share] for text in texts)[:most]
+
+
 def fit(texts: dict[str, list[str]]) -> Model:
     """A model from labelled texts, of which the bounds above say how much is used."""
     most = min(AUTOMATON_BYTES, ALL_BYTES // max(1, len(texts)))
     parts = {}
     for language in sorted(texts):
         known, own = [], []
-        for i, text in enumerate(sorted(texts[language])):
-            (own if i % 3 == 2 else known).append(prepared(text[:SAMPLE_CHARS]))
-        learned = b" ".join(known)[:most]
+        # Copies count once; by their hash, so that texts with equal starts do not stand together.
+        distinct = {prepared(text[:SAMPLE_CHARS]) for text in texts[language]}
+        for i, text in enumerate(sorted(distinct, key=lambda t: (xxhash.xxh64_intdigest(t), t))):
+            (own if i % 3 == 2 else known).append(text)
+        learned = excerpts(known, most)
         if learned.strip():
-            parts[language] = learned, (b" ".join(own) or learned)[:OWN_BYTES]
+            parts[language] = learned, (excerpts(own, OWN_BYTES) or learned)[:OWN_BYTES]
     counts = Parser(tuple(p[0] for p in parts.values())).counts([p[1] for p in parts.values()]) if parts else []
     return Model(
         tuple((name, known, float(counts[i][i]) / len(own)) for i, (name, (known, own)) in enumerate(parts.items()))
@@ -190,13 +209,16 @@ def trained(docs: DataFrame) -> Model:
     known = docs.where(
         F.col("text").isNotNull() & (F.col("text") != "") & F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0)
     )
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return Model()
-    rates = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE / r["n"]))])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.try_element_at(rates, F.col("lang")) * (1 << 30)
+    chars = min(SAMPLE_CHARS, max(EXCERPT, ALL_CHARS // SAMPLE // len(sizes)))
+    sample = min(SAMPLE, max(6, ALL_CHARS // chars // len(sizes)))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["n"])) for r in sizes], "known_lang string, rate double")
+    drawn = F.expr("lang = known_lang") & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    known = known.select("doc_id", "lang", "text").join(F.broadcast(rates), drawn)
     texts = defaultdict(list)
-    for r in known.where(drawn).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
+    for r in known.select("lang", F.substring("text", 1, chars).alias("text")).collect():
         texts[r["lang"]].append(r["text"])
     return fit(texts)
 

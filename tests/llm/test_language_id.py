@@ -85,3 +85,26 @@ def test_without_labels(odd, empty):
 
 def test_one_language():
     assert li.predict(["abc"], li.fit({"xx": ["abc abc"]})) == (["xx"], [1.0])
+
+
+def test_copies_do_not_fill_the_automaton():
+    rng = random.Random(7)
+    words = {n: ["".join(rng.choice(a) for _ in range(6)) for _ in range(400)] for n, a in (("xx", "abcdef"), ("yy", "abcghi"))}
+    text = {n: lambda n=n: " ".join(rng.choices(words[n], k=500)) for n in words}
+    copy = "aaaa " + text["xx"]()
+    drawn = {n: [text[n]() for _ in range(130)] for n in words}
+    model = li.fit({"xx": [copy] * 70 + drawn["xx"], "yy": drawn["yy"]})
+    learned = dict((n, known) for n, known, _ in model.languages)
+    assert all(len(known) <= li.AUTOMATON_BYTES for known in learned.values())
+    assert learned["xx"].count(copy[:200].encode()) <= 1
+    starts = [t[:150].encode() for t in drawn["xx"]]
+    assert sum(s in learned["xx"] for s in starts) > 80
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(800)]
+    rows = [(70 * i + k, " ".join(rng.choices(letters[10 * i : 10 * i + 10], k=40)), f"l{i:02}") for i in range(80) for k in range(8)]
+    model = li.trained(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 80
+    assert li.predict([t for _, t, _ in rows], model)[0] == [n for _, _, n in rows]
