@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import bpe, exact_dedup, mixing, near_words, quality_classifier
+from changelens.llm import bpe, exact_dedup, mixing, quality_classifier, simhash
 from changelens.llm.common import documents, small_batches, written
 
 
@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word similarities of 0.8 and more: the smallest doc_id."""
-    return near_words.without_near_duplicates(docs)
+    """One document of each group linked by SimHash fingerprints (three words, three bits): the smallest doc_id."""
+    return simhash.without_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("exact dedup", exact),
-    ("near dedup", near),
+    ("SimHash near-dedup", near),
     ("mixing", mix),
     ("byte-level BPE", encode),
 ]
