@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, license_scan, mixing, quality_classifier, quality_rules, secret_scan, simhash
-from .common import documents, small_batches
+from . import bpe, exact_dedup, html_extract, language_id, license_scan, merkle, mixing, quality_classifier, quality_rules, secret_scan, simhash
+from .common import documents, fold, small_batches
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,61 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classified(docs, quality_classifier.trained(docs, labels))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return merkle.manifest(docs, tampering=(fold(docs["doc_id"]) == 0, {"text": merkle.tampered(docs["text"])}))
+
+
+#: The bytes of a decimal number through the usual table of 256 entries, which the first lines make.
+CRC_SQL = """
+crc_table AS (SELECT list(list_reduce([i::BIGINT] || list_transform(range(8), lambda x: 0::BIGINT),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crcs FROM range(256) r(i))"""
+
+
+def crc_sql(bytes_list: str) -> str:
+    """The crc32 of a list of byte values, where ``crc_table`` is joined."""
+    return f"xor(list_reduce([4294967295::BIGINT] || {bytes_list}, lambda c, b: xor(crcs[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+bytes AS (SELECT doc_id, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS b FROM (SELECT DISTINCT doc_id FROM documents)),
+crcs AS (SELECT doc_id, {crc_sql('b')} AS crc FROM bytes, crc_table),
+d AS (SELECT documents.*, crc % 5 = 0 AS hit FROM documents LEFT JOIN crcs USING (doc_id)),
+leaves AS (SELECT doc_id, source, {_leaf_sql('text')} AS leaf,
+  CASE WHEN hit THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf_sql('text')} END AS start FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+  dense_rank() OVER (ORDER BY coalesce('.' || source, '-')) - 1 AS t FROM leaves),
+lower AS (SELECT t, 0 AS level, i, n, leaf AS h FROM l
+  UNION ALL SELECT t, level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM lower WHERE n > 1 GROUP BY t, level, n, i // 16),
+subroots AS (SELECT t, level AS height, h FROM lower WHERE n = 1),
+upper AS (SELECT -1 AS t, 0 AS level, t AS i, count(*) OVER () AS n, h FROM subroots
+  UNION ALL SELECT t, level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY t, level, n, i // 16),
+root AS (SELECT h AS root FROM upper WHERE n = 1),
+steps AS (SELECT l.t AS leaf_t, l.i AS leaf_i, x.level AS step, x.i AS own, s.i, s.h
+    FROM l JOIN lower x ON x.t = l.t AND x.n > 1 AND x.i = l.i // (16::BIGINT ** x.level)::BIGINT JOIN lower s ON s.t = x.t AND s.level = x.level AND s.i // 16 = x.i // 16
+  UNION ALL SELECT l.t, l.i, 1000 + x.level, x.i, s.i, s.h
+    FROM l JOIN upper x ON x.n > 1 AND x.i = l.t // (16::BIGINT ** x.level)::BIGINT JOIN upper s ON s.level = x.level AND s.i // 16 = x.i // 16),
+runs AS (SELECT leaf_t, leaf_i, step, row_number() OVER (PARTITION BY leaf_t, leaf_i ORDER BY step) AS k,
+    coalesce(string_agg(h, '' ORDER BY i) FILTER (WHERE i < own), '') AS before, coalesce(string_agg(h, '' ORDER BY i) FILTER (WHERE i > own), '') AS after
+  FROM steps GROUP BY leaf_t, leaf_i, step),
+folds AS (SELECT t, i, 0 AS k, start AS folded FROM l
+  UNION ALL SELECT t, i, folds.k + 1, sha256(before || folded || after) FROM folds JOIN runs ON leaf_t = t AND leaf_i = i AND runs.k = folds.k + 1),
+folded AS (SELECT t, i, arg_max(folded, k) AS folded_root FROM folds GROUP BY t, i),
+proofs AS (SELECT leaf_t, leaf_i, string_agg(before || after, '' ORDER BY k) AS siblings FROM runs GROUP BY leaf_t, leaf_i)
+SELECT doc_id, leaf, subroots.h AS subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN subroots USING (t) JOIN folded ON folded.t = l.t AND folded.i = l.i LEFT JOIN proofs ON leaf_t = l.t AND leaf_i = l.i, root
+"""
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
@@ -98,5 +153,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_merkle": op11_merkle,
 }
-SQL = {"op3_quality_rules": quality_rules.SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
+SQL = {"op3_quality_rules": quality_rules.SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_merkle": OP11_SQL}
