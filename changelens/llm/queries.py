@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, license_scan, merkle, mixing, quality_classifier, quality_rules, secret_scan, simhash
+from . import bpe, exact_dedup, html_extract, language_id, license_scan, merkle, mixing, quality_classifier, quality_rules, secret_scan, simhash, vector_search
 from .common import documents, fold, small_batches
 
 
@@ -142,6 +142,21 @@ FROM l JOIN subroots USING (t) JOIN folded ON folded.t = l.t AND folded.i = l.i
 """
 
 
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.row <> c.row),
+ranks AS (SELECT *, (row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST))::INTEGER AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranks WHERE rank <= 5
+"""
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
@@ -154,5 +169,6 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_merkle": op11_merkle,
+    "op13_topk": op13_topk,
 }
-SQL = {"op3_quality_rules": quality_rules.SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_merkle": OP11_SQL}
+SQL = {"op3_quality_rules": quality_rules.SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_merkle": OP11_SQL, "op13_topk": OP13_SQL}
