@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, license_scan, merkle, mixing, quality_classifier, quality_rules, secret_scan, simhash, vector_search
+from . import bpe, exact_dedup, html_extract, language_id, license_scan, merkle, mixing, quality_classifier, quality_rules, secret_scan, simhash, spelling, vector_search
 from .common import documents, fold, small_batches
 
 
@@ -142,6 +142,33 @@ FROM l JOIN subroots USING (t) JOIN folded ON folded.t = l.t AND folded.i = l.i
 """
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+counts AS (SELECT id, w, count(*) AS times FROM runs WHERE length(w) >= 5 GROUP BY ALL),
+bytes AS (SELECT w, times, flatten(list_transform(string_split(id || ':' || w, ''), lambda x:
+  CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + unicode(x)::BIGINT // 64, 128 + unicode(x)::BIGINT % 64] END)) AS b FROM counts),
+hashes AS (SELECT w, times, {crc_sql('b')} AS h FROM bytes, crc_table),
+cut AS (SELECT times, CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INTEGER) || substr(w, (h % length(w))::INTEGER + 2) ELSE w END AS word FROM hashes),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+less AS (SELECT word, n, i, left(word, i::INTEGER) || substr(word, i::INTEGER + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k FROM near),
+forms AS (SELECT word, n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM ranked WHERE k = 1),
+ways AS (SELECT word, form AS root, 1 AS k FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT ways.word, forms.form, k + 1 FROM ways JOIN forms ON forms.word = ways.root WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, k) AS root FROM ways GROUP BY word)
+SELECT words.word, n, coalesce(n_near, 0) AS n_near, form, form_n, coalesce(root, words.word) AS root
+FROM words LEFT JOIN forms ON forms.word = words.word LEFT JOIN roots ON roots.word = words.word
+"""
+
+
 def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0)
@@ -169,6 +196,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_merkle": op11_merkle,
+    "op12_spelling": op12_spelling,
     "op13_topk": op13_topk,
 }
-SQL = {"op3_quality_rules": quality_rules.SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_merkle": OP11_SQL, "op13_topk": OP13_SQL}
+SQL = {"op3_quality_rules": quality_rules.SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_merkle": OP11_SQL, "op12_spelling": OP12_SQL, "op13_topk": OP13_SQL}
