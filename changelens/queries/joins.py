@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.paths import effective_path, file_ext, glob_any, language_of
+from ..operators.renames import similar_renames
 from ..operators.references import resolve_refs, unresolved_refs
 from ..operators.snapshots import (
     attach_versions,
@@ -58,6 +59,53 @@ def _(spark, sf):
     return _moves(spark, sf)
 
 
+# Moved documents that were also edited: a line more, and with an even id another first line.
+EDITED = V.DOCS.replace(
+    "CASE edit WHEN 3",
+    "CASE edit WHEN 2 THEN CASE WHEN doc_id % 20 = 2 THEN text ELSE regexp_replace(text, '^[^\\n]*', 'Another first line.') END "
+    "|| chr(10) || 'moved and edited' WHEN 3",
+)
+SIMILAR = """
+unpaired AS (SELECT 'old' AS side, m.old_path AS path, b.content FROM moves m JOIN base b ON b.path = m.old_path WHERE m.type = 'delete'
+  UNION ALL SELECT 'new', m.new_path, h.content FROM moves m JOIN head h ON h.path = m.new_path WHERE m.type = 'add'),
+sets AS (SELECT side, path, list_sort(list_distinct(list_filter(string_split(content, chr(10)), lambda x: x <> ''))) AS lines FROM unpaired),
+members AS (SELECT side, path, lines, min(path) OVER g AS first, count(*) OVER g AS size, row_number() OVER (PARTITION BY side, lines ORDER BY path) - 1 AS at
+  FROM sets WHERE len(lines) > 0 WINDOW g AS (PARTITION BY side, lines)),
+classes AS (SELECT DISTINCT side, lines, first, size FROM members),
+tokens AS (SELECT side, first, unnest(lines) AS line FROM classes),
+kept AS (SELECT * FROM tokens WHERE line NOT IN (SELECT line FROM tokens GROUP BY line HAVING count(*) > 1000)),
+sizes AS (SELECT side, first, count(*) AS n FROM kept GROUP BY ALL),
+shared AS (SELECT o.first AS old_first, w.first AS new_first, count(*) AS n FROM kept o JOIN kept w ON o.side = 'old' AND w.side = 'new' AND o.line = w.line GROUP BY ALL),
+scored AS (SELECT old_first, new_first, (100 * s.n // greatest(o.n, w.n))::INTEGER AS similarity FROM shared s
+    JOIN sizes o ON o.side = 'old' AND o.first = old_first JOIN sizes w ON w.side = 'new' AND w.first = new_first
+  UNION SELECT o.first, w.first, 100 FROM classes o JOIN classes w ON o.side = 'old' AND w.side = 'new' AND o.lines = w.lines),
+pairs AS (SELECT old_first, new_first, max(similarity) AS similarity FROM scored WHERE similarity >= 50 GROUP BY ALL),
+rounds AS (SELECT 1 AS round, old_first, new_first, similarity, o.size AS old_left, w.size AS new_left,
+    regexp_extract(old_first, '[^/]*$') <> regexp_extract(new_first, '[^/]*$') AS named, md5(old_first || chr(10) || new_first) AS tie FROM pairs
+    JOIN classes o ON o.side = 'old' AND o.first = old_first JOIN classes w ON w.side = 'new' AND w.first = new_first
+  UNION ALL SELECT round + 1, old_first, new_first, similarity, old_left - old_used, new_left - new_used, named, tie FROM (
+    SELECT *, max(times) OVER (PARTITION BY old_first) AS old_used, max(times) OVER (PARTITION BY new_first) AS new_used FROM (
+      SELECT *, CASE WHEN row_number() OVER (PARTITION BY old_first ORDER BY similarity DESC, named, tie) = 1
+        AND row_number() OVER (PARTITION BY new_first ORDER BY similarity DESC, named, tie) = 1 THEN least(old_left, new_left) ELSE 0 END AS times FROM rounds))
+  WHERE old_left > old_used AND new_left > new_used),
+taken AS (SELECT * FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY round, old_first ORDER BY similarity DESC, named, tie) = 1
+    AND row_number() OVER (PARTITION BY round, new_first ORDER BY similarity DESC, named, tie) = 1 THEN least(old_left, new_left) ELSE 0 END AS times FROM rounds) WHERE times > 0),
+renamed AS (SELECT o.path AS old_path, w.path AS new_path, 'rename' AS type, similarity FROM taken t
+  JOIN members o ON o.side = 'old' AND o.first = old_first AND o.at >= o.size - old_left AND o.at < o.size - old_left + times
+  JOIN members w ON w.side = 'new' AND w.first = new_first AND w.at - (w.size - new_left) = o.at - (o.size - old_left))
+SELECT * FROM renamed
+UNION ALL SELECT * FROM moves WHERE NOT (type = 'delete' AND old_path IN (SELECT old_path FROM renamed)) AND NOT (type = 'add' AND new_path IN (SELECT new_path FROM renamed))"""
+
+
+@query("j2_similar_renames", f"WITH RECURSIVE {EDITED}, {RENAMES}, {SIMILAR}")
+def _(spark, sf):
+    moved = F.regexp_extract("path", r"^moved/.*doc_(\d+)\.txt$", 1)
+    other = F.when(moved.cast("bigint") % 20 == 2, F.col("content")).otherwise(F.regexp_replace("content", r"\A[^\n]*", "Another first line."))
+    edited = F.when(moved == "", F.col("content")).otherwise(F.concat(other, F.lit("\nmoved and edited")))
+    head = V.head_snapshot(spark, sf).select("path", edited.alias("content"))
+    return similar_renames(V.base_snapshot(spark, sf), head)
+
+
 # Rules by path only: what the changed documents are matched against.
 PATH_RULES = [
     Rule("english", 0, 0, ("src*/en/**",), "regex", {"pattern": "a"}),
