@@ -117,6 +117,11 @@ def _segment(seg: str) -> str:
     return ("(?!\\.)" if seg[:1] in ("*", "?", "[") else "") + out
 
 
+def glob_variants(glob: str) -> list[str]:
+    """The globs without braces that a glob stands for; a negated one stays whole."""
+    return [glob] if glob[:1] in ("!", "#") else _braces(glob)
+
+
 def glob_regex(glob: str) -> tuple[str, bool]:
     """An anchored Java regular expression for a glob, and whether the glob is negated."""
     negated = False

@@ -22,6 +22,7 @@ from ..operators.snapshots import (
 from ..operators.spans import first_seen, match_spans, maximal_spans
 from ..operators.versions import first_open, first_with_alternatives, last_by_key, version_pairs
 from ..plans.reports import Rule, both_missing, match_rules
+from ..plans.rule_index import match_rule_index, rule_index
 from ..session import checkpoint_root
 from ..sources.rules import definition_table, rule_table, signal_table
 from ..sources.snapshots import load_snapshots
@@ -132,6 +133,30 @@ def _(spark, sf):
     return match_rules(_moves(spark, sf), PATH_RULES)
 
 
+# One rule for each source and language, and rules for all files of some kind: as many rules as there are folders.
+INDEXED = """
+folders AS (SELECT DISTINCT source, lang FROM documents),
+numbered AS (SELECT *, (row_number() OVER (ORDER BY source NULLS FIRST, lang NULLS FIRST) - 1)::INTEGER AS rule_no FROM folders),
+found AS (SELECT f.*, n.rule_no FROM files f JOIN numbered n
+    ON starts_with(file_path, n.source || '/' || n.lang || '/') OR starts_with(file_path, 'moved/' || n.source || '/' || n.lang || '/')
+  UNION ALL SELECT f.*, r.n + 1000000 FROM files f, range(10) r(n) WHERE regexp_matches(file_path, r.n || '[.]txt$')
+  UNION ALL SELECT *, 2000000 FROM files)"""
+
+
+@query(
+    "j3_rule_index",
+    f"WITH {V.DOCS}, {RENAMES}, {FILES}, {INDEXED} SELECT old_path, new_path, type, similarity, rule_no::INTEGER AS rule_no FROM found",
+)
+def _(spark, sf):
+    folder = F.concat("source", F.lit("/"), "lang", F.lit("/**"))
+    order = F.expr("CAST(row_number() OVER (ORDER BY source NULLS FIRST, lang NULLS FIRST) - 1 AS INT) AS rule_no")
+    own = table(spark, sf, "documents").select("source", "lang").distinct().select(order, F.array(folder, F.concat(F.lit("{moved,gone}/"), folder)).alias("include"))
+    own = own.where("include[0] IS NOT NULL")
+    kinds = spark.range(10).selectExpr("CAST(id + 1000000 AS INT) AS rule_no", "array(concat('**/*', id, '.txt'), concat('**/doc_*', id, '.txt')) AS include")
+    every = spark.range(1).selectExpr("2000000 AS rule_no", "array('!nothing/*', '**') AS include")
+    return match_rule_index(_moves(spark, sf), rule_index(own.unionByName(kinds).unionByName(every)))
+
+
 @query(
     "p1_glob_any",
     f"WITH {V.DOCS}, files AS (SELECT doc_id, path AS file_path FROM docs), {PATH_MATCH} "
