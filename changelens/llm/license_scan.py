@@ -42,6 +42,32 @@ NOTICES = {
     "cc by sa": "cc-by-sa",
     "cc by nd": "cc-by-nd",
     "public domain dedication": "public-domain",
+    "mit license": "mit",
+    "the mit license": "mit",
+    "apache license": "apache",
+    "apache license 2 0": "apache-2",
+    "apache license version 2 0": "apache-2",
+    "apache 2 0": "apache-2",
+    "gnu gpl": "gpl",
+    "gpl license": "gpl",
+    "gplv2": "gpl-2",
+    "gplv3": "gpl-3",
+    "gpl 2 0": "gpl-2",
+    "gpl 3 0": "gpl-3",
+    "gpl v2": "gpl-2",
+    "gpl v3": "gpl-3",
+    "lgplv2": "lgpl-2",
+    "lgplv3": "lgpl-3",
+    "lgpl 2 1": "lgpl-2.1",
+    "lgpl 3 0": "lgpl-3",
+    "agplv3": "agpl-3",
+    "agpl 3 0": "agpl-3",
+    "mpl 2 0": "mpl-2",
+    "epl 2 0": "epl-2",
+    "bsd 2 clause license": "bsd-2",
+    "bsd 3 clause license": "bsd-3",
+    "isc licensed": "isc",
+    "mit licensed": "mit",
     "all rights reserved": "all-rights-reserved",
 }
 TAGS = ("spdx license identifier",)
@@ -58,7 +84,7 @@ SURE = {"tag": 1.0, "base": 0.9, "notice": 0.7, "broken": 0.4}
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_TOKEN = re.compile(r"[()]|[^\s()]+")
+_TOKEN = re.compile(r"[(),]|[^\s(),]+")
 _STRIP = "\"'`;,.<>*/#-\t "
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -83,6 +109,8 @@ def postfix(text: str) -> list[str]:
             if not operand_next:
                 raise BrokenExpression(text)
             waiting.append(token)
+        elif token == ",":  # no part of a name, and no operator
+            raise BrokenExpression(text)
         elif token == ")" or token in _BINDS:
             if operand_next:
                 raise BrokenExpression(text)
@@ -116,14 +144,14 @@ def use_of(label: str) -> int:
 def evaluate(postfixed: list[str]) -> tuple[int, set[str]]:
     """The use an expression allows, and the licences it names.
 
-    OR leaves the choice, so the freer side counts; AND binds to both, so the stricter one; an exception (WITH)
-    frees copyleft by one step and no more.
+    OR leaves the choice, so the freer side counts; AND binds to both, so the stricter one. What an exception (WITH) allows,
+    such as linking, does not take the licence from the text itself.
     """
     stack: list[tuple[int, set[str]]] = []
     for token in postfixed:
         if token in _BINDS:
             (right, names), (left, more) = stack.pop(), stack.pop()
-            use = {"or": max(left, right), "and": min(left, right), "with": min(2, left + 1) if left else 0}[token]
+            use = {"or": max(left, right), "and": min(left, right), "with": left}[token]
             stack.append((use, more if token == "with" else more | names))
         else:
             name = token.rstrip("+").removesuffix("-only").removesuffix("-or-later").removesuffix(".0")
@@ -142,14 +170,26 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
-def _tags(text: str, words: set[int]) -> dict[int, str]:
-    """What follows each of the given words (from 0) up to the end of its line, without the ends of comments."""
-    lowered, out = text.encode().lower().decode(), {}  # ASCII only, so places stay
+def _tags(text: str, words: dict[int, int]) -> dict[int, tuple[str, int]]:
+    """What follows each tag (its last word, from 0, and its first) up to the next tag or the end of its line, without
+    the ends of comments, and its last word. Each part of a line is read once, however many tags the line has."""
+    lowered, out, firsts = text.encode().lower().decode(), {}, set(words.values())  # ASCII only, so places stay
+    last, start = None, 0
+
+    def close(end: int) -> None:
+        stop = text.find("\n", start, end)
+        line = text[start : end if stop < 0 else stop].lstrip(": \t")
+        line = line.split("*/")[0].split("-->")[0]
+        out[last] = line.strip(_STRIP), last + len(_WORD.findall(line.lower()))
+
     for at, match in enumerate(_WORD.finditer(lowered)):
+        if at in firsts and last is not None:
+            close(match.start())
+            last = None
         if at in words:
-            end = text.find("\n", match.end())
-            line = text[match.end() : len(text) if end < 0 else end].lstrip(": \t")
-            out[at] = line.split("*/")[0].split("-->")[0].strip(_STRIP)
+            last, start = at, match.end()
+    if last is not None:
+        close(len(text))
     return out
 
 
@@ -174,17 +214,22 @@ def scan(text: str | None) -> tuple:
     line = f" {words} "
     base, places, labels, sure, uses, expressions = set(), [], set(), 0.0, [], []
     found = _places(line)
-    tags = {last for _, last, kind, _ in found if kind == "tag"}
+    tags = {last: first for first, last, kind, _ in found if kind == "tag"}
     follows = _tags(text, tags) if tags else {}
+    read = -1  # the last word of the expression of a tag, whose names are no notices
     for first, last, kind, label in found:
         if kind == "tag":
+            expression, end = follows[last]
             try:
-                use, names = evaluate(postfix(follows[last]))
+                use, names = evaluate(postfix(expression))
             except BrokenExpression:
                 sure = max(sure, SURE["broken"])
                 continue
-            expressions.append(follows[last])
+            expressions.append(expression)
             labels |= names
+            read = end
+        elif kind == "notice" and first <= read:
+            continue
         else:
             use = use_of(label)
             labels.add(label)

@@ -27,9 +27,11 @@ SYMBOL = r"[#*$%&|<>{}\\]"
 # Signs that end a sentence, and what navigation and boilerplate lines say (in lower case).
 ENDS = list(".!?…。！？:;,\"”’)]")
 PHRASES = [
-    "cookie", "javascript", "privacy policy", "terms of use", "terms of service", "sign in", "sign up", "log in", "subscribe",
+    "accept cookies", "use cookies", "uses cookies", "cookie policy", "cookie settings", "enable javascript", "javascript is disabled", "privacy policy", "terms of use", "terms of service", "sign in", "sign up", "log in", "subscribe",
     "newsletter", "click here", "read more", "share this", "all rights reserved", "lorem ipsum", "skip to content", "back to top",
 ]
+#: A phrase counts where no letter or digit stands beside it.
+SAYS = rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(PHRASES)})(?:$|[^\p{{L}}\p{{N}}])"
 BLANK_SIGNS = " \t\n\x0b\x0c\r"
 
 
@@ -81,7 +83,8 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < 3, 0).otherwise(bind(cut(F.transform(words, hashed)), of))
 
 
-def _says(text: Column) -> Column:
+def _may_say(text: Column) -> Column:
+    """Whether the text has any of the phrases, be it inside of words: only then its lines are looked at."""
     return bind(F.lower(text), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in PHRASES]))
 
 
@@ -95,7 +98,7 @@ def _fails(line: Column, phrases: Column) -> Column:
         signs = F.char_length(F.array_join(words, ""))
         shouted = (n >= SHOUTED_WORDS) & (capitals * 2 > signs)
         unended = (n >= UNENDED_WORDS) & ~F.substring(line, -1, 1).isin(ENDS)
-        phrase = phrases & (n <= PHRASE_WORDS) & _says(line)
+        phrase = phrases & (n <= PHRASE_WORDS) & F.lower(line).rlike(SAYS)
         repeated = (n >= REPEATED_WORDS) & (F.size(F.array_distinct(words)) * 10 < n * DISTINCT_PER_10_WORDS)
         return symbols | unended | phrase | shouted | repeated
 
@@ -121,7 +124,7 @@ def _measures(text: Column) -> Column:
         return F.struct(
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
             F.aggregate(lines, F.lit(0), size).cast("bigint").alias("line_chars"),
-            bind(_says(text), clean).alias("clean"),
+            bind(_may_say(text), clean).alias("clean"),
         )
 
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -156,7 +159,7 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 _LINE = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
-_SAYS = " OR ".join(f"contains(lower(l), '{phrase}')" for phrase in PHRASES)
+_SAYS = f"regexp_matches(lower(l), '{SAYS}')"
 
 SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -100,3 +101,34 @@ def test_odd_rows(odd, empty):
     rows = ls.license_scan(odd).collect()
     assert sorted(r["n_words"] for r in rows) == sorted(brute(t)[0] for _, t in ODD)
     assert ls.license_scan(empty).count() == 0
+
+
+def test_tags_end_where_the_next_begins():
+    assert ls.scan("SPDX-License-Identifier: MIT SPDX-License-Identifier: (BSD OR ISC) */ code\nGPL")[5:8] == ("bsd,isc,mit", 1.0, ["MIT", "(BSD OR ISC)"])
+    broken = ls.scan("SPDX-License-Identifier: (" * 40)
+    assert broken[5:7] == ("", ls.SURE["broken"])
+
+
+def test_commas_are_no_names():
+    assert ls.scan("SPDX-License-Identifier: MIT,Apache-2.0")[5:7] == ("apache-2", ls.SURE["notice"])  # the name is a notice of its own
+    assert ls.scan("SPDX-License-Identifier: MIT,")[5:7] == ("mit", 1.0)
+
+
+@pytest.mark.parametrize("text,label", [("MIT License\n\nCopyright", "mit"), ("licensed under GPLv3", "gpl-3"), ("GPL-3.0-or-later", "gpl-3"), ("Apache License", "apache")])
+def test_common_headings(text, label):
+    assert ls.scan(text)[5] == label
+
+
+def test_an_exception_does_not_free_the_text():
+    assert ls.scan("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0")[8] == "copyleft"
+
+
+def test_a_line_of_many_tags_takes_time_in_proportion():
+    def seconds(n):
+        text = "SPDX-License-Identifier: (" * n
+        start = time.perf_counter()
+        ls.scan(text)
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    assert min(seconds(64_000) for _ in range(5)) < 2.5 * min(seconds(32_000) for _ in range(5))

@@ -60,3 +60,11 @@ def test_good_labels_are_kept(spark):
     kept = qr.quality_rules(docs).where("kept").join(docs.select("doc_id", "quality"), "doc_id").groupBy("quality").agg({"*": "count"}).collect()
     share = {r[0]: dict(kept).get(r[0], 0) / r[1] for r in rows}
     assert share[1] > 0.99 and share[0] < 0.3
+
+
+def test_phrases_are_words(make):
+    """By hand: what the SQL says could repeat a fault of the code."""
+    kept = "They design in Berlin and we catalog in print.\nA cookie with butter.\nPlease sign-in sheets.\n" * 20
+    cut = "Please sign in.\nClick here!\nWe use cookies\nread more\n" * 20
+    rows = qr.quality_rules(make([(1, kept), (2, cut)])).orderBy("doc_id").collect()
+    assert [r["lost_chars"] for r in rows] == [0, sum(map(len, cut.split("\n")))]
