@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled pages made for the fit, and passes over them.
-PAGES = 400
+PAGES = 500
+#: Share of them without any class, article or main.
+PLAIN = 0.2
 PASSES = 12
 
 _TAG = re.compile(
@@ -33,8 +35,11 @@ _TAG = re.compile(
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-# Elements whose content is no text of the page, those that never have content, and block elements.
-RAW = frozenset("script style noscript template textarea select iframe object svg math canvas title".split())
+_TAG_ONLY = re.compile(_TAG.pattern.replace(r"<!\[CDATA\[.*?\]\]>|", ""), re.DOTALL)
+# Elements whose content is no text of the page, those of them whose content goes on to the page's end if
+# they are not closed, elements that never have content, and block elements.
+RAW = frozenset("script style noscript template textarea select iframe svg canvas title".split())
+SWALLOW = frozenset("script style noscript textarea iframe title".split())
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -57,50 +62,92 @@ _END = re.compile(r"[.!?…。！？:;\"”»)]$")
 class Block:
     text: str
     linked: int  # characters inside links
-    ancestors: tuple[str, ...]  # tags from the outermost, the block's own last
-    names: frozenset[str]  # words of the classes, ids and roles of the ancestors
+    own: str  # the innermost block element
+    tags: frozenset[str]  # the block elements around it
+    depth: int  # how many there are
+    names: frozenset[str]  # words of the classes, ids and roles of all elements around it
     label: int | None = None
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order. Markup of any kind is accepted; what is not closed ends with the page."""
+@dataclass
+class _Open:
+    """An open element, with what holds inside it: sets are those of the element around it unless it adds something."""
+
+    tag: str
+    own: str
+    tags: frozenset[str]
+    depth: int
+    names: frozenset[str]
+    label: int | None
+
+
+class _Elements:
+    """The open elements, with the places of each tag, so that nothing is searched for."""
+
+    def __init__(self):
+        self.open = [_Open("", "none", frozenset(), 0, frozenset(), None)]
+        self.places: dict[str, list[int]] = {}
+
+    def add(self, tag: str, names: frozenset[str], label: int | None) -> None:
+        top = self.open[-1]
+        block = tag in BLOCK
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(_Open(
+            tag,
+            tag if block else top.own,
+            top.tags | {tag} if block and tag not in top.tags else top.tags,
+            top.depth + block,
+            top.names if names <= top.names else top.names | names,
+            top.label if label is None else label,
+        ))
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tags, bounds=frozenset()) -> None:
+        """Close the innermost open element of ``tags`` and all inside it, unless a bound is further in."""
+        at = self.last(tags)
+        if at and at > self.last(bounds):
+            for element in self.open[at:]:
+                self.places[element.tag].pop()
+            del self.open[at:]
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The blocks of a page in order. Markup of any kind is accepted; what is not closed ends with the page.
+
+    ``known`` keeps only these names. Time and memory are in proportion to the page, however deep it nests.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, frozenset[str], int | None]] = []  # open elements: tag, own names, label
+    elements = _Elements()
     parts: list[str] = []
     linked = 0
     at, size = 0, len(page)
+    # Behind these places there are no more tags, sections and end tags of a kind, so nothing looks for them again.
+    tags_end, sections_end, unclosed = page.rfind(">") + 1, page.rfind("]]>"), set()
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                label = next((x for _, _, x in reversed(stack) if x is not None), None)
-                tags = tuple(tag for tag, _, _ in stack if tag in BLOCK)
-                found.append(Block(text, linked, tags, frozenset().union(*(n for _, n, _ in stack)), label))
+                top = elements.open[-1]
+                found.append(Block(text, linked, top.own, top.tags, top.depth, top.names, top.label))
             parts.clear()
         linked = 0
 
-    def pop_to(tags, bounds=frozenset()) -> None:
-        """Close the innermost open element of ``tags`` and all inside it, unless a bound is further in."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return
-            if stack[i][0] in bounds:
-                return
-
     def text(raw: str) -> None:
         nonlocal linked
         decoded = html.unescape(raw) if "&" in raw else raw
         parts.append(decoded)
-        if any(tag == "a" for tag, _, _ in stack):
+        if elements.places.get("a"):
             linked += len(decoded.strip())
 
     while at < size:
-        match = _TAG.search(page, at)
+        match = (_TAG if at < sections_end else _TAG_ONLY).search(page, at, tags_end) if at < tags_end else None
         if match is None:
-            text(page[at:])
+            end = page.find("<!--", max(at, tags_end))  # a comment that is not closed
+            text(page[at : size if end < 0 else end])
             break
         if match.start() > at:
             text(page[at : match.start()])
@@ -108,24 +155,31 @@ def blocks(page: str) -> list[Block]:
         if match[2] is None:  # a comment or a declaration
             if match[0].startswith("<![CDATA["):
                 parts.append(match[0][9:-3])
+            elif match[0].startswith("<!--") and not match[0].endswith("-->"):
+                break
             continue
         tag = match[2].lower()
         if match[1]:
             if tag in BLOCK:
                 close()
-            pop_to({tag}, SCOPE - {tag} if tag not in SCOPE else frozenset())
+            elements.close({tag}, SCOPE - {tag} if tag not in SCOPE else frozenset())
             continue
         if tag in RAW:
-            if not match[3].endswith("/"):
-                end = re.compile(f"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else size
             parts.append(" ")
+            if not match[3].endswith("/"):
+                end = None if tag in unclosed else re.compile(f"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(page, at)
+                if end is not None:
+                    at = end.end()
+                elif tag in SWALLOW:
+                    break
+                else:
+                    unclosed.add(tag)
             continue
         if tag in BLOCK:
             close()
-            pop_to({"p"}, SCOPE)
+            elements.close({"p"}, SCOPE)
             if tag in ENDS:
-                pop_to(ENDS[tag], SCOPE - ENDS[tag])
+                elements.close(ENDS[tag], SCOPE - ENDS[tag])
         elif tag in EMPTY:
             parts.append(" ")
         if tag not in EMPTY:
@@ -133,9 +187,11 @@ def blocks(page: str) -> list[Block]:
             if match[3]:
                 said = " ".join(filter(None, (x for m in _NAMED.findall(match[3]) for x in m)))
                 names = frozenset(_WORD.findall(_CAMEL.sub(" ", said).lower()))
+                if known is not None:
+                    names &= known
                 if "data-label" in match[3]:
                     label = int('data-label="1"' in match[3])
-            stack.append((tag, names, label))
+            elements.add(tag, names, label)
     close()
     return found
 
@@ -146,19 +202,19 @@ def features(found: list[Block]) -> list[list[str]]:
     for i, block in enumerate(found):
         words = block.text.split()
         share = block.linked / max(1, len(block.text))
-        own = block.ancestors[-1] if block.ancestors else "none"
+        own = block.own
         f = [BIAS, f"own={own}", f"size={min(6, len(words).bit_length())}", f"linked={round(share * 4)}"]
-        f += [f"in={tag}" for tag in set(block.ancestors)]
+        f += [f"in={tag}" for tag in block.tags]
         f += [f"named={name}" for name in block.names]
         f.append(f"ends={bool(_END.search(block.text))}")
-        f.append(f"depth={min(8, len(block.ancestors))}")
+        f.append(f"depth={min(8, block.depth)}")
         if "©" in block.text:
             f.append("copyright")
         if i == 0 or i == len(found) - 1:
             f.append("edge")
-        if own in ("h1", "h2", "h3") and i + 1 < len(found) and found[i + 1].ancestors[-1:] == ("p",):
+        if own in ("h1", "h2", "h3") and i + 1 < len(found) and found[i + 1].own == "p":
             f.append("heads a paragraph")
-        if "article" not in block.ancestors and "main" not in block.ancestors:
+        if "article" not in block.tags and "main" not in block.tags:
             f.append("outside article and main")
         out.append(f)
     return out
@@ -171,6 +227,11 @@ class Field:
     weights: dict[str, tuple[float, float]]
     steps: tuple[tuple[float, float], tuple[float, float]]
 
+    @functools.cached_property
+    def names(self) -> frozenset[str]:
+        """The names it has weights for."""
+        return frozenset(w.removeprefix("named=") for w in self.weights if w.startswith("named="))
+
     def scores(self, observed: list[list[str]]) -> np.ndarray:
         none, get = (0.0, 0.0), self.weights.get
         return np.array([np.sum([get(name, none) for name in f], axis=0) for f in observed])
@@ -311,13 +372,35 @@ def labelled_pages(count: int = PAGES, seed: int = 7) -> list[str]:
                 parts.append(f"<p>{words(2, 6)} <a href=x>{words(1, 4)}</a> {words(3, 9, '.')}</p>")
             elif x < 0.92:
                 parts.append(f"<pre>{words(3, 12)}</pre>")
-            elif x < 0.94:
+            elif x < 0.93:
+                parts.append(f"<div>{'<br><br>'.join(sentences(1, 3) for _ in range(rng.randint(1, 4)))}</div>")
+            elif x < 0.945:
                 parts.append(f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>")
             else:
                 parts.append(pick((advert, notice, side, advert, notice, form))())
         return "".join(parts)
 
+    def plain_article() -> str:
+        """Without paragraphs: line breaks, or a div for each piece."""
+        pieces = [sentences(1, 4) for _ in range(rng.randint(1, 9))]
+        title = [f"<h1>{words(2, 9)}</h1>"] if chance() < 0.5 else []
+        return "".join(title) + pick(("<br><br>".join(pieces), "<br>".join(pieces), "".join(f"<div>{x}</div>" for x in pieces), "".join(f"<p>{x}</p>" for x in pieces)))
+
+    def plain_page() -> str:
+        """Nothing has a class, an id or a telling element: menus and ends show by their links and their size."""
+        wrap = pick(('<div data-label="1">{}</div>', '<div><div data-label="1">{}</div></div>', '<span data-label="1">{}</span>', '<td data-label="1">{}</td>'))
+        inside = wrap.format(plain_article() if chance() < 0.6 else article())
+        bar = " ".join(f"<a href=x>{words(1, 2)}</a>" for _ in range(rng.randint(2, 7)))
+        before = rest(pick(("div", "p", "td")), "", pick((links(2, 8), bar))) if chance() < 0.5 else ""
+        after = rest(pick(("div", "p", "td")), "", pick((links(2, 5), bar, f"&copy; {words(1, 4)}", f"<p>&copy; {words(1, 4)} {bar}</p>"))) if chance() < 0.5 else ""
+        if "<td" in before + inside + after:
+            before, inside, after = (re.sub(r"^<(?:div|p|span)|(?:div|p|span)>$", lambda m: m[0].replace(m[0].strip("<>"), "td"), x) for x in (before, inside, after))
+            return f"<html><body><table><tr>{before}</tr><tr>{inside}</tr><tr>{after}</tr></table></body></html>"
+        return f"<html><head><title>{words(1, 5)}</title></head><body>{before}{inside}{after}</body></html>"
+
     def page() -> str:
+        if chance() < PLAIN:
+            return plain_page()
         body = [rest("header", pick(("", "site-header", "top")), pick((f"<h2>{words(1, 3)}</h2>", f"<p>{words(2, 6)}</p>", f"<div>{words(1, 4)}</div>")))] if chance() < 0.5 else []
         top = [menu] * (chance() < 0.85) + [advert] * (chance() < 0.5) + [notice] * (chance() < 0.35) + [side] * (chance() < 0.2)
         rng.shuffle(top)
@@ -328,7 +411,7 @@ def labelled_pages(count: int = PAGES, seed: int = 7) -> list[str]:
         if chance() < 0.3:
             inside += comments()
         tag, name = pick((("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("main", "content"), ("div", "content"), ("div", "entry-content"),
-                          ("div", "article-body"), ("div", "post"), ("div", "main"), ("section", "story")))
+                          ("div", "article-body"), ("div", "post"), ("div", ""), ("div", ""), ("div", "main"), ("section", "story")))
         named = f' class="{name}"' if name else ""
         whole = f'<{tag}{named} data-label="1">{inside}</{tag}>'
         body.append(f"<main>{whole}</main>" if tag != "main" and chance() < 0.3 else whole)
@@ -353,7 +436,7 @@ def trained(count: int = PAGES, seed: int = 7) -> Field:
 
 def main_text(page: str | None, field: Field) -> str:
     """The blocks labelled as text, with an empty line between them; NULL and empty pages have none."""
-    found = blocks(page or "")
+    found = blocks(page or "", field.names)
     return "\n\n".join(block.text for block, label in zip(found, field.decode(features(found))) if label)
 
 

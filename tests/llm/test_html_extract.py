@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -50,6 +51,39 @@ def test_a_page_with_all_kinds_of_rest(field):
     assert he.main_text(page, field) == "A & B\n\nFirst text, over two lines.\n\nSecond bold text goes on <here>.\n\nThird text ends it."
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<div>One sentence is here. And another.</div><div>Two follows it at once.</div>", "One sentence is here. And another.\n\nTwo follows it at once."),
+    ("<html><body><div><div>One sentence is here. And another.</div><div>Two follows it at once.</div></div></body></html>", "One sentence is here. And another.\n\nTwo follows it at once."),
+    ("<div class=text>One.<br><br>Two.</div>", "One. Two."),
+    ("".join(f"<p>Paragraph number {i} of this text.</p>" for i in range(5)), "\n\n".join(f"Paragraph number {i} of this text." for i in range(5))),
+    ("<table><tr><td><a href=x>Start</a> <a href=y>News</a></td></tr><tr><td>The text of the page is here. It goes on.</td></tr></table>", "The text of the page is here. It goes on."),
+    ("<article><p>First text.</p><canvas><p>Second text follows.</p><object data=x><p>Third text ends.</p></article>", "First text.\n\nSecond text follows.\n\nThird text ends."),
+    ("<article><p>Where <math><mi>x</mi></math> is the value.</p><svg><text>no</text></svg><p>Second text ends.</p></article>", "Where x is the value.\n\nSecond text ends."),
+])
+def test_plain_layouts_and_open_elements(field, page, text):
+    assert he.main_text(page, field) == text
+
+
+def test_held_out_plain_layouts(field, monkeypatch):
+    monkeypatch.setattr(he, "PLAIN", 1.0)
+    right = total = 0
+    for page in he.labelled_pages(150, seed=99):
+        found = [b for b in he.blocks(page) if b.label is not None]
+        labels = field.decode(he.features(found))
+        right, total = right + sum(b.label == x for b, x in zip(found, labels)), total + len(found)
+    assert right / total > 0.97
+
+
+@pytest.mark.parametrize("piece", ["<div>x ", "<a ", "<h1>", "<b>y<p>", "<canvas>", "<![CDATA[ x>", "<div class=c>z", "<!-- "])
+def test_time_and_memory_in_proportion(field, piece):
+    def seconds(n):
+        start = time.perf_counter()
+        he.main_text(piece * n, field)
+        return time.perf_counter() - start
+
+    assert min(seconds(20_000) for _ in range(3)) < 3 * max(0.02, min(seconds(10_000) for _ in range(3)))
+
+
 def test_viterbi_finds_the_best_sequence():
     rng = np.random.default_rng(1)
     for _ in range(50):
