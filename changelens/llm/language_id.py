@@ -218,7 +218,9 @@ def trained(docs: DataFrame) -> Model:
     drawn = F.expr("lang = known_lang") & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
     known = known.select("doc_id", "lang", "text").join(F.broadcast(rates), drawn)
     texts = defaultdict(list)
-    for r in known.select("lang", F.substring("text", 1, chars).alias("text")).collect():
+    # Of rows that share an id the least text, so that an id of very many rows brings one.
+    least = known.groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, chars)).alias("text"))
+    for r in least.select("lang", "text").collect():
         texts[r["lang"]].append(r["text"])
     return fit(texts)
 

@@ -124,8 +124,8 @@ def fit(texts: list[tuple[str, int]], seed: int = 0) -> Model:
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents per class outside fold 0, chosen by a hash of their id.
 
-    A document with several labels counts by its lowest. Only labels are read whole; of the documents, the chosen
-    ones come to the driver, ``SAMPLE_BYTES`` bytes of each at most.
+    A document with several labels counts by its lowest, and of rows that share an id the least text. Only labels are read
+    whole; of the documents, one row of each chosen id comes to the driver, ``SAMPLE_BYTES`` bytes of it at most.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
@@ -133,7 +133,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = [known.where(F.col("label") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1)]
     chosen = chosen[0].union(chosen[1]).select(F.col("doc_id").alias("known_id"), "label")
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("known_id"))  # 2 * sample rows at most
-    rows = rows.select(F.substring(F.col("text"), 1, SAMPLE_BYTES).alias("text"), "label").where("text <> ''")
+    rows = rows.select("known_id", F.substring(F.col("text"), 1, SAMPLE_BYTES).alias("text"), "label").where("text <> ''")
+    rows = rows.groupBy("known_id", "label").agg(F.min("text").alias("text"))
     return fit([(r["text"], r["label"]) for r in rows.collect()])
 
 

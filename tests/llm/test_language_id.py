@@ -108,3 +108,23 @@ def test_every_language_is_learned(spark):
     model = li.trained(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert len(model.languages) == 80
     assert li.predict([t for _, t, _ in rows], model)[0] == [n for _, _, n in rows]
+
+
+def test_labels_and_scores_by_the_definition(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model, rows = li.trained(docs), {r["doc_id"]: r["text"] for r in docs.collect()}
+    few = sorted((i for i in rows if rows[i] and any(map(str.isalpha, rows[i]))), key=lambda i: (len(rows[i]), i))[:40]
+    for r in li.language_id(docs.where(docs["doc_id"].isin(few)), model).collect():
+        quotients = sorted((brute(li.prepared(rows[r["doc_id"]]), known) / own, at) for at, (_, known, own) in enumerate(model.languages))
+        assert r["lang_pred"] == model.languages[quotients[0][1]][0]
+        assert r["score"] == pytest.approx(1 - quotients[0][0] / quotients[1][0])
+
+
+def test_one_row_of_an_id_is_learned_from(spark, make, monkeypatch):
+    docs = make([(1, f"text {i:03}") for i in range(50)] + [(2, "two"), (3, "three"), (4, "four")])
+    docs = docs.drop("lang").selectExpr("*", "'en' AS lang")
+    seen = []
+    monkeypatch.setattr(li, "fit", lambda texts: seen.append(dict(texts)))
+    li.trained(docs)
+    known = {1: "text 000", 2: "two", 3: "three", 4: "four"}
+    assert sorted(seen[0]["en"]) == sorted(t for i, t in known.items() if zlib.crc32(str(i).encode()) % 5)
