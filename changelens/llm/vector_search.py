@@ -28,6 +28,8 @@ LEVELS = (1, 4, 16)
 ROWS, QUERY_ROWS, CHUNK = 4_096, 1_024, 16
 #: Candidates compared in full to have a first threshold, and pairs handled at once.
 FIRST, PAIRS = 32, 1 << 18
+#: From this share of survivors on, a level takes all pairs of two blocks at once.
+DENSE = 0.125
 #: Pairs of blocks that are handed to Python at a time.
 BATCH = 8
 #: Beyond this, products of doubles are not exact and whole numbers are used.
@@ -117,14 +119,16 @@ class Best:
         least[full] = self.score[ends[full] - 1]
         return least
 
-    def compared(self, candidates: Block, query: np.ndarray, candidate: np.ndarray) -> None:
-        """Compare these pairs in full."""
+    def compared(self, candidates: Block, query: np.ndarray, candidate: np.ndarray, known: np.ndarray | None = None) -> None:
+        """Compare these pairs in full; ``known``: their products, if all pairs of the blocks were multiplied at once."""
         other = self.queries.rows[query] != candidates.rows[candidate]
-        query, candidate = query[other], candidate[other]
+        query, candidate, known = query[other], candidate[other], None if known is None else known[other]
         for at in range(0, len(query), PAIRS):
             q, c = query[at : at + PAIRS], candidate[at : at + PAIRS]
-            score = products(self.queries.vectors[q], candidates.vectors[c])
-            self.add(q, score, candidates.ids[c], candidates.known[c])
+            score = products(self.queries.vectors[q], candidates.vectors[c]) if known is None else known[at : at + PAIRS].astype(np.int64)
+            counts = score >= self.thresholds()[q]
+            q, c = q[counts], c[counts]
+            self.add(q, score[counts], candidates.ids[c], candidates.known[c])
 
     def search(self, candidates: Block) -> int:
         """Add what a block of candidates has to give; the number of pairs that were compared in full."""
@@ -157,6 +161,10 @@ class Best:
                 left &= ~seen
             query, candidate = np.nonzero(left)
             for segments in LEVELS[1:]:
+                if len(query) > DENSE * left.size:  # most are left: all at once is cheaper than one by one
+                    left &= ~(lower_distances(q.level(segments)[mine], c.level(segments), squares) - slack > wanted)
+                    query, candidate = np.nonzero(left)
+                    continue
                 keep = []
                 for a in range(0, len(query), PAIRS):
                     i, j = query[a : a + PAIRS], candidate[a : a + PAIRS]
@@ -165,7 +173,9 @@ class Best:
                 keep = np.concatenate(keep) if keep else np.zeros(0, bool)
                 query, candidate = query[keep], candidate[keep]
             total += len(query)
-            self.compared(c, mine[query], candidate)
+            exact = np.sqrt(q.squares[mine].max() * c.squares.max()) < EXACT
+            known = (q.vectors[mine] @ c.vectors.T)[query, candidate] if exact and len(query) > DENSE * left.size else None
+            self.compared(c, mine[query], candidate, known)
         return total
 
     def found(self) -> pd.DataFrame:
@@ -232,14 +242,20 @@ def top_k(
         yield from _blocks(batches, scale)
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, best = None, None
+        number, best, kept = None, None, {}
         for batch in batches:
-            for query_block, queries, candidates in zip(batch["query_block"], batch["queries"], batch["candidates"]):
+            columns = (batch[c] for c in ("query_block", "queries", "candidate_block", "candidates"))
+            for query_block, queries, candidate_block, candidates in zip(*columns):
                 if query_block != number:
                     if best is not None:
                         yield best.found()
                     number, best = query_block, Best(Block.of(queries), k)
-                best.search(Block.of(candidates))
+                # The blocks of a chunk come again for each block of queries; their statistics are made once.
+                if candidate_block not in kept:
+                    if len(kept) >= 2 * CHUNK:
+                        kept.pop(next(iter(kept)))
+                    kept[candidate_block] = Block.of(candidates)
+                best.search(kept[candidate_block])
         if best is not None:
             yield best.found()
 
@@ -248,13 +264,15 @@ def top_k(
     count = candidates.count()
     # Chunks of some blocks, but as many as can be worked on at a time.
     chunks = max(-(-count // CHUNK), min(count, 2 * spark.sparkContext.defaultParallelism), 1)
-    candidates = candidates.select(F.expr(f"(task + number) % {chunks}").alias("chunk"), F.col("data").alias("candidates"))
+    name = F.struct("task", "number").cast("string")
+    candidates = candidates.select(F.expr(f"CAST((task + number) % {chunks} AS INT)").alias("chunk"), name.alias("candidate_block"), F.col("data").alias("candidates"))
     queries = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
-        F.struct("task", "number").cast("string").alias("query_block"),
+        name.alias("query_block"),
         F.col("data").alias("queries"),
     )
-    met = queries.join(candidates, "chunk").select("query_block", "queries", "candidates")
+    # As many tasks as chunks, however few bytes these are.
+    met = queries.repartition(chunks, "chunk").join(candidates.repartition(chunks, "chunk"), "chunk").select("query_block", "queries", "candidate_block", "candidates")
     with batches_of(spark, BATCH):
         best = written(met.mapInPandas(searched, "query_row bigint, query_id bigint, vec_id bigint, score bigint"), "search-best")
     rank = F.expr("row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id ASC NULLS LAST)")
