@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import json_object
+from ..functions.jsonx import json_object, last_values
 from ..session import checkpointed
 from .rows import one_row_each
 
@@ -19,8 +19,8 @@ def json_entry_diff(df: DataFrame, keys: list[str], old: str, new: str) -> DataF
     """
     empty = F.create_map().cast("map<string,string>")
     pairs = F.map_zip_with(
-        F.coalesce(json_object(F.col(old)), empty),
-        F.coalesce(json_object(F.col(new)), empty),
+        F.coalesce(json_object(last_values(F.col(old))), empty),
+        F.coalesce(json_object(last_values(F.col(new))), empty),
         lambda _, a, b: F.struct(a.alias("old_value"), b.alias("new_value")),
     )
     changed = F.map_filter(pairs, lambda _, v: ~v["old_value"].eqNullSafe(v["new_value"]))
@@ -65,7 +65,7 @@ def json_nodes(df: DataFrame, keys: list[str], content: str, levels: int = LEVEL
         grown = F.when(n["open"], F.concat(itself, F.coalesce(fields, items, nothing))).otherwise(itself)
         return one_row_each(rows, keys, grown, "n")
 
-    root = F.parse_json(F.col(content))
+    root = F.parse_json(last_values(F.col(content)))
     rows, done = df.select(*keys, make(F.lit("$"), root, is_open(root)).alias("n")), []
     while True:
         for _ in range(levels):

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 
 from ..functions.code import code_extract, template_extract
-from ..functions.jsonx import json_extract
+from ..functions.jsonx import json_extract, last_values
 from ..functions.regex import regex_extract
 from ..functions.xmlx import well_formed, xml_extract
 
@@ -34,8 +34,8 @@ def _xpath(content: Column, path: Column, params: dict[str, str], parsed: Column
     return xml_extract(content, params["expression"], namespaces, parsed)
 
 
-def _json(content: Column, path: Column, params: dict[str, str]) -> Column:
-    return json_extract(content, **params)
+def _json(content: Column, path: Column, params: dict[str, str], parsed: Column | None = None) -> Column:
+    return json_extract(content, parsed=parsed, **params)
 
 
 def _regex(content: Column, path: Column, params: dict[str, str]) -> Column:
@@ -57,7 +57,7 @@ EXTRACTORS: dict[str, Extractor] = {
 }
 
 # What all rules of a type read of a content, computed once per side and handed to the extractor as ``parsed``.
-PARSERS: dict[str, Callable[[Column], Column]] = {"xpath": well_formed}
+PARSERS: dict[str, Callable[[Column], Column]] = {"xpath": well_formed, "jq": last_values}
 
 # JSON differences carry no line range: their lines are not lines of the file.
 WITHOUT_LINE_RANGE = {"jq"}

@@ -112,7 +112,7 @@ def apply_watches(versions: DataFrame, rules: list[Rule], keep: list[str]) -> Da
     for kind, parse in PARSERS.items():
         globs = [glob for r in rules if r.watch_type == kind for glob in r.include]
         if globs:
-            sides = [F.when(glob_any(path, globs), parse(F.col(f"{s}_content"))).alias(f"__{kind}_{s}") for s in ("old", "new")]
+            sides = [parse(F.when(glob_any(path, globs), F.col(f"{s}_content"))).alias(f"__{kind}_{s}") for s in ("old", "new")]
             versions = versions.select("*", *sides)
 
     def side(rule: Rule, name: str) -> Column:

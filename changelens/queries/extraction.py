@@ -152,6 +152,25 @@ def _(spark, sf):
     )
 
 
+@query(
+    "k1_repeated_keys",
+    """SELECT p_partkey, p_size::VARCHAR AS k, '[' || p_size || ',1.5]' AS x, '["k","n","o"]' AS keys,
+    '{"k":' || p_size || ',"o":{"x":[' || p_size || ',1.5]}}' AS rest, '[' || chr(10) || '  "x"' || chr(10) || ']' || chr(10) AS inner_keys FROM part""",
+)
+def _(spark, sf):
+    """Every document repeats keys, in itself and further in; the last value of each counts."""
+    parts = [F.lit('{"k":1,"n":"'), F.col("p_name"), F.lit('","k":'), F.col("p_size"), F.lit(',"o":{"x":"'), F.col("p_brand"), F.lit('","x":['), F.col("p_size"), F.lit(",1.5]}}")]
+    doc = F.col("doc")
+    return table(spark, sf, "part").select("p_partkey", F.concat(*parts).alias("doc")).select(
+        "p_partkey",
+        json_path(doc, "$.k").alias("k"),
+        json_path(doc, "$.o.x").alias("x"),
+        F.to_json(json_keys(doc)).alias("keys"),
+        json_compact(json_del(doc, "$", "n")).alias("rest"),
+        json_extract(doc, ".o | keys")["text"].alias("inner_keys"),
+    )
+
+
 @query("k1_json_props", """SELECT event_id, regexp_extract(props, '"k": ([0-9]+)', 1) AS k, 'null' || chr(10) AS missing FROM events""")
 def _(spark, sf):
     props = F.col("props")
