@@ -59,21 +59,16 @@ def _kept_last(texts: pd.Series) -> pd.Series:
 def last_values(content: Column) -> Column:
     """Documents that repeat a key in one object keep its last value; all others stay as they are.
 
-    Variants refuse a repeated key, so only what they refuse is handed to Python.
+    Variants refuse a repeated key, so a table that may hold such documents goes through this first, in a ``select`` of its
+    own. Only what variants refuse is handed to Python.
     """
     refused = content.isNotNull() & content.rlike(r"\S") & F.try_parse_json(content).isNull()
     return F.coalesce(_kept_last(F.when(refused, content)), content)
 
 
 def json_path(content: Column, path: str, strict: bool = True) -> Column:
-    """The value at a path as JSON text; ``null`` when missing. Invalid JSON raises, or is NULL when not strict.
+    """The value at a path as JSON text; ``null`` when missing. Invalid JSON raises, or is NULL when not strict."""
 
-    Of a repeated key the last value counts, here as in the functions below.
-    """
-    return bind(last_values(content), lambda c: _path_value(c, path, strict))
-
-
-def _path_value(content: Column, path: str, strict: bool) -> Column:
     def value(doc: Column) -> Column:
         node = F.try_variant_get(doc, path, "variant")
         text = F.when(F.schema_of_variant(node) == "STRING", F.to_json(node)).otherwise(
@@ -103,28 +98,16 @@ def _at(content: Column, path: str) -> Column:
 
 def json_keys(content: Column, path: str = "$") -> Column:
     """Sorted keys of the object at a path."""
-    return bind(last_values(content), lambda c: _keys(c, path))
-
-
-def _keys(content: Column, path: str = "$") -> Column:
     return F.sort_array(F.array_distinct(F.json_object_keys(_at(content, path))))
 
 
 def json_del(content: Column, path: str, *keys: str) -> Column:
     """The object at a path without the given keys, as an entry map."""
-    return bind(last_values(content), lambda c: _del(c, path, *keys))
-
-
-def _del(content: Column, path: str, *keys: str) -> Column:
     return F.map_filter(json_object(_at(content, path)), lambda k, _: ~k.isin(*keys))
 
 
 def json_entries(content: Column, path: str, prefix: str = "") -> Column:
     """Entries of the object at a path whose key starts with a prefix, as an entry map."""
-    return bind(last_values(content), lambda c: _entries(c, path, prefix))
-
-
-def _entries(content: Column, path: str, prefix: str = "") -> Column:
     return F.map_filter(json_object(_at(content, path)), lambda k, _: F.startswith(k, F.lit(prefix)))
 
 
@@ -189,17 +172,17 @@ def _names(arg: str) -> list[str]:
     return [quoted or plain for quoted, plain in re.findall(r'"([^"]+)"|([\w$-]+)', arg)]
 
 
-def json_extract(content: Column, query: str | None = None, strict: bool = True, parsed: Column | None = None, **params: str) -> Column:
+def json_extract(
+    content: Column, query: str | None = None, strict: bool = True, repeated_keys: str = "refuse", **params: str
+) -> Column:
     """The artifact of a JSON rule: a value, sorted keys, an object without a key, or entries by key prefix.
 
-    ``parsed``: what ``last_values`` gave.
+    ``repeated_keys`` is ``refuse`` (such a document is an error) or ``last`` (the last value counts).
     """
-    if parsed is not None:
-        return _extract(parsed, query, strict, **params)
-    return bind(last_values(content), lambda c: _extract(c, query, strict, **params))
-
-
-def _extract(content: Column, query: str | None, strict: bool, **params: str) -> Column:
+    if repeated_keys not in ("refuse", "last"):
+        raise ValueError(f"repeated_keys is refuse or last, not {repeated_keys!r}")
+    if repeated_keys == "last":
+        return bind(last_values(content), lambda c: json_extract(c, query, strict, **params))
     shape = query_shape(query) if query is not None else {"op": "value", "path": "$", "arg": "", **params}
     path, arg, op = shape["path"], shape["arg"], shape["op"]
 
@@ -217,11 +200,11 @@ def _extract(content: Column, query: str | None, strict: bool, **params: str) ->
 
     else:
         if op == "keys":
-            text = _pretty_list(F.transform(_keys(content, path), lambda k: F.concat(F.lit("  "), json_quote(k))))
+            text = _pretty_list(F.transform(json_keys(content, path), lambda k: F.concat(F.lit("  "), json_quote(k))))
         elif op == "del":
-            text = json_pretty(_del(content, path, *_names(arg)))
+            text = json_pretty(json_del(content, path, *_names(arg)))
         elif op == "entries":
-            text = _pretty_list(F.transform(F.map_entries(_entries(content, path, arg)), pair))
+            text = _pretty_list(F.transform(F.map_entries(json_entries(content, path, arg)), pair))
         else:
             raise ValueError(f"Unknown JSON operation: {op}")
 
@@ -229,6 +212,6 @@ def _extract(content: Column, query: str | None, strict: bool, **params: str) ->
             # The path may hold no object.
             return F.when(value.isNotNull(), F.coalesce(text, F.lit("null\n")))
 
-    text_or_null = bind(_path_value(content, path, strict), body)
+    text_or_null = bind(json_path(content, path, strict), body)
     has_text = content.rlike(r"\S")
     return or_empty(artifact(F.when(has_text, F.coalesce(text_or_null, F.lit(""))).otherwise(F.lit(""))), content)

@@ -19,6 +19,7 @@ from ..functions.jsonx import (
     json_path,
     json_pretty,
     json_strings,
+    last_values,
 )
 from ..functions.refs import parse_pr_url, parse_remote, parse_tracking
 from ..functions.regex import regex_extract
@@ -161,7 +162,7 @@ def _(spark, sf):
     """Every document repeats keys, in itself and further in; the last value of each counts."""
     parts = [F.lit('{"k":1,"n":"'), F.col("p_name"), F.lit('","k":'), F.col("p_size"), F.lit(',"o":{"x":"'), F.col("p_brand"), F.lit('","x":['), F.col("p_size"), F.lit(",1.5]}}")]
     doc = F.col("doc")
-    return table(spark, sf, "part").select("p_partkey", F.concat(*parts).alias("doc")).select(
+    return table(spark, sf, "part").select("p_partkey", last_values(F.concat(*parts)).alias("doc")).select(
         "p_partkey",
         json_path(doc, "$.k").alias("k"),
         json_path(doc, "$.o.x").alias("x"),

@@ -182,6 +182,9 @@ def plan(df):
 
 def test_only_multi_hunk_diffs_and_code_rules_use_python(spark):
     for name, build in catalog.QUERIES.items():
+        # Documents that repeat a JSON key are the one other use; no other JSON query may have it.
+        if name == "k1_repeated_keys":
+            continue
         # The last ones sort what they have written down, so their plan shows nothing of it.
         if name.startswith(("l5_", "r5_anchored", "c1_", "c2_", "c3_", "p8_", "r5_all", "o1_", "s8_")):
             continue
