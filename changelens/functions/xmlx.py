@@ -9,6 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .artifacts import artifact, bind, or_empty
+from .pairing import outermost, pairs
 
 _PROLOG = r"^\s*(?:<\?xml[^>]*\?>)?(?:\s++|<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<!DOCTYPE[^>\[]*(?:\[[^\]]*\]\s*)?>)*+"
 
@@ -86,12 +87,36 @@ def xpath_nodes(
     return F.coalesce(F.array_join(F.xpath(well_formed(content) if sound is None else sound, F.lit(inside)), "\n"), F.lit(""))
 
 
+def _markup_pieces(name: str) -> str:
+    """The text cut into comments, marked sections, opening and closing tags of one name, and what lies between."""
+    attributes = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+    other = rf"(?:[^<]++|<(?!/?+{name}[\s/>]|!--|!\[CDATA\[))++"
+    return rf"(?s)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)|<{name}(?=[\s/>]){attributes}>|</{name}\s*+>|{other}|<"
+
+
 def element_markup(content: Column, tag: str) -> Column:
-    """Elements with their tags, in order; works on HTML as well. Elements must not nest in themselves."""
+    """Elements with their tags, in order; works on HTML as well.
+
+    An element that holds others of its name comes once and whole. Tags in comments and marked sections do not count,
+    nor do those that are never closed or never opened; NULL stays NULL.
+    """
     name = re.escape(tag)
-    return F.regexp_extract_all(
-        content, F.lit(rf"(?s)<{name}(?:\s[^>]*)?(?:/>|(?<!/)>.*?</{name}\s*>)"), F.lit(0)
-    )
+
+    def elements(pieces: Column) -> Column:
+        opens, empty = F.lit(rf"^<{name}[\s/>]"), F.lit("/>")
+        kinds = F.transform(
+            pieces,
+            lambda p: F.when(p.rlike(rf"^</{name}\s*+>"), -1).when(F.regexp_like(p, opens) & ~F.endswith(p, empty), 1).otherwise(0),
+        )
+        single = F.transform(
+            pieces, lambda p, i: F.when(F.regexp_like(p, opens) & F.endswith(p, empty), F.struct(i.alias("first"), i.alias("last")))
+        )
+        found = F.array_sort(F.concat(pairs(kinds), F.filter(single, lambda e: e.isNotNull())))
+        return F.transform(
+            outermost(found), lambda p: F.array_join(F.slice(pieces, p["first"] + 1, p["last"] - p["first"] + 1), "")
+        )
+
+    return bind(F.regexp_extract_all(content, F.lit(_markup_pieces(name)), F.lit(0)), elements)
 
 
 def xpath_kind(expression: str, namespaces: dict[str, str] | None = None) -> str | None:

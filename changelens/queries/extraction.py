@@ -395,6 +395,25 @@ def _(spark, sf):
     )
 
 
+_NESTED = """'<div class="k>' || k || '">' || repeat('<div>', d) || k || repeat('</div >', d) || '</div>'"""
+
+
+@query(
+    "x5_nested_markup",
+    f"""SELECT p_partkey, {_NESTED} || chr(10) || '<div/>' || chr(10) || '<div><divider>' || p_brand || '</div>' AS divs,
+    '<b><i>' || p_name || '</b>' AS bold FROM (SELECT *, CAST(p_partkey AS VARCHAR(20)) AS k, CAST(1 + p_size % 12 AS INT) AS d FROM part)""",
+)
+def _(spark, sf):
+    parts = table(spark, sf, "part").selectExpr("*", "CAST(p_partkey AS VARCHAR(20)) AS k", "CAST(1 + p_size % 12 AS INT) AS d")
+    doc = f"""'</div></b><div>' || {_NESTED} || '<!-- <div> --><div/><b><i>' || p_name || '</b><![CDATA[</div>]]><div><divider>' || p_brand || '</div>'"""
+    doc = F.expr(doc)
+    return parts.select(
+        "p_partkey",
+        F.array_join(element_markup(doc, "div"), "\n").alias("divs"),
+        F.array_join(element_markup(doc, "b"), "\n").alias("bold"),
+    )
+
+
 # --- code -----------------------------------------------------------------------------------------------
 
 FUNCTIONS = V.PART_CODE + """,
