@@ -242,13 +242,59 @@ def code_extract(
     return or_empty(bind(declarations(path, content, kind, language), shown), content)
 
 
-# The parts of an expression; brackets and quotes nest to any depth.
-_PARTS = r"""(?(DEFINE)
-(?<quoted>"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\[\s\S]|[^`\\])*+`)
-(?<bracketed>\((?&inside)\)|\[(?&inside)\]|\{(?&inside)\})
-(?<inside>(?:[^()\[\]{}"'`]++|(?&quoted)|(?&bracketed)|["'`])*+)
-(?<primary>(?:[-+!~*&]|(?:await|new|typeof|mut|dyn|keyof|readonly)\s)*+(?:[@\#]?[\p{L}_$][\w$]*+|\d[\w.]*+|(?&quoted)|(?&bracketed)))
-(?<postfix>\s*+(?:\?\.|\.|::|->)\s*+[\p{L}_$\d][\w$]*+!?|(?&bracketed)|<[^<>;(){}\n]*+(?:<[^<>;(){}\n]*+>[^<>;(){}\n]*+)*+>)
+_TEXTS = r"""\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'|`(?:\\[\s\S]|[^`\\])*+`"""
+# Signs of a shadow: angle brackets around type arguments, and openings that are never closed. Such characters in a
+# text itself become a fourth one.
+_OPEN_TYPES, _CLOSE_TYPES, _UNCLOSED, _FOREIGN = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+_NO_SIGNS = str.maketrans(dict.fromkeys(_OPEN_TYPES + _CLOSE_TYPES + _UNCLOSED, _FOREIGN))
+_SIGNS = re.compile(rf"{_TEXTS}|[()\[\]{{}}<>;]|&&|\|\||(?<![^\S\n])[^\S\n]*+\n\s*+")
+
+
+def shadow(content: str) -> str:
+    """The content with its pairs made visible; every character keeps its place.
+
+    Angle brackets around type arguments become signs of their own: the opening follows a name at once, the closing is
+    no arrow, and between them brackets are balanced, no statement ends, and lines break only beside ``<>,|&``.
+    Opening brackets that are never closed become blanks, as nothing can match from them.
+    """
+    shown, waiting = list(content.translate(_NO_SIGNS)), []
+
+    def leave_types() -> None:
+        while waiting and content[waiting[-1]] == "<":
+            waiting.pop()
+
+    for match in _SIGNS.finditer(content):
+        sign, at = match[0], match.start()
+        if sign in "([{":
+            waiting.append(at)
+        elif sign in _PAIRS:
+            leave_types()
+            if waiting and content[waiting[-1]] == _PAIRS[sign]:
+                waiting.pop()
+        elif sign == "<":
+            if re.match(r"[\w$]", content[at - 1 : at]) and content[at + 1 : at + 2] not in ("", " ", "\t", "=", "<"):
+                waiting.append(at)
+        elif sign == ">":
+            if waiting and content[waiting[-1]] == "<" and content[at - 1] not in "=-":
+                shown[waiting.pop()], shown[at] = _OPEN_TYPES, _CLOSE_TYPES
+        elif sign[0] not in "\"'`":
+            carried_on = "\n" in sign and (content[at - 1 : at] in tuple("<,|&") or content[match.end() : match.end() + 1] in tuple(">,|&"))
+            if not carried_on:
+                leave_types()
+    for at in waiting:
+        if content[at] != "<":
+            shown[at] = _UNCLOSED
+    return "".join(shown)
+
+
+# The parts of an expression in a shadow; brackets and quotes nest to any depth.
+_PARTS = rf"""(?(DEFINE)
+(?<quoted>{_TEXTS})
+(?<bracketed>\((?&inside)\)|\[(?&inside)\]|\{{(?&inside)\}})
+(?<types>{_OPEN_TYPES}(?&inside){_CLOSE_TYPES})
+(?<inside>(?:[^()\[\]{{}}"'`{_OPEN_TYPES}{_CLOSE_TYPES}]++|(?&quoted)|(?&bracketed)|(?&types)|["'`])*+)
+(?<primary>(?:[-+!~*&]|(?:await|new|typeof|mut|dyn|keyof|readonly)\s)*+(?:[@\#]?[\p{{L}}_$][\w$]*+|\d[\w.]*+|(?&quoted)|(?&bracketed)))
+(?<postfix>\s*+(?:\?\.|\.|::|->)\s*+[\p{{L}}_$\d][\w$]*+!?|(?&bracketed)|(?&types))
 (?<operator>\s*+(?:\|\||&&|\?\?|[=!]==?|<=|>=|<<|>>|\*\*|[-+*/%|&^<>])\s*+)
 )""".replace("\n(?<", "(?<").replace("\n)", ")")
 _EXPRESSION = {
@@ -258,17 +304,42 @@ _EXPRESSION = {
 _IDENTIFIER = r"[\p{L}_$][\w$]*+"
 #: Words after which a hole is a name.
 NAMING = frozenset("class interface enum struct trait function func fn def type union namespace module".split())
-_CLOSING = {")": "(", "]": "[", "}": "{"}
 
 
-def _run(closer: str) -> str:
-    """Any run of text up to the next template token: balanced before a closing bracket, else within a line."""
-    if not closer:
+def _run(after: str, enclosed: bool) -> str:
+    """Any run of text up to the next template token.
+
+    Within brackets of the template it is balanced and may go over lines; outside them, and up to a quote, it ends
+    with the line.
+    """
+    if after in _PAIRS:
+        o, c = re.escape(_PAIRS[after]), re.escape(after)
+        return rf"(?:[^{o}{c}\"'`]++|(?&quoted)|{o}(?&inside){c}|[\"'`])*+"
+    if not after:
         return r"[^\n]*"
-    if closer not in _CLOSING:
+    if not enclosed or after in "\"'`":
         return r"[^\n]*?"
-    o, c = re.escape(_CLOSING[closer]), re.escape(closer)
-    return rf"(?:[^{o}{c}\"'`]++|(?&quoted)|{o}(?&inside){c}|[\"'`])*+"
+    return rf"(?:[^()\[\]{{}}\"'`{_OPEN_TYPES}{_CLOSE_TYPES}]|(?&quoted)|(?&bracketed)|(?&types)|[\"'`])*?"
+
+
+def _enclosed(tokens: list[str]) -> list[bool]:
+    """For each template token, whether brackets of the template are around it."""
+    depth, found = 0, []
+    for token in tokens:
+        depth -= token in _PAIRS
+        found.append(depth > 0)
+        depth += token in _PAIRS.values()
+    return found
+
+
+def _closed(tokens: list[str], at: int) -> bool:
+    """Whether an opening bracket of a template has its closing one outside quotes."""
+    depth = 0
+    for token in tokens[at:]:
+        depth += (token == tokens[at]) - (_PAIRS.get(token) == tokens[at])
+        if not depth:
+            return True
+    return False
 
 
 def template_regex(template: str) -> tuple[str, dict[str, int]]:
@@ -279,7 +350,7 @@ def template_regex(template: str) -> tuple[str, dict[str, int]]:
     """
     tokens = re.findall(r"\$\$\$[A-Z_][A-Z0-9_]*|\$\$\$|\$[A-Z_][A-Z0-9_]*|[^\W\d]\w*|\d+|\s+|[^\w\s]", template.strip())
     names: dict[str, int] = {}
-    rx = ""
+    rx, enclosed = "", _enclosed(tokens)
     for i, token in enumerate(tokens):
         before, after = (tokens[i - 1] if i else ""), next((t for t in tokens[i + 1 :] if t.strip()), "")
         if token.isspace():
@@ -292,7 +363,7 @@ def template_regex(template: str) -> tuple[str, dict[str, int]]:
             name = token.lstrip("$")
             word = next((t for t in reversed(tokens[:i]) if t.strip()), "")
             if token.startswith("$$$"):
-                body = _run(after)
+                body = _run(after, enclosed[i])
             else:
                 body = _IDENTIFIER if word in NAMING else _EXPRESSION[not after]
             if name in names:
@@ -302,6 +373,10 @@ def template_regex(template: str) -> tuple[str, dict[str, int]]:
                 rx += f"(?P<h{names[name]}>{body})"
             else:
                 rx += f"(?:{body})"
+        elif token in ("<", ">"):
+            rx += f"[{token}{_OPEN_TYPES if token == '<' else _CLOSE_TYPES}]"
+        elif token in _PAIRS.values() and not _closed(tokens, i):
+            rx += f"[{re.escape(token)}{_UNCLOSED}]"
         else:
             rx += re.escape(token)
     if re.match(r"[\w$]", tokens[0]) and not tokens[0].startswith("$$$"):
@@ -317,9 +392,13 @@ def _compiled(rx: str) -> regex.Pattern:
 
 
 def find_templates(content: str, rx: str, names: dict[str, int], selector: str | None) -> dict[str, list]:
-    matches = list(_compiled(rx).finditer(content))
-    shown = [m[f"h{names[selector]}"] if selector else m[0] for m in matches]
-    return {"shown": shown, "holes": [{n: m[f"h{k}"] or "" for n, k in names.items()} for m in matches if names]}
+    matches = list(_compiled(rx).finditer(shadow(content)))
+
+    def piece(m: regex.Match, group: str | int) -> str:
+        return content[slice(*m.span(group))]
+
+    shown = [piece(m, f"h{names[selector]}" if selector else 0) for m in matches]
+    return {"shown": shown, "holes": [{n: piece(m, f"h{k}") for n, k in names.items()} for m in matches if names]}
 
 
 def template_extract(content: Column, template: str, selector: str | None = None) -> Column:

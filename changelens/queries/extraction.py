@@ -526,25 +526,32 @@ def _(spark, sf):
 _DEEP_PARTS = "(SELECT p_partkey, CAST(p_partkey AS VARCHAR(20)) AS k, CAST(1 + p_size % 12 AS INT) AS d FROM part)"
 _DEEP_CALL = """'f(' || repeat('g(', d) || '")"' || repeat(')', d) || ', ' || k || ')'"""
 _DEEP_VALUE = "'b.c(' || k || ') + ' || repeat('(', d) || 'x' || repeat(')', d)"
+_DEEP_GENERIC = "'Map<string, ' || repeat('Map<k' || k || ', ', d) || '(a: number) => Set<number>' || repeat('>', d) || '>'"
+_DEEP_FIRST, _DEEP_LAST = "'h(a, ' || k || '),' || chr(10) || '  [' || k || ', 2]'", "repeat('{', d) || repeat('}', d)"
 _DEEP_TYPE = """'type T' || k || ' = "a" | { b: ' || repeat('[', d) || repeat(']', d) || ' }'"""
 
 
 @query(
     "c2_deep_brackets",
     f"""SELECT p_partkey, {_DEEP_CALL} || chr(10) || chr(10) || 'f([' || k || '])' AS calls, 'const a = ' || {_DEEP_VALUE} || ';' AS assigned,
-    '[{{"NAME":"a","VALUE":"' || {_DEEP_VALUE} || '"}}]' AS context, {_DEEP_TYPE} AS types FROM {_DEEP_PARTS}""",
+    '[{{"NAME":"a","VALUE":"' || {_DEEP_VALUE} || '"}}]' AS context, {_DEEP_TYPE} AS types,
+    {_DEEP_GENERIC} AS generic, {_DEEP_FIRST} AS first_arguments, {_DEEP_LAST} AS last_argument FROM {_DEEP_PARTS}""",
 )
 def _(spark, sf):
     code = f"{_DEEP_CALL} || ' + h(f([' || k || ']));' || chr(10) || 'const a = ' || {_DEEP_VALUE} || ';' || chr(10) || {_DEEP_TYPE} || chr(10) || 'z = 1'"
+    more = f"'let m: ' || {_DEEP_GENERIC} || ';' || chr(10) || 'g((' || chr(10) || 'last(' || chr(10) || '  ' || {_DEEP_FIRST} || ', ' || {_DEEP_LAST} || ')'"
     parts = table(spark, sf, "part").selectExpr("p_partkey", "CAST(p_partkey AS VARCHAR(20)) AS k", "CAST(1 + p_size % 12 AS INT) AS d")
-    text = F.col("code")
+    text, more_text = F.col("code"), F.col("more")
     assigned = template_extract(text, "const $NAME = $VALUE;")
-    return parts.selectExpr("p_partkey", f"{code} AS code").select(
+    return parts.selectExpr("p_partkey", f"{code} AS code", f"{more} AS more").select(
         "p_partkey",
         template_extract(text, "f($$$ARGS)")["text"].alias("calls"),
         assigned["text"].alias("assigned"),
         assigned["context"][0].alias("context"),
         template_extract(text, "type $NAME = $TYPE")["text"].alias("types"),
+        template_extract(more_text, "let $NAME: $TYPE;", "TYPE")["text"].alias("generic"),
+        template_extract(more_text, "last($$$FIRST, $LAST)", "FIRST")["text"].alias("first_arguments"),
+        template_extract(more_text, "last($$$FIRST, $LAST)", "LAST")["text"].alias("last_argument"),
     )
 
 

@@ -1,8 +1,10 @@
 """Code declarations and templates on plain texts."""
 
+import time
+
 import pytest
 
-from changelens.functions.code import find_declarations, find_templates, template_regex
+from changelens.functions.code import find_declarations, find_templates, shadow, template_regex
 
 RUST = """
 pub struct Pair(u8, u8);
@@ -92,13 +94,39 @@ def test_brackets_nest_to_any_depth(depth):
         ("const $A = $B;", "const x = await load(a, [1, 2]).then((y) => y);", {"A": "x", "B": "await load(a, [1, 2]).then((y) => y)"}),
         ("log($X)", "log(a + b[0])", {"X": "a + b[0]"}),
         ("$A == $A", "x.y == x.y", {"A": "x.y"}),
+        ("type $N = $T", "type A = Map<string, Map<string, Set<number>>>\nx", {"N": "A", "T": "Map<string, Map<string, Set<number>>>"}),
+        ("type $N = $T", "type A = Promise<(a: number) => void>;", {"N": "A", "T": "Promise<(a: number) => void>"}),
+        ("type $N = $T", "type A = Map<\n  string,\n  Set<[a, b]>\n>\ny = 2", {"N": "A", "T": "Map<\n  string,\n  Set<[a, b]>\n>"}),
+        ("f($$$A, $LAST)", "f(\n  g(a, b),\n  [1, 2],\n  c\n)", None),
+        ("f($A)", "f(new Set<string>(x<y))", {"A": "new Set<string>(x<y)"}),
+        ("if ($A) { $$$ }", "if (a<b) { x } c>d", {"A": "a<b"}),
+        ("$A<$B>", "x: List<int>", {"A": "List", "B": "int"}),
+        ("f($X", "g(f(a", {"X": "a"}),
         ("func $NAME($$$P) { $$$B }", "func run(a map[int]string) { x() }", {"NAME": "run", "P": "a map[int]string", "B": "x() "}),
     ],
 )
 def test_holes(template, code, holes):
+    if holes is None:
+        holes = {"A": "g(a, b),\n  [1, 2]", "LAST": "c"}
     assert matches(template, code)["holes"] == [holes]
 
 
 def test_one_expression_is_not_two():
     assert matches("log($X)", "log(a, b)")["shown"] == []
     assert matches("impl $T { $$$B }", "impl A for B { }")["shown"] == []
+
+
+def test_shadow_keeps_places():
+    text = "a\ufdd0(b<c>(\"(\" d) [ e<f"
+    assert shadow(text) == "a\ufdd3\ufdd2b\ufdd0c\ufdd1(\"(\" d) \ufdd2 e<f" and len(shadow(text)) == len(text)
+
+
+@pytest.mark.parametrize("unit", ["f(", "f(a, ", "f<", "a<b ", "f([{", "f)", "'", '"', "`", "f(1, 2) ", "a<\n"])
+@pytest.mark.parametrize("template", ["f($$$A, $LAST)", "type $N = $T", "f($X)"])
+def test_time_follows_the_length(unit, template):
+    def seconds(times):
+        start = time.perf_counter()
+        matches(template, "type x = " + unit * times)
+        return time.perf_counter() - start
+
+    assert seconds(8_000) < 2.5 * seconds(4_000) + 0.2
