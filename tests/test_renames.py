@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from changelens.operators.renames import similar_renames
+from changelens.operators.renames import assign, similar_renames
 from changelens.operators.snapshots import compare_snapshots, detect_renames
 
 
@@ -79,3 +79,11 @@ def test_a_line_of_all_files_makes_no_pairs(spark):
 def test_nothing_to_pair(spark):
     assert check(spark, {}, {}) == []
     assert {r[2] for r in check(spark, {"a": None, "b": "", "c": "x"}, {"d": None, "e": "\n\n", "f": "y"})} <= {"add", "delete", "rename"}
+
+
+def test_size_estimates_do_not_grow_with_the_rounds(spark):
+    columns = ["CAST(id DIV 12 AS STRING) AS old", "CAST(id % 12 AS STRING) AS new", "90 AS similarity"]
+    pairs = spark.range(144).selectExpr(*columns, "CONCAT('a/', id DIV 12) AS old_first", "CONCAT('b/', id % 12, 'x') AS new_first", "1L AS old_left", "1L AS new_left")
+    taken = assign(pairs)
+    assert taken.count() == 12
+    assert taken._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
