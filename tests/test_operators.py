@@ -125,6 +125,18 @@ def test_attach_versions_guards_sides(spark):
         assert {r.id: (r.old_content, r.new_content) for r in got} == expected
 
 
+def test_contents_are_never_broadcast_by_an_estimate(spark):
+    paths = spark.range(20).selectExpr("id", "CONCAT('p', id) AS path")
+    texts = [paths.selectExpr(f"'{ref}' AS ref", "path", f"CONCAT('{ref}', id) AS content") for ref in ("b", "h")]
+    changes = paths.selectExpr("id", "path AS old_path", "path AS new_path", "'modify' AS type")
+    for few in (False, True):
+        got = attach_versions(changes, texts[0].unionByName(texts[1]), "b", "h", few)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # Only the asked paths are sent to all tasks, where the caller says they are few.
+        assert plan.count("BroadcastHashJoin") == plan.count("LeftSemi") and plan.count("SortMergeJoin") == 2
+        assert {r.id: (r.old_content, r.new_content) for r in got.collect()} == {i: (f"b{i}", f"h{i}") for i in range(20)}
+
+
 def test_tree_status(spark):
     def side(*files):
         return spark.createDataFrame(files, "repo string, path string, content string")
