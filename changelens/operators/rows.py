@@ -15,3 +15,11 @@ def one_row_each(df: DataFrame, keep: list, items: Column, name: str, position:
     if position is None:
         return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
     return df.select(*keep, F.posexplode_outer(items).alias(position, name)).where(F.col(position).isNotNull())
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """The same rows over as many tasks as a shuffle has, for heavy work on each row of a narrow table.
+
+    A compressed table of a few megabytes is one or two file splits, however many rows it holds.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..functions.artifacts import join_matches, merge_context, merge_maps
-from ..functions.code import code_extract, declarations, template_extract
+from ..functions.code import code_extract, declarations, template_extract, template_extracts
 from ..functions.jsonx import (
     json_all_keys,
     json_compact,
@@ -27,6 +27,7 @@ from ..functions.template import html_escape
 from ..functions.xmlx import element_markup, xml_extract, xpath_nodes, xpath_value
 from ..operators.jsondiff import json_entry_diff, json_nodes
 from ..operators.ordered import with_previous
+from ..operators.rows import dealt_out
 from ..sources.snapshots import snapshots_from
 from . import versions as V
 from .registry import query, table
@@ -404,7 +405,7 @@ _NESTED = """'<div class="k>' || k || '">' || repeat('<div>', d) || k || repeat(
     '<b><i>' || p_name || '</b>' AS bold FROM (SELECT *, CAST(p_partkey AS VARCHAR(20)) AS k, CAST(1 + p_size % 12 AS INT) AS d FROM part)""",
 )
 def _(spark, sf):
-    parts = table(spark, sf, "part").selectExpr("*", "CAST(p_partkey AS VARCHAR(20)) AS k", "CAST(1 + p_size % 12 AS INT) AS d")
+    parts = dealt_out(table(spark, sf, "part")).selectExpr("*", "CAST(p_partkey AS VARCHAR(20)) AS k", "CAST(1 + p_size % 12 AS INT) AS d")
     doc = f"""'</div></b><div>' || {_NESTED} || '<!-- <div> --><div/><b><i>' || p_name || '</b><![CDATA[</div>]]><div><divider>' || p_brand || '</div>'"""
     doc = F.expr(doc)
     return parts.select(
@@ -510,7 +511,7 @@ def _bodies(at: int) -> str:
     FROM (SELECT p_partkey, p_partkey AS k, p_size, CAST(1 + p_size % 12 AS INT) AS d FROM part)""",
 )
 def _(spark, sf):
-    parts = table(spark, sf, "part").selectExpr("p_partkey", "p_partkey AS k", "p_size", "CAST(1 + p_size % 12 AS INT) AS d")
+    parts = dealt_out(table(spark, sf, "part")).selectExpr("p_partkey", "p_partkey AS k", "p_size", "CAST(1 + p_size % 12 AS INT) AS d")
     path, code = _by_language(lambda f: _sql_text(f[0])), _by_language(lambda f: _sql_text(f[1]))
     parts = parts.selectExpr("p_partkey", f"{path} AS path", f"{code} AS code")
     path, code = F.col("path"), F.col("code")
@@ -540,18 +541,19 @@ _DEEP_TYPE = """'type T' || k || ' = "a" | { b: ' || repeat('[', d) || repeat(']
 def _(spark, sf):
     code = f"{_DEEP_CALL} || ' + h(f([' || k || ']));' || chr(10) || 'const a = ' || {_DEEP_VALUE} || ';' || chr(10) || {_DEEP_TYPE} || chr(10) || 'z = 1'"
     more = f"'let m: ' || {_DEEP_GENERIC} || ';' || chr(10) || 'g((' || chr(10) || 'last(' || chr(10) || '  ' || {_DEEP_FIRST} || ', ' || {_DEEP_LAST} || ')'"
-    parts = table(spark, sf, "part").selectExpr("p_partkey", "CAST(p_partkey AS VARCHAR(20)) AS k", "CAST(1 + p_size % 12 AS INT) AS d")
-    text, more_text = F.col("code"), F.col("more")
-    assigned = template_extract(text, "const $NAME = $VALUE;")
+    parts = dealt_out(table(spark, sf, "part").selectExpr("p_partkey", "CAST(p_partkey AS VARCHAR(20)) AS k", "CAST(1 + p_size % 12 AS INT) AS d"))
+    calls, assigned, types = template_extracts(F.col("code"), [("f($$$ARGS)", None), ("const $NAME = $VALUE;", None), ("type $NAME = $TYPE", None)])
+    last = "last($$$FIRST, $LAST)"
+    generic, first, final = template_extracts(F.col("more"), [("let $NAME: $TYPE;", "TYPE"), (last, "FIRST"), (last, "LAST")])
     return parts.selectExpr("p_partkey", f"{code} AS code", f"{more} AS more").select(
         "p_partkey",
-        template_extract(text, "f($$$ARGS)")["text"].alias("calls"),
+        calls["text"].alias("calls"),
         assigned["text"].alias("assigned"),
         assigned["context"][0].alias("context"),
-        template_extract(text, "type $NAME = $TYPE")["text"].alias("types"),
-        template_extract(more_text, "let $NAME: $TYPE;", "TYPE")["text"].alias("generic"),
-        template_extract(more_text, "last($$$FIRST, $LAST)", "FIRST")["text"].alias("first_arguments"),
-        template_extract(more_text, "last($$$FIRST, $LAST)", "LAST")["text"].alias("last_argument"),
+        types["text"].alias("types"),
+        generic["text"].alias("generic"),
+        first["text"].alias("first_arguments"),
+        final["text"].alias("last_argument"),
     )
 
 

@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from changelens.functions.code import find_declarations, find_templates, shadow, template_regex
 
@@ -130,3 +131,16 @@ def test_time_follows_the_length(unit, template):
         return time.perf_counter() - start
 
     assert seconds(8_000) < 2.5 * seconds(4_000) + 0.2
+
+
+def test_templates_on_one_content_look_through_it_once(spark):
+    from changelens.functions import code
+
+    texts = ["f(a);\nconst x = g(1);", "const y = 2;", "", None, "nothing", "f(1); f(<T>)"]
+    forms = [("f($$$ARGS)", None), ("const $NAME = $VALUE;", None), ("const $NAME = $VALUE;", "VALUE")]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    together = [c.alias(f"c{i}") for i, c in enumerate(code.template_extracts(F.col("t"), forms))]
+    alone = [code.template_extract(F.col("t"), *form).alias(f"c{i}") for i, form in enumerate(forms)]
+    found = rows.select("i", *together)
+    assert found._jdf.queryExecution().executedPlan().toString().count("found(") == 1
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.select("i", *alone).collect()))
