@@ -24,7 +24,7 @@ from ..functions.jsonx import (
 from ..functions.refs import parse_pr_url, parse_remote, parse_tracking
 from ..functions.regex import regex_extract
 from ..functions.template import html_escape
-from ..functions.xmlx import element_markup, xml_extract, xpath_nodes, xpath_value
+from ..functions.xmlx import element_markup, well_formed, xml_extract, xpath_nodes, xpath_value
 from ..operators.jsondiff import json_entry_diff, json_nodes
 from ..operators.ordered import with_previous
 from ..operators.rows import dealt_out
@@ -290,6 +290,11 @@ def _(spark, sf):
 # --- XML ------------------------------------------------------------------------------------------------
 
 
+def _sound_xml(spark, sf):
+    """The documents and what is sound of them, found out once for all expressions."""
+    return V.part_xml(spark, sf).withColumn("sound", well_formed(F.col("doc")))
+
+
 @query(
     "x1_xpath_value",
     f"""WITH {V.PART_XML} SELECT p_partkey, CASE WHEN sound THEN p_name ELSE '' END AS name, CASE WHEN sound THEN CAST(p_size AS VARCHAR) ELSE '' END AS size,
@@ -297,13 +302,13 @@ def _(spark, sf):
     CASE WHEN sound THEN CAST(p_size > 25 AS VARCHAR) ELSE '' END AS big FROM p""",
 )
 def _(spark, sf):
-    doc = F.col("doc")
-    return V.part_xml(spark, sf).select(
+    doc, sound = F.col("doc"), F.col("sound")
+    return _sound_xml(spark, sf).select(
         "p_partkey",
-        xpath_value(doc, 'string(//*[local-name()="name"])').alias("name"),
-        xpath_value(doc, "//size", "number").alias("size"),
-        xpath_value(doc, "number(//size) div 2", "number").alias("half"),
-        xpath_value(doc, "//size > 25", "boolean").alias("big"),
+        xpath_value(doc, 'string(//*[local-name()="name"])', sound=sound).alias("name"),
+        xpath_value(doc, "//size", "number", sound=sound).alias("size"),
+        xpath_value(doc, "number(//size) div 2", "number", sound=sound).alias("half"),
+        xpath_value(doc, "//size > 25", "boolean", sound=sound).alias("big"),
     )
 
 
@@ -313,12 +318,12 @@ def _(spark, sf):
     CASE WHEN sound THEN 'a' || chr(10) || 'b' ELSE '' END AS kinds, CASE WHEN sound THEN p_partkey || '.2' ELSE '' END AS second FROM p""",
 )
 def _(spark, sf):
-    doc = F.col("doc")
-    return V.part_xml(spark, sf).select(
+    doc, sound = F.col("doc"), F.col("sound")
+    return _sound_xml(spark, sf).select(
         "p_partkey",
-        xpath_nodes(doc, "//dep/version").alias("versions"),
-        xpath_nodes(doc, "//dep/@kind").alias("kinds"),
-        xpath_nodes(doc, "//dep[@kind='b']/version").alias("second"),
+        xpath_nodes(doc, "//dep/version", sound=sound).alias("versions"),
+        xpath_nodes(doc, "//dep/@kind", sound=sound).alias("kinds"),
+        xpath_nodes(doc, "//dep[@kind='b']/version", sound=sound).alias("second"),
     )
 
 
@@ -336,11 +341,11 @@ def _(spark, sf):
     CASE WHEN sound THEN p_size || '.1' || chr(10) || p_partkey || '.2' ELSE '' END AS texts FROM p""",
 )
 def _(spark, sf):
-    doc = F.col("doc")
-    return V.part_xml(spark, sf).select(
+    doc, sound = F.col("doc"), F.col("sound")
+    return _sound_xml(spark, sf).select(
         "p_partkey",
-        xml_extract(doc, "//dep")["text"].alias("elements"),
-        xml_extract(doc, "//dep/version/text()[1]")["text"].alias("texts"),
+        xml_extract(doc, "//dep", sound=sound)["text"].alias("elements"),
+        xml_extract(doc, "//dep/version/text()[1]", sound=sound)["text"].alias("texts"),
     )
 
 
@@ -351,13 +356,13 @@ def _(spark, sf):
     CASE WHEN sound THEN CAST(p_size > 25 AS VARCHAR) ELSE '' END AS big, CASE WHEN sound THEN '2' ELSE '' END AS n FROM p""",
 )
 def _(spark, sf):
-    doc = F.col("doc")
-    return V.part_xml(spark, sf).select(
+    doc, sound = F.col("doc"), F.col("sound")
+    return _sound_xml(spark, sf).select(
         "p_partkey",
-        xml_extract(doc, "//name | //size")["text"].alias("forwards"),
-        xml_extract(doc, "//size | //name")["text"].alias("backwards"),
-        xml_extract(doc, "//size > 25")["text"].alias("big"),
-        xml_extract(doc, "count(//dep)")["text"].alias("n"),
+        xml_extract(doc, "//name | //size", sound=sound)["text"].alias("forwards"),
+        xml_extract(doc, "//size | //name", sound=sound)["text"].alias("backwards"),
+        xml_extract(doc, "//size > 25", sound=sound)["text"].alias("big"),
+        xml_extract(doc, "count(//dep)", sound=sound)["text"].alias("n"),
     )
 
 
