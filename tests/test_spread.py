@@ -14,3 +14,8 @@ def test_documents_are_tested_once_for_all_expressions(spark, name):
     found = catalog.QUERIES[name](spark, SF_DIR)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["x5_nested_markup", "c2_deep_brackets", "c1_nested_declarations"])
+def test_rows_are_dealt_out(spark, name):
+    assert catalog.QUERIES[name](spark, SF_DIR).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
