@@ -57,18 +57,29 @@ _EDGES = {
 }
 
 
+def _plain_run(tokens: list[str]) -> str:
+    """The plain characters that tokens begin with, without one that may be repeated or left out."""
+    run = ""
+    for i, token in enumerate(tokens):
+        if len(token) > 1 or token in "()[]{}^$.|*+?\\" or token > "\ud7ff":
+            return run[:-1] if token[0] in "*+?{" else run
+        run += token
+    return run
+
+
 def java_pattern(pattern: str, flags: str = "") -> tuple[str, dict[str, int]]:
     """The same pattern for Java with numbered groups, and the number of each named group.
 
     Java group names allow no underscores, so names become numbers. ``\\s`` is widened to the Unicode
     blanks, ``[^]`` means any character, ``[`` inside a class and a brace that repeats nothing are plain.
+    Whether a line starts is asked behind the plain text that follows, as Java looks for that much faster.
     """
     names: dict[str, int] = {}
     groups, in_class = 0, False
     many = "g" not in flags or "m" in flags
     out = []
     tokens = re.findall(rf"{_ESCAPE}|\[\^\]|\[\^?|\(\?<(?![=!])[^>]*>|\(\?|{_QUANTIFIER}|.", pattern, re.S)
-    for token in tokens:
+    for at, token in enumerate(tokens):
         if token[0] == "\\":
             out.append(_escape(token, in_class, names))
         elif in_class:
@@ -85,6 +96,10 @@ def java_pattern(pattern: str, flags: str = "") -> tuple[str, dict[str, int]]:
             out.append("(")
         elif token in "^$":
             out.append(_EDGES[token, many])
+            run = _plain_run(tokens[at + 1 :]) if token == "^" and many else ""
+            if run:
+                out[-1] = f"{run}(?<={out[-1]}{run})"
+                del tokens[at + 1 : at + 1 + len(run)]
         else:
             groups += token == "("
             out.append("\\{" if token == "{" else token)

@@ -296,3 +296,16 @@ def test_references(spark):
     with pytest.raises(Exception, match="Invalid pull request URL"):
         value(spark, parse_pr_url(F.col("u"), strict=True), u="https://github.com/a/b")
     assert re.fullmatch(r"\d+", str(value(spark, parse_pr_url(F.col("u")), u="https://github.com/a/b/pull/12")["number"]))
+
+
+def test_line_starts_are_asked_behind_plain_text(spark):
+    assert java_pattern("^The [a-z]+")[0].startswith("(?m)The (?<=")
+    assert java_pattern("^The", "g")[0] == r"\AThe" and java_pattern("^b*c")[0].startswith("(?m)(?<!")
+    start = "(?<![^\n\r\u2028\u2029])"
+    texts = ["ab ab\nab\rabb\r\nab\u2028ab\u0085ab\n", "AB\nxab\n\nab", "b\nab\u2028ab", "", "\nab\n", "a\naab\u2029aB"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for pattern in ("^ab", "^ab*", "^ab+b", "(?:^a|^b)b?", "^a{1}b", "x|^ab", "^aab?", "^a^b|^ab$", "[^x]^ab"):
+        for flags in ("", "i", "gm"):
+            found = {r.i: r.text for r in rows.select("i", regex_extract(F.col("t"), pattern, flags)["text"].alias("text")).collect()}
+            plain = pattern.replace("[^x]", "[!x]").replace("^", start).replace("[!x]", "[^x]").replace("$", "(?![^\n\r\u2028\u2029])")
+            assert found == {i: "\n".join(re.findall(plain, t, re.I if "i" in flags else 0)) for i, t in enumerate(texts)}, (pattern, flags)
