@@ -9,11 +9,14 @@ from ..functions.refs import parse_use
 
 
 def _targets(rows: DataFrame, use: Column, kind: str, keys: list[str], definitions: DataFrame) -> DataFrame:
-    """Rows with the parsed reference and the body it names (NULL if there is none)."""
+    """Rows with the parsed reference and the body it names (NULL if there is none).
+
+    The two are merged: bodies parsed out of configurations take far more than is estimated for a broadcast.
+    """
     parsed = rows.withColumn("__use", use).withColumn("__ref", parse_use(F.col("__use")))
     named = parsed.select("*", F.when(F.col("__ref.kind") == kind, F.col("__ref.name")).alias("__name"))
     known = definitions.where(F.col("kind") == kind).select(*keys, F.col("name").alias("__name"), F.col("body").alias("__body"))
-    return named.join(known, [*keys, "__name"], "left")
+    return named.join(known.hint("merge"), [*keys, "__name"], "left")
 
 
 def resolve_column(rows: DataFrame, column: str, use: Column, kind: str, keys: list[str], definitions: DataFrame):

@@ -19,3 +19,9 @@ def test_documents_are_tested_once_for_all_expressions(spark, name):
 @pytest.mark.parametrize("name", ["x5_nested_markup", "c2_deep_brackets", "c1_nested_declarations"])
 def test_rows_are_dealt_out(spark, name):
     assert catalog.QUERIES[name](spark, SF_DIR).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_definitions_are_not_broadcast_by_an_estimate(spark):
+    found = catalog.QUERIES["j5_resolve_refs"](spark, SF_DIR)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
