@@ -86,4 +86,4 @@ def test_size_estimates_do_not_grow_with_the_rounds(spark):
     pairs = spark.range(144).selectExpr(*columns, "CONCAT('a/', id DIV 12) AS old_first", "CONCAT('b/', id % 12, 'x') AS new_first", "1L AS old_left", "1L AS new_left")
     taken = assign(pairs)
     assert taken.count() == 12
-    assert taken._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+    assert taken._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
