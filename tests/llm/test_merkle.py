@@ -109,3 +109,11 @@ def test_other_columns_and_any_change(make):
     docs = make([(i, f"text {i}", "a") for i in range(20)])
     rows = merkle.manifest(docs, columns=("doc_id", "text"), tampering=(F.col("doc_id") == 3, {"text": F.lit("other")}))
     assert {r["doc_id"] for r in rows.where("NOT verified").collect()} == {3}
+
+
+def test_the_leaves_of_a_run_climb_as_one_row(make, monkeypatch):
+    climbed = []
+    monkeypatch.setattr(merkle, "_climbed", lambda *a, f=merkle._climbed: climbed.append(f(*a)) or climbed[-1])
+    docs = make([(i, f"Text {i}", "a" if i < 300 else "b") for i in range(317)] + [(400, "Lone", "c")])
+    assert made(docs) == want(docs)
+    assert climbed[0].count() == 19 + 2 + 1
