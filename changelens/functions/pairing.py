@@ -22,12 +22,11 @@ def running(values: Column, combine: Callable[[Column, Column], Column]) -> Colu
     def pass_(step: Column, done: Column) -> Column:
         return F.transform(done, lambda x, i: F.when(i >= step, combine(F.get(done, i - step), x)).otherwise(x))
 
-    return bind(
-        values,
-        lambda v: F.aggregate(
-            F.filter(F.array(*[F.lit(s) for s in _STEPS]), lambda s: s < F.size(v)), v, lambda done, step: pass_(step, done)
-        ),
-    )
+    def made(v: Column) -> Column:
+        passes = F.length(F.bin(F.greatest(F.size(v) - 1, F.lit(0))))  # as many as the last index has bits
+        return F.aggregate(F.slice(F.array(*[F.lit(s) for s in _STEPS]), F.lit(1), passes), v, lambda done, step: pass_(step, done))
+
+    return bind(values, made)
 
 
 def pairs(kinds: Column) -> Column:
@@ -35,28 +34,27 @@ def pairs(kinds: Column) -> Column:
 
     Items of kind 0 are neither. Closings without an opening and openings without a closing are in no pair and
     do not disturb the others: on every level openings and closings take turns, so sorting by level and place
-    brings the two of a pair together. The pairs are in order of their openings.
+    brings the two of a pair together. Levels below the ground begin with a closing that has no
+    opening. Items of kind 0 are left out first. The pairs are in order of their openings.
     """
 
-    def by_level(depths: Column, kind: Column) -> Column:
-        before = lambda i: F.when(i == 0, 0).otherwise(F.get(depths, i - 1))
+    def by_level(marks: Column, sums: Column) -> Column:
+        # Both of a pair have the sum between them as their level: after the opening, before the closing.
         entries = F.transform(
-            kind, lambda k, i: F.struct(F.when(k == 1, F.get(depths, i)).otherwise(before(i)).alias("level"), i.alias("place"), k.alias("kind"))
+            marks, lambda m, i: F.struct((F.get(sums, i) + F.when(m["kind"] == -1, 1).otherwise(0)).alias("level"), m["place"].alias("place"), m["kind"].alias("kind"))
         )
-        return bind(F.array_sort(F.filter(entries, lambda e: (e["kind"] != 0) & (e["level"] > 0))), neighbours)
+        return bind(F.sort_array(entries), neighbours)
 
     def neighbours(entries: Column) -> Column:
         both = F.transform(entries, lambda e, i: F.struct(e.alias("a"), F.get(entries, i + 1).alias("b")))
         joined = F.filter(both, lambda p: (p["a"]["kind"] == 1) & (p["b"]["kind"] == -1) & (p["a"]["level"] == p["b"]["level"]))
-        return F.array_sort(F.transform(joined, lambda p: F.struct(p["a"]["place"].alias("first"), p["b"]["place"].alias("last"))))
+        return F.sort_array(F.transform(joined, lambda p: F.struct(p["a"]["place"].alias("first"), p["b"]["place"].alias("last"))))
 
-    def with_sums(kind: Column, sums: Column) -> Column:
-        # A closing too many does not go below the ground: depth counts from the lowest sum so far.
-        lows = running(sums, F.least)
-        depths = bind(lows, lambda low: F.transform(sums, lambda s, i: s - F.least(F.get(low, i), F.lit(0))))
-        return bind(depths, lambda d: by_level(d, kind))
-
-    return bind(kinds, lambda kind: bind(running(kind, lambda a, b: a + b), lambda sums: with_sums(kind, sums)))
+    placed = F.transform(kinds, lambda k, i: F.struct(i.alias("place"), k.alias("kind")))
+    return bind(
+        F.filter(placed, lambda m: m["kind"] != 0),
+        lambda marks: bind(running(F.transform(marks, lambda m: m["kind"]), lambda a, b: a + b), lambda sums: by_level(marks, sums)),
+    )
 
 
 def outermost(found: Column) -> Column:

@@ -103,17 +103,17 @@ def element_markup(content: Column, tag: str) -> Column:
     name = re.escape(tag)
 
     def elements(pieces: Column) -> Column:
-        opens, empty = F.lit(rf"^<{name}[\s/>]"), F.lit("/>")
-        kinds = F.transform(
-            pieces,
-            lambda p: F.when(p.rlike(rf"^</{name}\s*+>"), -1).when(F.regexp_like(p, opens) & ~F.endswith(p, empty), 1).otherwise(0),
-        )
-        single = F.transform(
-            pieces, lambda p, i: F.when(F.regexp_like(p, opens) & F.endswith(p, empty), F.struct(i.alias("first"), i.alias("last")))
-        )
-        found = F.array_sort(F.concat(pairs(kinds), F.filter(single, lambda e: e.isNotNull())))
+        opens, closes = rf"^<{name}[\s/>]", rf"^</{name}\s*+>"
+        opened = lambda p: F.when(F.endswith(p, F.lit("/>")), 2).otherwise(1)
+        kinds = F.transform(pieces, lambda p: F.when(p.rlike(closes), -1).when(p.rlike(opens), opened(p)).otherwise(0))
+        return bind(kinds, lambda kind: cut(pieces, kind))
+
+    def cut(pieces: Column, kinds: Column) -> Column:
+        single = F.filter(F.transform(kinds, lambda k, i: F.when(k == 2, F.struct(i.alias("first"), i.alias("last")))), lambda e: e.isNotNull())
+        paired = pairs(F.transform(kinds, lambda k: F.when(k == 2, 0).otherwise(k)))
         return F.transform(
-            outermost(found), lambda p: F.array_join(F.slice(pieces, p["first"] + 1, p["last"] - p["first"] + 1), "")
+            outermost(F.sort_array(F.concat(paired, single))),
+            lambda p: F.array_join(F.slice(pieces, p["first"] + 1, p["last"] - p["first"] + 1), ""),
         )
 
     return bind(F.regexp_extract_all(content, F.lit(_markup_pieces(name)), F.lit(0)), elements)

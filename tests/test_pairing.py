@@ -72,3 +72,10 @@ def test_time_follows_the_length(spark, unit):
 def test_no_python(spark):
     plan = spark.createDataFrame([("",)], "t string").select(element_markup(F.col("t"), "a"))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_two_running_values_and_plain_sorts_do(spark):
+    found = spark.createDataFrame([("",)], "t string").select(element_markup(F.col("t"), "a"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 4  # each is printed twice
+    assert "array_sort(" not in plan  # its comparisons are made in a lambda
