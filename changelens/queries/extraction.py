@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.artifacts import join_matches, merge_context, merge_maps
@@ -422,6 +423,12 @@ def _(spark, sf):
 
 # --- code -----------------------------------------------------------------------------------------------
 
+
+def _context_list(found: Column, content: Column) -> Column:
+    """The context of one side as a JSON list: an empty text has no matches, a missing one has no list."""
+    return F.when(content.isNotNull(), F.coalesce(F.get(found["context"], F.lit(0)), F.lit("[]")))
+
+
 FUNCTIONS = V.PART_CODE + """,
 f AS (SELECT *, CASE form WHEN 0 THEN [word || p_partkey, other] WHEN 4 THEN CAST([] AS VARCHAR[]) ELSE [word || p_partkey] END AS names,
   CASE form
@@ -448,7 +455,7 @@ def _(spark, sf):
         found["text"].alias("bodies"),
         code_extract(code, path, "class", "name")["text"].alias("classes"),
         code_extract(code, path, "struct", "name")["text"].alias("structs"),
-        found["context"][0].alias("context"),
+        _context_list(found, code).alias("context"),
     )
 
 
@@ -554,7 +561,7 @@ def _(spark, sf):
         "p_partkey",
         calls["text"].alias("calls"),
         assigned["text"].alias("assigned"),
-        assigned["context"][0].alias("context"),
+        _context_list(assigned, F.col("code")).alias("context"),
         types["text"].alias("types"),
         generic["text"].alias("generic"),
         first["text"].alias("first_arguments"),
@@ -568,8 +575,9 @@ def _(spark, sf):
     '[' || array_to_string(list_transform(regexp_extract_all(text, 'token = "([^"]*)"', 1), lambda v: '{{"VALUE":' || CAST(to_json(v) AS VARCHAR) || '}}'), ',') || ']' AS context FROM documents""",
 )
 def _(spark, sf):
-    found = template_extract(F.col("text"), 'token = "$$$VALUE"')
-    return table(spark, sf, "documents").select("doc_id", found["text"].alias("artifact"), found["context"][0].alias("context"))
+    text = F.col("text")
+    found = template_extract(text, 'token = "$$$VALUE"')
+    return table(spark, sf, "documents").select("doc_id", found["text"].alias("artifact"), _context_list(found, text).alias("context"))
 
 
 @query(
@@ -577,8 +585,9 @@ def _(spark, sf):
     """SELECT c_custkey, c_name AS artifact, '[{"KIND":"Customer","NUM":"' || substr(c_name, 10) || '"}]' AS context FROM customer""",
 )
 def _(spark, sf):
-    found = template_extract(F.col("c_name"), "$KIND#$$$NUM")
-    return table(spark, sf, "customer").select("c_custkey", found["text"].alias("artifact"), found["context"][0].alias("context"))
+    name = F.col("c_name")
+    found = template_extract(name, "$KIND#$$$NUM")
+    return table(spark, sf, "customer").select("c_custkey", found["text"].alias("artifact"), _context_list(found, name).alias("context"))
 
 
 @query(
