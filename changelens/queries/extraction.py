@@ -426,7 +426,7 @@ def _(spark, sf):
 
 def _context_list(found: Column, content: Column) -> Column:
     """The context of one side as a JSON list: an empty text has no matches, a missing one has no list."""
-    return F.when(content.isNotNull(), F.coalesce(F.get(found["context"], F.lit(0)), F.lit("[]")))
+    return F.coalesce(F.get(found["context"], F.lit(0)), F.when(content.isNotNull(), "[]"))
 
 
 FUNCTIONS = V.PART_CODE + """,
