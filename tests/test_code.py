@@ -3,6 +3,7 @@
 import time
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from changelens.functions.code import find_declarations, find_templates, shadow, template_regex
@@ -122,6 +123,29 @@ def test_shadow_keeps_places():
     assert shadow(text) == "a\ufdd3\ufdd2b\ufdd0c\ufdd1(\"(\" d) \ufdd2 e<f" and len(shadow(text)) == len(text)
 
 
+def test_only_parts_that_hold_themselves_are_called():
+    # A call stores the state of the whole pattern, also where nothing is nested.
+    rx, _ = template_regex("const $NAME = $VALUE;")
+    assert set(regex.compile(rx).groupindex) == {"quoted", "inside", "h1", "h2"}
+
+
+@pytest.mark.parametrize(
+    ("template", "code", "holes"),
+    [
+        ("$A = $B;", "x = !a.b!(c) + -d[0] ?? e;", {"A": "x", "B": "!a.b!(c) + -d[0] ?? e"}),
+        ("$A = $B;", "x = a.b != c;", {"A": "x", "B": "a.b != c"}),
+        ("f($A)", "f(a +\n g<h>('(') * `[${b}`)", {"A": "a +\n g<h>('(') * `[${b}`"}),
+        ("f($A, $A)", "f(a(1), a(1))", {"A": "a(1)"}),
+        ("f($$$A, $B)", "f(\"(\", [', '], c)", {"A": "\"(\", [', ']", "B": "c"}),
+        ("f($A)", "f( (] ) )", None),
+        ("f($A)", "f((])", None),
+        ("f($A)", "", None),
+    ],
+)
+def test_expressions_beside_quotes_signs_and_stray_brackets(template, code, holes):
+    assert matches(template, code)["holes"] == ([holes] if holes else [])
+
+
 @pytest.mark.parametrize("unit", ["f(", "f(a, ", "f<", "a<b ", "f([{", "f)", "'", '"', "`", "f(1, 2) ", "a<\n"])
 @pytest.mark.parametrize("template", ["f($$$A, $LAST)", "type $N = $T", "f($X)"])
 def test_time_follows_the_length(unit, template):
