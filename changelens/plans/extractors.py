p8_apply_watches: a rule is handed only contents that it watches and that differ

Symptom: p8_apply_watches took 3455 JVM, 779 Python and 187 GC seconds per input GB.
Evidence: two fifths of the profile's samples were XML, the rest mostly JSON and the functions around them, on both sides of every row, also where both sides hold the same text (files that only moved, or were listed without an edit); each path pattern was tested up to four times per row, and Python functions, which run ahead of the conditions they stand in, were given texts of files their rule does not watch.
Fix: path tests and the comparison of the sides become columns worked out once; contents are withheld from rules that do not watch them, and where the sides are equal. Where reading may end the job (JSON, code, registered extractors) the old side is still read, so a broken file fails as before.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1083 -> 847 s, shuffle 0.63 -> 0.63 GB, spill 0.00 -> 0.00 GB, read 0.02 -> 0.02 GB, longest task 82 -> 63 s, most memory of a task 201 -> 201 MB; at 6 GB of input CPU 5539 -> 3946 s, shuffle 3.78 -> 3.78 GB, spill 0.00 -> 0.00 GB, read 0.13 -> 0.13 GB, longest task 151 -> 109 s, most memory of a task 503 -> 503 MB; with hot keys, at 1 GB of input CPU 1114 -> 918 s, shuffle 0.62 -> 0.62 GB, spill 0.00 -> 0.00 GB, read 0.02 -> 0.02 GB, longest task 83 -> 68 s, most memory of a task 201 -> 201 MB.

@@ -62,11 +62,15 @@ PARSERS: dict[str, Callable[[Column], Column]] = {"xpath": well_formed}
 # JSON differences carry no line range: their lines are not lines of the file.
 WITHOUT_LINE_RANGE = {"jq"}
 
+# Types that find nothing in a content they cannot read; any other may end the job.
+WITHOUT_ERRORS = {"regex", "xpath", "ast-grep"}
+
 
 def register_extractor(name: str, extractor: Extractor, line_range: bool = True) -> None:
     EXTRACTORS[name] = extractor
     PARSERS.pop(name, None)
     WITHOUT_LINE_RANGE.discard(name)
+    WITHOUT_ERRORS.discard(name)
     if not line_range:
         WITHOUT_LINE_RANGE.add(name)
 

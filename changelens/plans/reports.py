@@ -18,7 +18,7 @@ from ..operators.rows import one_row_each
 from ..operators.snapshots import attach_versions
 from ..session import checkpointed
 from ..sources.rules import config_table, definition_table, rule_columns, signal_table
-from .extractors import PARSERS, WITHOUT_LINE_RANGE, extract
+from .extractors import PARSERS, WITHOUT_ERRORS, WITHOUT_LINE_RANGE, extract
 
 # Rules go into the plan as literals; a plan holds this many at a time, more make more plans over the same versions.
 RULES_PER_PLAN = 256
@@ -108,23 +108,38 @@ def apply_watches(versions: DataFrame, rules: list[Rule], keep: list[str]) -> Da
     Result: ``keep, file_path, rule_no, left, right, context``.
     """
     path = effective_path(F.col("new_path"), F.col("old_path"))
-    versions = versions.where(~both_missing())
+    # Paths are tested once for all that asks for them.
+    hit = {globs: f"__hit_{i}" for i, globs in enumerate(dict.fromkeys(tuple(r.include) for r in rules))}
+    changed = ~F.col("old_content").eqNullSafe(F.col("new_content"))
+    tests = [changed.alias("__changed"), *[glob_any(path, globs).alias(name) for globs, name in hit.items()]]
+    versions = versions.where(~both_missing()).select("*", *tests)
+
+    def read(some: list[Rule], name: str) -> Column:
+        """Where rules of one type read a side: in what they watch, if the sides differ.
+
+        Python functions see all rows, so the contents themselves are withheld. A content that only moved has the same
+        artifacts on both sides; where reading it may end the job, one side is read all the same.
+        """
+        watched = reduce(lambda a, b: a | b, [F.col(hit[tuple(r.include)]) for r in some])
+        return watched if name == "old" and some[0].watch_type not in WITHOUT_ERRORS else watched & F.col("__changed")
+
     for kind, parse in PARSERS.items():
-        globs = [glob for r in rules if r.watch_type == kind for glob in r.include]
-        if globs:
-            sides = [F.when(glob_any(path, globs), parse(F.col(f"{s}_content"))).alias(f"__{kind}_{s}") for s in ("old", "new")]
+        some = [r for r in rules if r.watch_type == kind]
+        if some:
+            sides = [F.when(read(some, s), parse(F.col(f"{s}_content"))).alias(f"__{kind}_{s}") for s in ("old", "new")]
             versions = versions.select("*", *sides)
 
     def side(rule: Rule, name: str) -> Column:
         parsed = F.col(f"__{rule.watch_type}_{name}") if rule.watch_type in PARSERS else None
-        return extract(rule.watch_type, F.col(f"{name}_content"), path, rule.params, parsed)
+        content = F.when(read([rule], name), F.col(f"{name}_content"))
+        return extract(rule.watch_type, content, path, rule.params, parsed)
 
     def pair(i: int, rule: Rule) -> Column:
         sides = F.struct(F.lit(i).alias("rule_no"), side(rule, "old").alias("l"), side(rule, "new").alias("r"))
-        return F.when(glob_any(path, rule.include), sides)
+        return F.when(F.col(hit[tuple(rule.include)]), sides)
 
     pairs = F.array(*[pair(i, r) for i, r in enumerate(rules)])
-    fired = F.filter(pairs, lambda p: p.isNotNull() & (p["l"]["text"] != p["r"]["text"]))
+    fired = F.filter(pairs, lambda p: F.col("__changed") & p.isNotNull() & (p["l"]["text"] != p["r"]["text"]))
     rows = one_row_each(versions, [*keep, path.alias("file_path")], fired, "p")
     return rows.select(
         *keep,

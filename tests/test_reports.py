@@ -2,10 +2,13 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from changelens.functions.artifacts import artifact, or_empty
+from changelens.plans import extractors
 from changelens.plans import reports as R
 from changelens.plans.extractors import extract
 from changelens.plans.reports import Rule, load_rules, run_rules
@@ -212,6 +215,59 @@ def test_extraction_runs_once_per_row(spark):
     assert text.count("needle[0-9], 0") == 2  # one for each side
 
 
+def test_paths_are_tested_once_for_all_rules(spark):
+    versions = spark.createDataFrame([("a.xml", "a.xml", "<a/>", "<b/>")], "old_path string, new_path string, old_content string, new_content string")
+    rules = [Rule("c", 0, i, ("*.xml",), kind, params) for i, (kind, params) in enumerate([("xpath", {"expression": "name(/*)"}), ("regex", {"pattern": "b"})])]
+    found = R.apply_watches(versions, rules, ["new_path"])
+    assert plan(found).count("RLIKE") == 1
+    assert [(r.rule_no, r.left_artifact, r.right_artifact) for r in sorted(found.collect())] == [(0, "a", "b"), (1, "", "b")]
+
+
+VERSIONS = "old_path string, new_path string, old_content string, new_content string"
+
+
+def _refusing(*texts):
+    """An extractor in Python that ends the job when it is given one of the texts."""
+
+    @F.pandas_udf("string")
+    def read(contents: pd.Series) -> pd.Series:
+        if contents.isin(texts).any():
+            raise ValueError("not to be read")
+        return contents
+
+    return lambda content, path, params: or_empty(artifact(read(content)), content)
+
+
+def test_python_functions_get_only_what_their_rule_watches(spark, monkeypatch):
+    monkeypatch.setitem(extractors.EXTRACTORS, "ast-grep", _refusing("elsewhere"))
+    rows = [("a.js", "a.js", "x", "y"), ("a.md", "a.md", "elsewhere", "z"), (None, None, "elsewhere", "z")]
+    found = R.apply_watches(spark.createDataFrame(rows, VERSIONS), [Rule("c", 0, 0, ("*.js",), "ast-grep")], ["new_path"])
+    assert [(r.new_path, r.left_artifact, r.right_artifact) for r in found.collect()] == [("a.js", "x", "y")]
+
+
+def test_moved_contents_are_not_read_again(spark, monkeypatch):
+    rows = [
+        ("a.js", "b.js", "moved", "moved"), ("c.js", "c.js", "x", "y"), ("d.js", "d.js", "", ""), ("e.js", None, "x", None),
+        (None, "f.js", None, "y"), ("g.js", "g.js", None, None), ("c.js", "c.js", "x", "y"), ("h.js", "h.js", "", None),
+    ]
+    versions, rules = spark.createDataFrame(rows, VERSIONS), [Rule("c", 0, 0, ("*.js",), "ast-grep")]
+    expected = [("c.js", "x", "y"), ("c.js", "x", "y"), ("e.js", "x", ""), ("f.js", "", "y")]
+    for refused in ((), ("moved",)):
+        monkeypatch.setitem(extractors.EXTRACTORS, "ast-grep", _refusing(*refused))
+        found = R.apply_watches(versions, rules, ["old_path"]).collect()
+        assert sorted((r.file_path, r.left_artifact, r.right_artifact) for r in found) == expected
+
+
+@pytest.mark.parametrize(
+    ("kind", "params", "path", "message"),
+    [("jq", {"query": ".a"}, "a.json", "MALFORMED"), ("tsq", {"kind": "class"}, "a.json2", "Unsupported language")],
+)
+def test_a_moved_content_that_cannot_be_read_still_ends_the_job(spark, kind, params, path, message):
+    versions = spark.createDataFrame([("old", path, "{broken", "{broken")], VERSIONS)
+    with pytest.raises(Exception, match=message):
+        R.apply_watches(versions, [Rule("c", 0, 0, ("*",), kind, params)], ["new_path"]).collect()
+
+
 def test_change_detection_shuffles_hashes_only(spark):
     text = plan(reporting.document_changes(spark, SF_DIR))
     after_scan = text[: text.index("sha2")]
