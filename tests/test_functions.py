@@ -157,6 +157,20 @@ def test_json_edge_cases(spark):
         query_shape(".a | reduce .")
 
 
+def test_a_json_value_is_read_from_its_document_once(spark):
+    rows = [
+        (1, '{"a": {"s": "x", "n": 1.50, "o": {"t": [1, "2"]}, "z": null, "b": "{}"}}'), (2, '{"a": "{\\"s\\": 1}"}'), (3, '{"a": {}}'),
+        (4, '{"a": [ {"b": 1} ]}'), (5, '{"b": 1}'), (6, ""), (7, None), (8, " "), (9, '{"a": null}'), (9, '{"a": null}'),
+    ]
+    found = spark.createDataFrame(rows, "i int, c string").select("i", json_extract(F.col("c"), ".a")["text"].alias("t"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("get_json_object(c#") == 1
+    assert [r.t for r in sorted(found.collect())] == [
+        '{\n  "s": "x",\n  "n": 1.5,\n  "o": {"t":[1,"2"]},\n  "z": null,\n  "b": "{}"\n}\n', '"{\\"s\\": 1}"\n', "{}\n",
+        '[{"b":1}]\n', "null\n", "", "", "", "null\n", "null\n",
+    ]
+
+
+
 POM = '<project xmlns="http://maven"><version>1.0.0</version><deps><d><version>5.3</version></d><d><version>2.1</version></d></deps></project>'
 
 
